@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import functions as F
+
 from .bpe import digest, encode_documents
 from .chat import digests, format_conversations, message_events
 from .common import table
 from .decontaminate import contamination
+from .neighbours import nearest
 from .simhash import simhash_components
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -17,6 +20,10 @@ def op1_simhash_near_dedup(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_chat_formatting(spark, sf_dir):
     extra = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -33,6 +40,7 @@ def op7_bpe_round_trip(spark, sf_dir):
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_chat_formatting": op3_chat_formatting,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_bpe_round_trip": op7_bpe_round_trip,
