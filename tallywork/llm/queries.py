@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 
 from .bpe import digest, encode_documents
 from .chat import digests, format_conversations, message_events
-from .common import table
+from .common import fold_of, table
 from .decontaminate import contamination
 from .neighbours import nearest
+from .pii import span_digests
 from .simhash import simhash_components
+from .toxicity import score_toxicity
+from .urls import content_label, judge_urls, rules_frame
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
+#: (verdict, host/path) of the fixed rules.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
+
+
 def op1_simhash_near_dedup(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -38,12 +45,30 @@ def op7_bpe_round_trip(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", digest)
 
 
+def op8_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", content_label(F.col("html")).alias("label"))
+    return judge_urls(pages, rules_frame(spark, URL_RULES))
+
+
+def op9_personal_data(spark, sf_dir):
+    return span_digests(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").where(fold_of("doc_id", 5) != 0)
+    scored = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_chat_formatting": op3_chat_formatting,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_url_filter": op8_url_filter,
+    "op9_personal_data": op9_personal_data,
+    "op10_toxicity": op10_toxicity,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
