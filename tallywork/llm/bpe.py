@@ -3,8 +3,8 @@
 A word is a run of bytes other than ASCII white space.  Of the tokenizers this is meant for, no piece, normalisation or
 special token reaches over such white space, so words can be encoded apart; :func:`word_split_is_safe` says for which
 files that holds.  Runs of documents of one task (chunks) are written as numbers into the chunk's list of distinct words.
-The (word, chunk) rows meet by word, each distinct word is encoded once, and its ids go back to the chunks, where the
-documents' word numbers are replaced by ids.  A frequent word thus moves once for each chunk, not for each occurrence.
+A chunk's words, dealt by a hash of the word, meet those of the other chunks; each distinct word is encoded once, and
+its ids go back to the chunks, where the documents' word numbers are replaced by ids.  A frequent word thus moves once for each chunk, not for each occurrence.
 Decoding joins ids with the pieces of the vocabulary, which is as large as the tokenizer file and no larger.
 """
 
@@ -58,7 +58,8 @@ def _tokenizer(text: str):
 class Chunk:
     """Documents of one task as numbers into their distinct words."""
 
-    def __init__(self):
+    def __init__(self, split=bytes.split):
+        self.split = split
         self.words: dict[bytes, int] = {}
         self.numbers: list[np.ndarray] = []
         self.ids: list[int | None] = []
@@ -66,68 +67,96 @@ class Chunk:
 
     def add(self, doc_id: int | None, raw: bytes) -> None:
         words = self.words
-        at = [words.setdefault(w, len(words)) for w in raw.split()]
+        at = [words.setdefault(w, len(words)) for w in self.split(raw)]
         self.numbers.append(np.array(at, np.uint32))
         self.ids.append(doc_id)
         self.size += len(raw)
 
-    def name(self) -> bytes:
-        """From the content: the same documents in the same order give the same name, whichever task makes it."""
-        h = hashlib.sha256(repr(self.ids).encode())
-        for x in self.numbers:
-            h.update(x.tobytes())
-        return h.digest()[:16]
-
-
-def _chunks(batches):
-    now = Chunk()
+    def finish(self, buckets: int) -> tuple[bytes, list[bytes], np.ndarray, np.ndarray]:
+        """The chunk's name, its words by bucket and then alphabet, where each bucket starts, and the documents' words by those places.
+
+        The name comes from the content: the same documents in the same order give the same, whichever task makes it.
+        """
+        words = list(self.words)
+        bucket = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        order = order[np.argsort(bucket[order], kind="stable")]
+        place = np.empty(len(words), np.uint32)
+        place[order] = np.arange(len(words), dtype=np.uint32)
+        flat = place[np.concatenate(self.numbers)] if words else np.zeros(0, np.uint32)
+        starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        h = hashlib.sha256(repr((self.ids, [len(x) for x in self.numbers])).encode())
+        h.update(flat.tobytes())
+        for w in (words[i] for i in order):
+            h.update(w + b" ")
+        return h.digest()[:16], [words[i] for i in order], starts, flat
+
+
+def chunks_of(batches, split=bytes.split, size: int = CHUNK_BYTES):
+    """The chunks of a task's rows (id, text)."""
+    now = Chunk(split)
     for b in batches:
         for doc_id, raw in zip(b.column(0).to_pylist(), b.column(1)):
             raw = raw.as_py() or b""
-            if now.ids and now.size + len(raw) > CHUNK_BYTES:
+            if now.ids and now.size + len(raw) > size:
                 yield now
-                now = Chunk()
+                now = Chunk(split)
             now.add(doc_id, raw)
     if now.ids:
         yield now
 
 
-def _words(batches):
-    """(chunk, at, word): each distinct word of each chunk."""
-    for c in _chunks(batches):
-        words, name = list(c.words), c.name()
-        for a in range(0, len(words), 50_000):
-            part = words[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.binary()), pa.array(range(a, a + len(part)), pa.int32()), pa.array(part, pa.binary())], ["chunk", "at", "word"])
+def _words(buckets: int):
+    """(bucket, chunk, at, words): the distinct words of each chunk that fall in a bucket, packed, the first being number ``at``."""
+
+    def run(batches):
+        for c in chunks_of(batches):
+            name, words, starts, _ = c.finish(buckets)
+            some = [i for i in range(buckets) if starts[i] < starts[i + 1]]
+            packed = [zlib.compress(b" ".join(words[starts[i] : starts[i + 1]]), 1) for i in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([name] * len(some), pa.binary()), pa.array(starts[some].astype(np.int32)), pa.array(packed, pa.binary())], ["bucket", "chunk", "at", "words"])
+
+    return run
 
 
-def _texts(batches):
+def _texts(buckets: int):
     """(chunk, ids, lengths, packed): each chunk's documents as word numbers, packed."""
-    for c in _chunks(batches):
-        lengths = [len(x) for x in c.numbers]
-        flat = np.concatenate(c.numbers)
-        # bytes of the same weight together, which packs better
-        planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([c.name()], pa.binary()), pa.array([c.ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([zlib.compress(planes.tobytes(), 1)], pa.binary())], ["chunk", "ids", "lengths", "packed"]
-        )
 
+    def run(batches):
+        for c in chunks_of(batches):
+            name, _, _, flat = c.finish(buckets)
+            # bytes of the same weight together, which packs better
+            planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name], pa.binary()), pa.array([c.ids], pa.list_(pa.int64())), pa.array([[len(x) for x in c.numbers]], pa.list_(pa.int64())), pa.array([zlib.compress(planes.tobytes(), 1)], pa.binary())], ["chunk", "ids", "lengths", "packed"]
+            )
+
+    return run
 
-def _encode(sent):
-    """Over rows sorted by word: each distinct word encoded once, its ids given to each of its places."""
+
+def _encode(sent, keep: int = 2_000_000):
+    """Over rows sorted by bucket: each distinct word of a bucket is encoded once, and each chunk gets its words' ids.
+
+    ``keep`` bounds memory; only beyond so many distinct words in one bucket would some be encoded again.
+    """
 
     def run(batches):
-        tok, before, ids = _tokenizer(sent.value), None, b""
+        tok, now, known = _tokenizer(sent.value), None, {}
         for b in batches:
-            words = b.column(2).to_pylist()
-            new = [w for w, was in zip(words, [before, *words]) if w != was]
-            coded = iter(tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False))
-            out = []
-            for w in words:
-                if w != before:
-                    before, ids = w, np.array(next(coded).ids, "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["chunk", "at", "coded"])
+            out, counts = [], []
+            for bucket, packed in zip(b.column(0).to_pylist(), b.column(3)):
+                if bucket != now or len(known) > keep:
+                    now, known = bucket, {}
+                words = zlib.decompress(packed.as_py()).split(b" ")
+                new = [w for w in words if w not in known]
+                for a in range(0, len(new), 10_000):
+                    part = new[a : a + 10_000]
+                    coded = tok.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+                    known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, coded))
+                ids = [known[w] for w in words]
+                counts.append(len(ids))
+                out.append(zlib.compress(np.array([len(x) // 4 for x in ids], "<u4").tobytes() + b"".join(ids), 1))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(out, pa.binary()), pa.array(counts, pa.int32())], ["chunk", "at", "coded", "n"])
 
     return run
 
@@ -144,30 +173,33 @@ def _join(pieces, result):
 
     def run(batches):
         piece = pieces.value
-        coded, have, chunk = [], 0, None
+        sizes, flat, have, at_before, chunk = [], [], 0, -1, None
         for b in batches:
-            name, at = b.column(0).to_pylist(), b.column(1).to_pylist()
+            name, at, n = (b.column(i).to_pylist() for i in (0, 1, 3))
             for i, key in enumerate(name):
                 if key != chunk:
-                    coded, have, chunk = [], 0, key
+                    sizes, flat, have, at_before, chunk = [], [], 0, -1, key
                 if at[i] is not None:
-                    if at[i] == have:
-                        coded.append(b.column(2)[i].as_py())
-                        have += 1
-                    elif at[i] != have - 1:  # chunks of the same name have the same words
+                    if at[i] == at_before:  # chunks of the same name have the same words
+                        continue
+                    if at[i] != have:
                         raise ValueError("a chunk's words are not whole: the documents were read in another order")
+                    values = np.frombuffer(zlib.decompress(b.column(2)[i].as_py()), "<u4")
+                    sizes.append(values[: n[i]])
+                    flat.append(values[n[i] :])
+                    have, at_before = have + n[i], at[i]
                     continue
-                ids, lengths = b.column(3)[i].as_py(), np.array(b.column(4)[i].as_py(), np.int64)
-                planes = np.frombuffer(zlib.decompress(b.column(5)[i].as_py()), np.uint8)
+                ids, lengths = b.column(4)[i].as_py(), np.array(b.column(5)[i].as_py(), np.int64)
+                planes = np.frombuffer(zlib.decompress(b.column(6)[i].as_py()), np.uint8)
                 numbers = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
                 if len(numbers) and int(numbers.max()) >= have:
                     raise ValueError("a chunk's words are not whole: the documents were read in another order")
-                sizes = np.array([len(x) // 4 for x in coded], np.int64)
-                starts = np.cumsum(sizes) - sizes
-                flat = np.frombuffer(b"".join(coded), "<u4")
+                size = np.concatenate([np.zeros(0, np.int64), *sizes]).astype(np.int64)
+                starts = np.cumsum(size) - size
+                coded = np.concatenate([np.zeros(0, np.uint32), *flat])
                 ends = np.cumsum(lengths)
                 for k in range(0, len(ids), 256):
-                    rows = [result(d, _spread(starts, sizes, numbers[e - n : e], flat), piece) for d, n, e in zip(ids[k : k + 256], lengths[k : k + 256], ends[k : k + 256])]
+                    rows = [result(d, _spread(starts, size, numbers[e - m : e], coded), piece) for d, m, e in zip(ids[k : k + 256], lengths[k : k + 256], ends[k : k + 256])]
                     yield pa.RecordBatch.from_pylist(rows, schema=result.schema)
 
     return run
@@ -209,8 +241,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, result=whole, id_col:
     n = max(tok.get_vocab(with_added_tokens=True).values()) + 1
     sent, pieces = context.broadcast(spec), context.broadcast([tok.id_to_token(i) or "" for i in range(n)])
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("b"))
-    words = source.mapInArrow(_words, "chunk binary, at int, word binary")
-    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(sent), "chunk binary, at int, coded binary")
-    texts = source.mapInArrow(_texts, "chunk binary, ids array<long>, lengths array<long>, packed binary")
-    both = coded.unionByName(texts, allowMissingColumns=True).select("chunk", "at", "coded", "ids", "lengths", "packed")
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = source.mapInArrow(_words(buckets), "bucket int, chunk binary, at int, words binary")
+    coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode(sent), "chunk binary, at int, coded binary, n int")
+    texts = source.mapInArrow(_texts(buckets), "chunk binary, ids array<long>, lengths array<long>, packed binary")
+    both = coded.unionByName(texts, allowMissingColumns=True).select("chunk", "at", "coded", "n", "ids", "lengths", "packed")
     return both.repartition("chunk").sortWithinPartitions("chunk", F.col("at").asc_nulls_last()).mapInArrow(_join(pieces, result), result.ddl)
