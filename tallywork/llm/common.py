@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The folder of the public tokenizers' files.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
 #: Byte table that lower-cases A-Z and leaves every other byte (UTF-8 parts included) alone.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 

@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from .bpe import digest, encode_documents
 from .chat import digests, format_conversations, message_events
-from .common import fold_of, table
+from .common import TOKENIZERS, fold_of, table
 from .decontaminate import contamination
+from .lm import score_documents
 from .neighbours import nearest
 from .pii import span_digests
 from .simhash import simhash_components
 from .toxicity import score_toxicity
 from .urls import content_label, judge_urls, rules_frame
 
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-
 
 #: (verdict, host/path) of the fixed rules.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
@@ -37,6 +36,10 @@ def op3_chat_formatting(spark, sf_dir):
     return digests(format_conversations(message_events(rows)))
 
 
+def op5_language_model(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"), fold_of("doc_id", 7) == 2)
+
+
 def op6_benchmark_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,11 +67,13 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_chat_formatting": op3_chat_formatting,
+    "op5_language_model": op5_language_model,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_url_filter": op8_url_filter,
     "op9_personal_data": op9_personal_data,
     "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
