@@ -41,22 +41,35 @@ def _char(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
 
 
+def _parts(batches, size: int = 1 << 22):
+    """The texts of a task, parted by line ends, in pieces of about ``size`` bytes."""
+    held, n = [], 0
+    for b in batches:
+        for raw in b.column(0):
+            raw = raw.as_py()
+            held.append(raw)
+            n += len(raw)
+            if n >= size:
+                whole = b"\n".join(held) + b"\n"
+                yield from (whole[i : i + size] for i in range(0, len(whole), size))
+                held, n = [], 0
+    if held:
+        yield b"\n".join(held) + b"\n"
+
+
 def count_characters(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(code, n): how often each four symbols follow one another, over all texts; at most 28**4 rows."""
 
     def run(batches):
         total = np.zeros(N**4, np.int64)
-        for b in batches:
-            for raw in b.column(0):
-                buf = np.frombuffer(raw.as_py(), np.uint8)
-                for at in range(0, len(buf), 1 << 22):
-                    s = buf[max(0, at - 3) : at + (1 << 22)]
-                    s = _SYMBOL[s[(s < 0x80) | (s >= 0xC0)]].astype(np.uint32)
-                    s = np.r_[np.uint32([0, 0, 0]) if not at else s[:0], s, np.uint32([0])]
-                    s = s[np.r_[True, (s[1:] != 0) | (s[:-1] != 0)]] if len(s) else s  # one boundary between words
-                    s = np.r_[np.uint32([0, 0]), s]
-                    if len(s) > 3:
-                        total += np.bincount(((s[:-3] * N + s[1:-2]) * N + s[2:-1]) * N + s[3:], minlength=N**4)
+        last = np.zeros(3, np.uint32)  # the texts of a task are one stream, a boundary after each
+        for part in _parts(batches):
+            buf = np.frombuffer(part, np.uint8)
+            s = np.r_[last, _SYMBOL[buf[(buf < 0x80) | (buf >= 0xC0)]].astype(np.uint32)]
+            s = s[np.r_[True, True, True, (s[3:] != 0) | (s[2:-1] != 0)]]  # one boundary between words
+            if len(s) > 3:
+                total += np.bincount(((s[:-3] * N + s[1:-2]) * N + s[2:-1]) * N + s[3:], minlength=N**4)
+            last = s[-3:]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["code", "n"])
 
@@ -316,6 +329,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 6000, m
     return scored.mapInArrow(run, scored.schema)
 
 
-def rejected(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The rows whose score is under 0.5."""
-    return score_toxicity(docs, labels, **how).where("score < 0.5").drop("score")
+def rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without the rows that score 0.5 or more; all columns stay."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return score_toxicity(packed, labels, **how).where("score < 0.5").select("row.*")
