@@ -210,8 +210,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     called base or added are replaced); rows are returned as often as given; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    drop = [c for c in docs.columns if c in ("base", "added", "_text", "_cands")]
-    start = docs.drop(*drop).withColumn("_text", text).withColumn("base", base_spans(F.col("_text")))
+    start = docs.select(F.struct(*docs.columns).alias("row"), text.alias("_text")).withColumn("base", base_spans(F.col("_text")))
     seen = start.select("_text", "base").select(F.explode(candidates(F.col("_text"), F.col("base"))).alias("c"))
     c = F.col("c")
     by = {"kind": c["kind_no"]} | votes(c) | {"f_" + k: v for k, v in span_features(c).items() if k != "kind"}
@@ -225,7 +224,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kept = F.filter(candidates(F.col("_text"), F.col("base")), lambda x: score(x) > bar)
     added = F.array_sort(F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["kind_no"].alias("kind_no"), x["end"].alias("end"))))
-    return start.withColumn("added", added).drop("_text")
+    return start.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("base", "added")], "base", added.alias("added"))
 
 
 def spelled(spans: Column) -> Column:
@@ -243,11 +242,12 @@ def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span of its text replaced by its kind in angle brackets; overlapping spans become the first one's."""
-    found = find_spans(docs, id_col, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = find_spans(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text")), "row", "text")
+    text = F.coalesce(F.col("text"), F.lit(""))
     name = lambda n: F.element_at(F.array(*map(F.lit, KINDS)), n + 1)
     take = lambda a, b: F.substring(text, a + 1, b - a)
     step = lambda s, x: F.when(x["start"] >= s["at"], F.struct(x["end"].alias("at"), F.concat(s["out"], take(s["at"], x["start"]), F.lit("<"), F.upper(name(x["kind_no"])), F.lit(">")).alias("out"))).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out")))
     spans = F.array_sort(F.concat("base", "added"))
     clean = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(F.col(text_col))).select(*docs.columns)
+    new = found.select("row", F.when(F.size(spans) > 0, clean).otherwise(F.col("text")).alias("new"))
+    return new.select(*[F.col("new").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
