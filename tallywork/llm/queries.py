@@ -12,6 +12,7 @@ from .common import TOKENIZERS, fold_of, table
 from .decontaminate import contamination
 from .lm import score_documents
 from .neighbours import nearest
+from .passages import repeated_passages
 from .pii import span_digests
 from .simhash import simhash_components
 from .toxicity import score_toxicity
@@ -36,6 +37,10 @@ def op3_chat_formatting(spark, sf_dir):
     return digests(format_conversations(message_events(rows)))
 
 
+def op4_substring_dedup(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_language_model(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"), fold_of("doc_id", 7) == 2)
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_language_model": op5_language_model,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_bpe_round_trip": op7_bpe_round_trip,
