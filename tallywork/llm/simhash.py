@@ -175,11 +175,13 @@ def simhash_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4, see
     return fps.join(place, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row with the smallest id stays.
 
-    Of rows that repeat an id one stays; rows with a null id stay only if no row of their component has an id, one each.
+    Of rows that repeat an id one stays.  Rows without an id can't be told apart, so all of them stay.
     """
-    comps = simhash_components(docs, **how)
+    comps = simhash_components(docs, id_col=id_col, **how)
     ids = comps.where("doc_id = component_id").select(F.col("component_id").alias("_keep")).distinct()
-    return docs.join(ids, docs[how.get("id_col", "doc_id")] == ids["_keep"], "left_semi").dropDuplicates([how.get("id_col", "doc_id")])
+    own = docs[id_col].cast("long")
+    named = docs.where(own.isNotNull()).join(ids, own == ids["_keep"], "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(own.isNull()))
