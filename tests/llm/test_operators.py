@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallywork.llm import bpe, chat, decontaminate, lm, neighbours, pii, recurrent, simhash, toxicity, urls
+from tallywork.llm import bpe, chat, decontaminate, lm, neighbours, passages, pii, recurrent, simhash, toxicity, urls
 from tallywork.llm.common import TOKENIZERS, fold_of, table
 from tallywork.llm.graph import connected_components
 
@@ -326,3 +326,28 @@ def test_toxicity_edges(spark):
     assert toxicity.rejected(docs, labels).columns == docs.columns
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
     assert {r.score for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
+
+
+# --- passages ----------------------------------------------------------------------------------------------------------
+
+
+def test_passages(spark):
+    rng = np.random.default_rng(2)
+    fresh = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    shared, near = fresh(60), fresh(120).split()
+    edited = [*near[:60], "edit", *near[61:]]
+    texts = [(i, f"{fresh(40 + i)} {shared.upper() if i % 2 else shared} {fresh(30)}") for i in range(30)] + [(100, " ".join(near)), (101, " ".join(edited)), (200, fresh(300)), (201, fresh(49)), (202, "same line " * 400), (203, "same line " * 400)]
+    docs = frame(spark, texts + [(None, shared), (300, None), (301, ""), (200, None)])
+    got = {r.doc_id: r for r in passages.repeated_passages(docs).collect() if r.doc_id != 200 or r.n_links == 0}
+    assert {got[i].component_id for i in range(30)} == {0} and all(got[i].n_links for i in range(30))
+    assert got[101].component_id == 100 and got[203].component_id == 202
+    assert all(got[i].component_id == i and got[i].n_links == 0 and got[i].passages == "" for i in (200, 201, 300, 301))
+    a, z = map(int, got[5].passages.split(",")[0].split(":"))
+    assert a <= 45 and z >= 45 + 60 and z - a < 60 + 2 * 46
+    assert None in got and passages.repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_sliding_least():
+    h = np.random.default_rng(0).integers(0, 50, 300).astype(np.uint64)
+    for w in (1, 2, 3, 46, 300):
+        assert (passages.sliding_least(h, w) == [h[i : i + w].min() for i in range(len(h) - w + 1)]).all()
