@@ -126,7 +126,7 @@ def accuracy(rows: DataFrame, by_key: bool = False) -> DataFrame:
     keys = ["target_type", "target_key"] if by_key else ["target_type"]
     n = F.count("*")
     out = rows.groupingSets([keys, []], *keys).agg(
-        n.alias("n"), F.count_if(F.col("outcome") == "beat").alias("beat"), F.count_if(F.col("outcome") == "tie").alias("tie"), F.count_if(F.col("outcome") == "lost").alias("lost"), F.round(F.count_if(F.col("outcome") == "beat") / n, 4).alias("beat_rate"), F.round(F.avg("abs_error"), 4).alias("mae"), F.countDistinct("target_week_start").alias("weeks")
+        n.alias("n"), F.count_if(F.col("outcome") == "beat").alias("beat"), F.count_if(F.col("outcome") == "tie").alias("tie"), F.count_if(F.col("outcome") == "lost").alias("lost"), F.round(F.count_if(F.col("outcome") == "beat") / n, 4).alias("beat_rate"), F.round(F.sum(F.col("abs_error").cast("decimal(18,4)")).cast("double") / F.count("abs_error"), 4).alias("mae"), F.countDistinct("target_week_start").alias("weeks")
     )
     return out.select(*[F.coalesce(k, F.lit("overall")).alias(k) for k in keys], "n", "beat", "tie", "lost", "beat_rate", "mae", "weeks")
 

@@ -60,7 +60,7 @@ f AS (SELECT CASE WHEN before < 3 THEN 'trailing-mean-v1_shorthist' ELSE 'traili
 _BT = f"""{_forecast(_NOW + ' - 7', 'week < ' + _NOW)},
 e AS (SELECT * EXCLUDE (n), n AS actual, round(abs(predicted - n), 4) AS abs_error, round(abs(baseline_predicted - n), 4) AS baseline_abs_error FROM f),
 bt AS (SELECT *, abs_error < baseline_abs_error AS beat_baseline, CASE WHEN abs_error < baseline_abs_error THEN 'beat' WHEN abs_error = baseline_abs_error THEN 'tie' ELSE 'lost' END AS outcome FROM e)"""
-_AGG = "count(*) AS n, count(*) FILTER (outcome = 'beat') AS beat, count(*) FILTER (outcome = 'tie') AS tie, count(*) FILTER (outcome = 'lost') AS lost, round(count(*) FILTER (outcome = 'beat') / count(*), 4) AS beat_rate, round(avg(abs_error), 4) AS mae, count(DISTINCT target_week_start) AS weeks"
+_AGG = "count(*) AS n, count(*) FILTER (outcome = 'beat') AS beat, count(*) FILTER (outcome = 'tie') AS tie, count(*) FILTER (outcome = 'lost') AS lost, round(count(*) FILTER (outcome = 'beat') / count(*), 4) AS beat_rate, round(CAST(sum(CAST(abs_error AS DECIMAL(18, 4))) AS DOUBLE) / count(abs_error), 4) AS mae, count(DISTINCT target_week_start) AS weeks"
 _BULK = """eb AS (SELECT company FROM ev GROUP BY 1 HAVING count(*) > 0.25 * (SELECT count(*) FROM ev)), ek AS (SELECT * FROM p WHERE company NOT IN (SELECT company FROM eb))"""
 _TOPW = "SELECT skill, count(DISTINCT id) AS n, count(DISTINCT company) AS companies FROM em JOIN ek ON id = posting_id WHERE week = {} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"
 
