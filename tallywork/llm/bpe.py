@@ -73,23 +73,22 @@ class Chunk:
         self.size += len(raw)
 
     def finish(self, buckets: int) -> tuple[bytes, list[bytes], np.ndarray, np.ndarray]:
-        """The chunk's name, its words by bucket and then alphabet, where each bucket starts, and the documents' words by those places.
+        """The chunk's name, its words by bucket, where each bucket starts, and the documents' words by those places.
 
         The name comes from the content: the same documents in the same order give the same, whichever task makes it.
         """
         words = list(self.words)
-        bucket = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
-        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
-        order = order[np.argsort(bucket[order], kind="stable")]
+        bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+        order = np.argsort(bucket, kind="stable")
         place = np.empty(len(words), np.uint32)
         place[order] = np.arange(len(words), dtype=np.uint32)
         flat = place[np.concatenate(self.numbers)] if words else np.zeros(0, np.uint32)
         starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         h = hashlib.sha256(repr((self.ids, [len(x) for x in self.numbers])).encode())
         h.update(flat.tobytes())
-        for w in (words[i] for i in order):
-            h.update(w + b" ")
-        return h.digest()[:16], [words[i] for i in order], starts, flat
+        words = [words[i] for i in order.tolist()]
+        h.update(b" ".join(words))
+        return h.digest()[:16], words, starts, flat
 
 
 def chunks_of(batches, split=bytes.split, size: int = CHUNK_BYTES):
