@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywork.llm.bpe import encode_documents
-from tallywork.llm.common import TOKENIZERS, checkpointed, fold_of, small, table
-from tallywork.llm.decontaminate import contamination
+from tallywork.llm.common import TOKENIZERS, fold_of, table
+from tallywork.llm.decontaminate import uncontaminated
 from tallywork.llm.pii import redact
 from tallywork.llm.simhash import keep_one
 from tallywork.llm.toxicity import rejected
@@ -31,10 +31,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by windows of the benchmark."""
-    bad = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_bad"))
-    bad = small(checkpointed(bad), 100_000)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """Rows whose own text is not contaminated by windows of the benchmark; rows with null or repeated ids are judged alike."""
+    return uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from math import ceil
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import LOWER, text_bytes
 
@@ -81,8 +82,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 OUT = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_windows: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, spans, items) for every document row.
+def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_windows: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: str | None = None) -> DataFrame:
+    """(doc_id, n_words, spans, items) for every document row, and the column ``carry`` of that row if one is named.
 
     spans are the word spans [start, end) that occurrences of benchmark windows cover, merged; items are the ids, as
     sorted distinct strings, of the items that have an occurring window.  A null or empty text has no words; an item
@@ -93,7 +94,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_wi
     items = benchmark.select(key.alias("item"), text_bytes(item_text_col).alias("b")).distinct()
     total = items.agg(F.sum(F.octet_length("b") / 2 + 1)).first()[0] or 0  # no more windows than this
     blocks = max(1, ceil(total / max_windows))
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("b"), F.lit(0).cast("long").alias("n_words"), F.expr("CAST(array() AS array<struct<start:long,end:long>>)").alias("spans"), F.expr("CAST(array() AS array<string>)").alias("items"))
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("b"), F.lit(0).cast("long").alias("n_words"), F.expr("CAST(array() AS array<struct<start:long,end:long>>)").alias("spans"), F.expr("CAST(array() AS array<string>)").alias("items"), *([carry] if carry else []))
     context = docs.sparkSession.sparkContext
     for k in range(blocks):
         of: dict[tuple, set] = defaultdict(set)
@@ -102,7 +103,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_wi
                 of[w].add(r["item"])
         last = k == blocks - 1
         sent = context.broadcast(dict(of))
-        out = out.mapInArrow(_search(sent, last), "doc_id long, " + ("" if last else "b binary, ") + OUT)
+        schema = StructType.fromDDL("doc_id long, " + ("" if last else "b binary, ") + OUT)
+        out = out.mapInArrow(_search(sent, last), schema.add(carry, docs.schema[carry].dataType) if carry else schema)
     return out
 
 
@@ -126,7 +128,8 @@ def _search(sent, last: bool):
                 spans.append([{"start": x, "end": y} for x, y in merged(hits)])
                 items.append(sorted(found))
             new = [pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))]
-            names = ["n_words", "spans", "items"]
+            new += b.columns[5:]
+            names = ["n_words", "spans", "items", *b.schema.names[5:]]
             if last:
                 yield pa.RecordBatch.from_arrays([b.column(0), *new], ["doc_id", *names])
             else:
@@ -135,9 +138,15 @@ def _search(sent, last: bool):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, **how) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, share: int = 20, carry: str | None = None, **how) -> DataFrame:
     """:func:`find_windows` with the counts and the verdict: n_hit words are hit, and ``share`` * n_hit >= n_words is contaminated."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return find_windows(docs, benchmark, **how).select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), "spans"
+    return find_windows(docs, benchmark, carry=carry, **how).select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"), "spans", *([carry] if carry else [])
     )
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without the rows whose own text is contaminated; all columns stay, and ids (null or repeated) play no part."""
+    packed = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    return contamination(packed, benchmark, carry="row", **how).where(~F.col("contaminated")).select("row.*")

@@ -31,6 +31,14 @@ def test_stages(spark):
     assert private.columns == docs.columns and private.count() == docs.count() and private.where(F.col("text").rlike(r"[a-z]@[a-z]+\.[a-z]")).isEmpty()
 
 
+def test_decontamination_judges_rows_not_ids(spark):
+    docs = table(spark, DATA, "documents")
+    text = table(spark, DATA, "benchmark").where("text IS NOT NULL").first()["text"]
+    rows = [(i, t, "en", "s", 1) for i, t in [(None, text), (None, "clean words without an id"), (None, "more of them"), (7, text), (7, "clean words under the same id")]]
+    got = P.decontamination(spark, spark.createDataFrame(rows, docs.schema), DATA)
+    assert got.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in got.collect()) == [("7", "clean words under the same id"), ("None", "clean words without an id"), ("None", "more of them")]
+
+
 def test_whole_run(spark):
     out = P.run(spark, DATA)
     assert out.columns == ["doc_id", "ids", "decoded"] and 0 < out.count() <= table(spark, DATA, "documents").count()
