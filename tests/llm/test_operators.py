@@ -351,3 +351,20 @@ def test_sliding_least():
     h = np.random.default_rng(0).integers(0, 50, 300).astype(np.uint64)
     for w in (1, 2, 3, 46, 300):
         assert (passages.sliding_least(h, w) == [h[i : i + w].min() for i in range(len(h) - w + 1)]).all()
+def test_one_word_edits_are_found():
+    rng = np.random.default_rng(6)
+    for n in (51, 55, 60, 70):
+        hit = 0
+        for _ in range(300):
+            own = [f"w{x}".encode() for x in rng.integers(0, 10**9, n + 120)]
+            other = [f"v{x}".encode() for x in rng.integers(0, 10**9, n + 120)]
+            other[70 : 70 + n] = own[30 : 30 + n]
+            other[70 + n // 2] = b"edit"
+            a, b = ({(int(s), int(p)): None for band in passages.banded_windows(passages.shingle_hashes(b" ".join(t), 5), 46) for s, p in zip(band[0], band[1])} for t in (own, other))
+            at = {}
+            for s, p in a:
+                at.setdefault(s, []).append(p)
+            hit += any(q - p == 40 for s, q in b for p in at.get(s, ()))
+        assert hit >= 285, (n, hit)  # 95 in 100
+
+
