@@ -14,10 +14,12 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_bytes
+from .common import LOWER, checkpointed, text_bytes
+from .passages import SEEDS, mixed, shingle_hashes
 
 #: Symbols of the character model: 0 parts words, 1-26 are a-z, 27 is any other letter.
 N = 28
@@ -277,15 +279,32 @@ def fit_logistic(found: list[list[int]], y: np.ndarray, weight: np.ndarray, n: i
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, y): a bounded sample of the labelled rows, in the order of a hash; of texts with the same least word hash one."""
+    """(id, y): a bounded sample of the labelled rows, in the order of a hash; of near copies, which share all their least shingle hashes, one."""
     y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
-    sketch = F.array_min(F.transform(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"\s+"), lambda w: F.xxhash64(w)))
-    seen = docs.select(F.col(id_col).alias("id"), sketch.alias("sketch")).join(y, "id").groupBy("sketch", "y").agg(F.min("id").alias("id"))
+    texts = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("b")).join(y, "id").select("id", "y", "b")
+    kind = texts.schema["id"].dataType.simpleString()
+    seen = texts.mapInArrow(_near_copy_keys(), f"id {kind}, y int, sketch binary").groupBy("sketch", "y").agg(F.min("id").alias("id"))
     pick = lambda k, n: seen.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(n)
-    return pick(1, most_toxic).unionByName(pick(0, most_clean)).select("id", "y")
+    return pick(1, most_toxic).unionByName(pick(0, most_clean)).select("id", "y").distinct()
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 6000, most_clean: int = 10_000, most_features: int = 20_000, least: float = 2.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _near_copy_keys(shingle: int = 3, minima: int = 4):
+    """(id, y, sketch): the least hashes of a text's word shingles under several functions; of a text with fewer words the hash of them all."""
+
+    def sketch(raw: bytes) -> bytes:
+        h = shingle_hashes(raw, shingle)
+        if not len(h):
+            return xxhash.xxh64_digest(b" ".join(raw.translate(LOWER).split()))
+        return np.array([mixed(h, seed).min() for seed in SEEDS[:minima]]).tobytes()
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sketch(raw.as_py()) for raw in b.column(2)], pa.binary())], ["id", "y", "sketch"])
+
+    return run
+
+
     """The rows of ``docs`` with a column ``score`` from 0 to 1, higher for toxic texts, from the text alone.
 
     ``labels`` has doc_id and toxic (0 or 1); rows without either are left out, the largest label of an id counts.  At

@@ -348,6 +348,17 @@ def test_passages(spark):
 
 
 def test_sliding_least():
+def test_training_rows_drop_near_copies_only(spark):
+    rng = np.random.default_rng(4)
+    fresh = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    copy = fresh(200)
+    texts = [(i, f"are you {fresh(20 + i)} are you") for i in range(200)] + [(1000 + i, copy.upper() if i % 2 else f"{copy} ") for i in range(50)] + [(2000, None), (2001, ""), (2002, "one two"), (2003, "one three")]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i, _ in texts], "doc_id long, toxic int")
+    got = sorted((r.id, r.y) for r in toxicity.training_rows(frame(spark, texts), labels, 6000, 10_000, "doc_id", "text").collect())
+    assert got == sorted([(i, i % 2) for i in range(200)] + [(1000, 0), (1001, 1), (2000, 0), (2001, 1), (2002, 0), (2003, 1)])
+    assert toxicity.training_rows(frame(spark, texts), labels, 30, 20, "doc_id", "text").groupBy("y").count().orderBy("y").collect() == [(0, 20), (1, 30)]
+
+
     h = np.random.default_rng(0).integers(0, 50, 300).astype(np.uint64)
     for w in (1, 2, 3, 46, 300):
         assert (passages.sliding_least(h, w) == [h[i : i + w].min() for i in range(len(h) - w + 1)]).all()
