@@ -1,7 +1,7 @@
 """Toxicity of texts behind leetspeak, spacing and repetition: noisy-channel decoding, then a linear model.
 
-A character model of order four is counted over all documents.  A token that may be disguised (signs between letters, a
-letter three times in a row, letters apart) becomes a lattice: each place offers the letters that it may stand for, at
+A character model of order four is counted over all documents.  A token that may be disguised (a sign that stands for a
+letter, a filler, a letter three times in a row, letters apart), hex strings and numbers excepted, becomes a lattice: each place offers the letters that it may stand for, at
 the cost of the channel, and a Viterbi search takes the path that channel and character model together like best.
 Other tokens have one path only, themselves.  The restored words and their beginnings are the features of a logistic
 model with weights of at least zero, fitted on a bounded sample of labelled rows, one for each group of near copies.
@@ -33,16 +33,26 @@ FILLERS = ".-_*~'`^:,/\\ "
 #: log10 costs of the channel: a sign for a letter, a sign as itself, a filler left out, a filler as the end of a word, a letter of a run dropped.
 SUBSTITUTE, LITERAL, DROP, PART, SHORTEN = -0.5, -2.0, -0.2, -1.0, -0.1
 
-_INNER = re.compile(r"[^\W\d_][0-9@$!|+(€£]|[0-9@$!|+(€£][^\W\d_]|([^\W\d_])\1\1|(?<![^\W_])[^\W_][.\-_*~:/][^\W_][.\-_*~:/][^\W_](?![^\W_])")
-_APART = re.compile(r"(?<!\S)(?:[^\W_] +){2,}[^\W_](?!\S)")
+_SIGNS = "".join(map(re.escape, LEET))
+_MARK = re.compile(rf"[{_SIGNS}{re.escape(FILLERS.strip())}]|([^\W\d_])\1\1")
+_APART = re.compile(rf"(?<!\S)(?:[^\W_{_SIGNS}]|[{_SIGNS}])(?: +(?:[^\W_{_SIGNS}]|[{_SIGNS}])){{2,}}(?!\S)")
 _EDGE = " \t\r\n.,;:?\"'()[]{}<>*#%&~-_=`^/\\"
-_HEX = re.compile(r"[0-9a-f]{16,}|.{40,}", re.S)
+#: Tokens that are no words: hex strings, and numbers with their separators, signs and units.
+_HEX = re.compile(r"[0-9a-f]{16,}")
+_NUMBER = re.compile(r"[+$€£]?[0-9][0-9.,:/_~*'-]*[$€£+]?")
+_RUN = re.compile(r"(.)\1{3,}", re.S)
 
 
 def _char(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
 
 
+def _spells(text: str) -> bool:
+    """Whether signs may be a word: two different ones, not all of them digits."""
+    found = {c for c in text if c.isalpha() or c in LEET}
+    return len(found) > 1 and not all(map(str.isdigit, found))
+
+
 def _parts(batches, size: int = 1 << 22):
     """The texts of a task, parted by line ends, in pieces of about ``size`` bytes."""
     held, n = [], 0
@@ -168,14 +178,16 @@ class Restorer:
 
     def _words(self, token: str) -> tuple[str, ...]:
         core = token.strip(_EDGE)
-        if core.isalpha() and not re.search(r"(.)\1\1", core):
-            return (core,)
-        if not core or _HEX.fullmatch(core) or not _INNER.search(core) or sum(map(str.isalpha, core)) * 3 < len(core):
+        if not _MARK.search(core) or _HEX.fullmatch(core) or _NUMBER.fullmatch(core) or not _spells(core):
             bare = core.strip("!$+|@")
             return (bare,) if bare else ()
+        core = _RUN.sub(r"\1\1\1", core)  # the lattice takes longer runs alike
         # signs at the end may be punctuation; the reading without them is tried as well
-        out = {viterbi(core, self.model)} | {viterbi(core.rstrip("!$+|"), self.model)}
-        return tuple(sorted({w for x in out for w in x.split()}))
+        return tuple(sorted({w for x in {core, core.rstrip("!$+|")} for w in self._decoded(x)}))
+
+    def _decoded(self, text: str, size: int = 4000, overlap: int = 40) -> list[str]:
+        """The words of the best path, of long texts in pieces that overlap."""
+        return [w for at in range(0, len(text), size) for w in viterbi(text[max(0, at - overlap) : at + size], self.model).split()]
 
     def document(self, text: str) -> set[str]:
         """The distinct restored words of a whole text."""
@@ -184,15 +196,13 @@ class Restorer:
         for token in set(low.split()):
             out.update(self.words(token))
         for m in _APART.finditer(low):
-            letters = m[0]
-            if len(set(letters)) > 3:
-                for at in range(0, len(letters), 4000):
-                    out.update(viterbi(re.sub(" +", " ", letters[max(0, at - 40) : at + 4000]), self.model).split())
+            if _spells(m[0]):
+                out.update(self._decoded(re.sub(" +", " ", m[0])))
         return out
 
     def text(self, text: str) -> str:
         """A text with every token restored."""
-        low = _APART.sub(lambda m: viterbi(re.sub(" +", " ", m[0]), self.model) if len(set(m[0])) > 3 else m[0], text.lower())
+        low = _APART.sub(lambda m: viterbi(re.sub(" +", " ", m[0]), self.model) if _spells(m[0]) else m[0], text.lower())
         return " ".join(" ".join(self.words(t)) for t in low.split())
 
 
@@ -278,17 +288,6 @@ def fit_logistic(found: list[list[int]], y: np.ndarray, weight: np.ndarray, n: i
     return w, b
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, y): a bounded sample of the labelled rows, in the order of a hash; of near copies, which share all their least shingle hashes, one."""
-    y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
-    texts = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("b")).join(y, "id").select("id", "y", "b")
-    kind = texts.schema["id"].dataType.simpleString()
-    seen = texts.mapInArrow(_near_copy_keys(), f"id {kind}, y int, sketch binary").groupBy("sketch", "y").agg(F.min("id").alias("id"))
-    pick = lambda k, n: seen.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(n)
-    return pick(1, most_toxic).unionByName(pick(0, most_clean)).select("id", "y").distinct()
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 6000, most_clean: int = 10_000, most_features: int = 20_000, least: float = 2.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
 def _near_copy_keys(shingle: int = 3, minima: int = 4):
     """(id, y, sketch): the least hashes of a text's word shingles under several functions; of a text with fewer words the hash of them all."""
 
@@ -305,6 +304,17 @@ def _near_copy_keys(shingle: int = 3, minima: int = 4):
     return run
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, y): a bounded sample of the labelled rows, in the order of a hash; of near copies, which share all their least shingle hashes, one."""
+    y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
+    texts = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("b")).join(y, "id").select("id", "y", "b")
+    kind = texts.schema["id"].dataType.simpleString()
+    seen = texts.mapInArrow(_near_copy_keys(), f"id {kind}, y int, sketch binary").groupBy("sketch", "y").agg(F.min("id").alias("id"))
+    pick = lambda k, n: seen.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(n)
+    return pick(1, most_toxic).unionByName(pick(0, most_clean)).select("id", "y").distinct()
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 6000, most_clean: int = 10_000, most_features: int = 20_000, least: float = 2.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with a column ``score`` from 0 to 1, higher for toxic texts, from the text alone.
 
     ``labels`` has doc_id and toxic (0 or 1); rows without either are left out, the largest label of an id counts.  At

@@ -328,6 +328,18 @@ def test_toxicity_edges(spark):
     assert {r.score for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_every_marked_token_is_decoded():
+    model = toxicity.with_lexicon(np.log10(np.full((28,) * 4, 1 / 28, np.float32)), ["idiot", "stupid", "shit", "ass"])
+    r = toxicity.Restorer(model)
+    for disguised, word in (
+        ("s" + "t" * 40 + "upid", "stupid"), ("s.t.u.p.i.d." * 5, "stupid"), ("$h17", "shit"), ("5h17", "shit"), ("1d107", "idiot"), ("i,d,i,o,t", "idiot"), ("i'd'i'o't", "idiot"), ("i^d^i^o^t", "idiot"), ("i`d\\iot", "idiot"), ("id.iot", "idiot"),
+        ("a s s", "ass"), ("$ t u p 1 d", "stupid"), ("x" * 30 + "-" + "qw-" * 2000 + "-1d10t", "idiot"),
+    ):
+        assert any(word in w for w in r.document(f"you {disguised} there")), disguised
+    assert r.document("on 2024-01-02 at 10:30 for $1,500.00 or 1 2 3 4") == {"on", "at", "for", "or", "2024-01-02", "10:30", "1,500.00", "1", "2", "3", "4"}
+    assert len(r.document("x" * 200_000)) == 1
+
+
 # --- passages ----------------------------------------------------------------------------------------------------------
 
 
