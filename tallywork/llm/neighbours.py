@@ -121,8 +121,8 @@ def _post(sent, copies: int, slack: float):
     return run
 
 
-def _route(sent, probes: int, prune: float):
-    """Each query to the lists that distance-ratio pruning leaves."""
+def _route(sent, probes: int, prune: float | None):
+    """Each query to the lists that distance-ratio pruning leaves; without pruning to its ``probes`` nearest lists, all of them compared."""
 
     def run(batches):
         graph, longest = sent.value["graph"], sent.value["longest"]
@@ -130,8 +130,11 @@ def _route(sent, probes: int, prune: float):
             lists, rows = [], []
             for i, q in enumerate(matrix(b.column(1)) if b.num_rows else ()):
                 q = np.r_[q / np.sqrt((q * q).sum()), 0.0]  # a query's length does not matter
-                ids, d = graph.search(q, probes)
-                keep = ids[d <= d[0] * (1 + prune) ** 2]
+                if prune is None:
+                    keep = np.argsort(((graph.c - q) ** 2).sum(1), kind="stable")[:probes]
+                else:
+                    ids, d = graph.search(q, probes)
+                    keep = ids[d <= d[0] * (1 + prune) ** 2]
                 lists += keep.tolist()
                 rows += [i] * len(keep)
             t = pa.array(rows, pa.int64())
@@ -144,6 +147,14 @@ def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
+def _distinct(p: np.ndarray, pid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows without those that repeat both id and vector, so that k rows are k candidates."""
+    if len(np.unique(pid)) == len(pid):
+        return p, pid
+    at = np.array(list({(i, v.tobytes()): n for n, (i, v) in enumerate(zip(pid.tolist(), p))}.values()))
+    return p[at], pid[at]
+
+
 def _scan(k: int):
     """Over rows sorted by block, vectors before queries: each query's best k of the block's vectors, its own row excepted."""
 
@@ -181,7 +192,7 @@ def _scan(k: int):
                     pids.append(ids[a:z])
                 elif ps:
                     if p is None:
-                        p, pid = np.concatenate(ps), np.concatenate(pids)
+                        p, pid = _distinct(np.concatenate(ps), np.concatenate(pids))
                     for y in range(a, z, 256):
                         best(out, v[y : min(z, y + 256)], ids[y : min(z, y + 256)], p, pid)
             if out:
@@ -197,7 +208,8 @@ def nearest(
 
     Nearest is the largest inner product in double precision, ties to the smaller id; a query's own id is no candidate.
     Null, zero and non-finite vectors, vectors of another length than most and rows without an id take no part.  Rows that
-    repeat an id count as one candidate where their vectors are equal.  An empty table gives no rows.  ``sample`` bounds
+    repeat an id count as one candidate where their vectors are equal.  A query has fewer than ``k`` rows only if there are
+no more candidates.  An empty table gives no rows.  ``sample`` bounds
     what centroids are fitted on, ``most_lists`` how many there are; all rows are indexed.
     """
     good = usable(rows, id_col, vector_col)
@@ -212,16 +224,29 @@ def nearest(
     posts = good.mapInArrow(_post(sent, copies, slack), "list int, id long, v array<double>")
     asked = rows.where(is_query)
     asked = usable_like(asked, len(fit[0]), id_col, vector_col)
-    routes = asked.mapInArrow(_route(sent, probes, prune), "list int, id long, v array<double>")
-    # lists and their queries in blocks; one row for each list, so their number is bounded
     count = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    sizes = small(checkpointed(count(posts, "nv").join(count(routes, "nq"), "list")), most_lists)
     own = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = posts.join(sizes, "list").select("list", own("nv").alias("bv"), every("nq").alias("bq"), F.lit(0).alias("kind"), "id", "v")
-    right = routes.join(sizes, "list").select("list", every("nv").alias("bv"), own("nq").alias("bq"), F.lit(1).alias("kind"), "id", "v")
     by = ["list", "bv", "bq"]
-    found = left.unionByName(right).repartition(*by).sortWithinPartitions(*by, "kind").mapInArrow(_scan(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # a vector that stands in several lists has one dense rank
-    return found.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).dropDuplicates(["query_id", "vec_id", "rank"]).select("query_id", "rank", "vec_id", "score")
+
+    def searched(asked: DataFrame, probes: int, prune: float | None) -> DataFrame:
+        routes = asked.mapInArrow(_route(sent, probes, prune), "list int, id long, v array<double>")
+        # lists and their queries in blocks; one row for each list, so their number is bounded
+        sizes = small(checkpointed(count(posts, "nv").join(count(routes, "nq"), "list")), most_lists)
+        left = posts.join(sizes, "list").select("list", own("nv").alias("bv"), every("nq").alias("bq"), F.lit(0).alias("kind"), "id", "v")
+        right = routes.join(sizes, "list").select("list", every("nv").alias("bv"), own("nq").alias("bq"), F.lit(1).alias("kind"), "id", "v")
+        found = left.unionByName(right).repartition(*by).sortWithinPartitions(*by, "kind").mapInArrow(_scan(k), "query_id long, vec_id long, score double")
+        # a vector that stands in several lists has one dense rank
+        return checkpointed(found.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).dropDuplicates(["query_id", "vec_id", "rank"]).select("query_id", "rank", "vec_id", "score"))
+
+    out = searched(asked, probes, prune)
+    while probes < lists or prune is not None:
+        # queries whose lists hold fewer than k others are sent to more lists, at last to all
+        full = out.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
+        short = checkpointed(asked.join(full, "id", "left_anti"))
+        if short.isEmpty():
+            break
+        probes, prune = min(lists, 4 * probes), None
+        out = out.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(searched(short, probes, prune))
+    return out

@@ -118,6 +118,18 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
+def test_neighbours_with_repeats_and_small_clusters(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 6))
+    x[:3] = [50.0, 0, 0, 0, 0, 0] + rng.normal(size=(3, 6)) * 1e-3  # a small tight cluster far from the others
+    rows = [(i, v.tolist()) for i, v in enumerate(x) for _ in range(30 if i % 3 == 1 else 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id").isin(0, 60), k=20, list_size=8, prune=0.0, probes=2).collect()
+    assert Counter(r.query_id for r in got) == {0: 20, 60: 20} and len({(r.query_id, r.vec_id) for r in got}) == 40
+    whole = neighbours.nearest(df, F.col("vec_id") == 60, k=20, list_size=10**6).orderBy("rank").collect()
+    assert [r.vec_id for r in whole] == sorted((j for j in range(300) if j != 60), key=lambda j: (-round(float((x[60] * x[j]).sum()), 9), j))[:20]
+
+
 # --- chat --------------------------------------------------------------------------------------------------------------
 
 
