@@ -32,15 +32,15 @@ def path_of(url):
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
-def segments_of(path, depth: int):
-    """The generalised segments of a path, those beyond ``depth`` as one."""
+def segments_of(path):
+    """The generalised segments of a path."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
 
     def general(s):
         stem, ending = F.regexp_extract(s, r"(?s)^(.*?)(\.[A-Za-z]{1,5})?$", 1), F.regexp_extract(s, r"(?s)^(.*?)(\.[A-Za-z]{1,5})?$", 2)
         return F.when(stem.rlike(_VARIABLE), F.concat(F.lit("*"), ending)).otherwise(s)
 
-    return F.when(F.size(parts) > depth, F.concat(F.transform(F.slice(parts, 1, depth), general), F.array(F.lit("**")))).otherwise(F.transform(parts, general))
+    return F.transform(parts, general)
 
 
 def rules_frame(spark, rules: list[tuple[str, str]]) -> DataFrame:
@@ -66,14 +66,15 @@ def with_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return out.select(*pages.columns, F.col("_fit.rule").alias("rule"), F.col("_fit.rule_verdict").alias("rule_verdict"))
 
 
-def template_counts(pages: DataFrame, depth: int) -> DataFrame:
+def template_counts(pages: DataFrame) -> DataFrame:
     """(host, template, n, bad): labelled pages of each host and generalised path; ``label`` is 1 for bad, 0 for good."""
-    return pages.where(F.col("label").isNotNull()).groupBy("host", segments_of(F.col("path"), depth).alias("template")).agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
+    return pages.where(F.col("label").isNotNull()).groupBy("host", segments_of(F.col("path")).alias("template")).agg(F.count("*").alias("n"), F.sum("label").alias("bad"))
 
 
-def merge_branches(counts: DataFrame, depth: int, similar: float = 2.0) -> DataFrame:
+def merge_branches(counts: DataFrame, similar: float = 2.0) -> DataFrame:
     """``counts`` with a column ``merged``: from the root on, siblings whose bad share is within ``similar`` standard errors of the other siblings' are one wildcard."""
     now = counts.withColumn("merged", F.col("template"))
+    depth = counts.agg(F.max(F.size("template"))).first()[0] or 0  # of the labelled pages' longest path
     for level in range(depth):
         head = F.slice("merged", 1, level)
         node = now.where(F.size("merged") > level).groupBy("host", head.alias("head"), F.element_at("merged", level + 1).alias("segment")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -89,7 +90,7 @@ def merge_branches(counts: DataFrame, depth: int, similar: float = 2.0) -> DataF
     return now
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, depth: int = 3, strength: float = 10.0, bar: float = 0.5, id_col: str = "page_id", url_col: str = "url", label_col: str = "label") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, strength: float = 10.0, bar: float = 0.5, id_col: str = "page_id", url_col: str = "url", label_col: str = "label") -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) for every row.
 
     verdict is the longest fitting rule's, else block if the purity of the page's template is above ``bar``, else allow.
@@ -98,14 +99,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, depth: int = 3, strength: flo
     such without ``://`` have an empty host and path.  Repeated rows stay; an empty table gives no rows.
     """
     split = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(label_col).cast("long").alias("label"))
-    counts = checkpointed(merge_branches(checkpointed(template_counts(split, depth)), depth))
+    counts = checkpointed(merge_branches(checkpointed(template_counts(split))))
     whole = counts.agg(F.coalesce((F.sum("bad") + 1) / (F.sum("n") + 2), F.lit(0.0)).alias("share")).first()["share"]
     hosts = counts.groupBy("host").agg(((F.sum("bad") + strength * whole) / (F.sum("n") + strength)).alias("host_share"))
     merged = counts.groupBy("host", "merged").agg(F.sum("n").alias("mn"), F.sum("bad").alias("mb")).join(hosts, "host").withColumn("purity", (F.col("mb") + strength * F.col("host_share")) / (F.col("mn") + strength))
     judged = counts.select("host", "template", "merged").join(merged.select("host", "merged", "purity"), ["host", "merged"]).select("host", "template", F.concat(F.lit("/"), F.array_join("merged", "/")).alias("_merged"), "purity")
     judged = small(checkpointed(judged), 10_000)
     hosts = small(checkpointed(hosts), 10_000)
-    keyed = with_rules(split, rules).withColumn("template", segments_of(F.col("path"), depth))
+    keyed = with_rules(split, rules).withColumn("template", segments_of(F.col("path")))
     out = keyed.join(judged, ["host", "template"], "left").join(hosts, "host", "left")
     purity = F.coalesce("purity", "host_share", F.lit(whole))
     return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(purity > bar, "block").otherwise("allow")).alias("verdict"), F.coalesce("_merged", F.concat(F.lit("/"), F.array_join("template", "/"))).alias("template"), purity.alias("purity"))

@@ -273,6 +273,12 @@ def test_url_templates(spark):
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string, label int"), urls.rules_frame(spark, RULES)).count() == 0
 
 
+def test_deep_url_branches_are_judged_by_themselves(spark):
+    rows = [(i, f"http://h.x/a/b/c/d/{'spam' if i % 4 == 0 else 'news'}/{i}", int(i % 4 == 0)) for i in range(400)] + [(1000, "http://h.x/a/b/c/d/spam/77777", None), (1001, "http://h.x/a/b/c/d/news/5", None), (1002, "http://h.x/a/b/c/d/e/f/g/h", None)]
+    got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, label int"), urls.rules_frame(spark, RULES)).collect()}
+    assert (got[1000].verdict, got[1001].verdict, got[1000].template, got[1002].template) == ("block", "allow", "/a/b/c/d/spam/*", "/a/b/c/d/e/f/g/h")
+
+
 # --- personal data -----------------------------------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -322,6 +328,18 @@ def test_disguised_words_are_restored():
     assert r.document("") == set() and r.document("18a0165473c0330c" * 4)
 
 
+def test_every_marked_token_is_decoded():
+    model = toxicity.with_lexicon(np.log10(np.full((28,) * 4, 1 / 28, np.float32)), ["idiot", "stupid", "shit", "ass"])
+    r = toxicity.Restorer(model)
+    for disguised, word in (
+        ("s" + "t" * 40 + "upid", "stupid"), ("s.t.u.p.i.d." * 5, "stupid"), ("$h17", "shit"), ("5h17", "shit"), ("1d107", "idiot"), ("i,d,i,o,t", "idiot"), ("i'd'i'o't", "idiot"), ("i^d^i^o^t", "idiot"), ("i`d\\iot", "idiot"), ("id.iot", "idiot"),
+        ("a s s", "ass"), ("$ t u p 1 d", "stupid"), ("x" * 30 + "-" + "qw-" * 2000 + "-1d10t", "idiot"),
+    ):
+        assert any(word in w for w in r.document(f"you {disguised} there")), disguised
+    assert r.document("on 2024-01-02 at 10:30 for $1,500.00 or 1 2 3 4") == {"on", "at", "for", "or", "2024-01-02", "10:30", "1,500.00", "1", "2", "3", "4"}
+    assert len(r.document("x" * 200_000)) == 1
+
+
 def test_toxicity_held_out(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     scored = toxicity.score_toxicity(docs.select("doc_id", "text", F.lit("clash").alias("score")), labels.where(fold_of("doc_id", 5) != 0))
@@ -330,6 +348,17 @@ def test_toxicity_held_out(spark):
     assert right / len(held) > 0.9 and all(0 <= r.score <= 1 for r in held)
 
 
+def test_training_rows_drop_near_copies_only(spark):
+    rng = np.random.default_rng(4)
+    fresh = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    copy = fresh(200)
+    texts = [(i, f"are you {fresh(20 + i)} are you") for i in range(200)] + [(1000 + i, copy.upper() if i % 2 else f"{copy} ") for i in range(50)] + [(2000, None), (2001, ""), (2002, "one two"), (2003, "one three")]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i, _ in texts], "doc_id long, toxic int")
+    got = sorted((r.id, r.y) for r in toxicity.training_rows(frame(spark, texts), labels, 6000, 10_000, "doc_id", "text").collect())
+    assert got == sorted([(i, i % 2) for i in range(200)] + [(1000, 0), (1001, 1), (2000, 0), (2001, 1), (2002, 0), (2003, 1)])
+    assert toxicity.training_rows(frame(spark, texts), labels, 30, 20, "doc_id", "text").groupBy("y").count().orderBy("y").collect() == [(0, 20), (1, 30)]
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(4, 1), (5, 0), (5, None), (None, 1)], "doc_id long, toxic int")
     docs = frame(spark, EDGE)
@@ -340,18 +369,6 @@ def test_toxicity_edges(spark):
     assert {r.score for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
 
 
-def test_every_marked_token_is_decoded():
-    model = toxicity.with_lexicon(np.log10(np.full((28,) * 4, 1 / 28, np.float32)), ["idiot", "stupid", "shit", "ass"])
-    r = toxicity.Restorer(model)
-    for disguised, word in (
-        ("s" + "t" * 40 + "upid", "stupid"), ("s.t.u.p.i.d." * 5, "stupid"), ("$h17", "shit"), ("5h17", "shit"), ("1d107", "idiot"), ("i,d,i,o,t", "idiot"), ("i'd'i'o't", "idiot"), ("i^d^i^o^t", "idiot"), ("i`d\\iot", "idiot"), ("id.iot", "idiot"),
-        ("a s s", "ass"), ("$ t u p 1 d", "stupid"), ("x" * 30 + "-" + "qw-" * 2000 + "-1d10t", "idiot"),
-    ):
-        assert any(word in w for w in r.document(f"you {disguised} there")), disguised
-    assert r.document("on 2024-01-02 at 10:30 for $1,500.00 or 1 2 3 4") == {"on", "at", "for", "or", "2024-01-02", "10:30", "1,500.00", "1", "2", "3", "4"}
-    assert len(r.document("x" * 200_000)) == 1
-
-
 # --- passages ----------------------------------------------------------------------------------------------------------
 
 
@@ -371,21 +388,6 @@ def test_passages(spark):
     assert None in got and passages.repeated_passages(docs.limit(0)).count() == 0
 
 
-def test_sliding_least():
-def test_training_rows_drop_near_copies_only(spark):
-    rng = np.random.default_rng(4)
-    fresh = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
-    copy = fresh(200)
-    texts = [(i, f"are you {fresh(20 + i)} are you") for i in range(200)] + [(1000 + i, copy.upper() if i % 2 else f"{copy} ") for i in range(50)] + [(2000, None), (2001, ""), (2002, "one two"), (2003, "one three")]
-    labels = spark.createDataFrame([(i, int(i % 2)) for i, _ in texts], "doc_id long, toxic int")
-    got = sorted((r.id, r.y) for r in toxicity.training_rows(frame(spark, texts), labels, 6000, 10_000, "doc_id", "text").collect())
-    assert got == sorted([(i, i % 2) for i in range(200)] + [(1000, 0), (1001, 1), (2000, 0), (2001, 1), (2002, 0), (2003, 1)])
-    assert toxicity.training_rows(frame(spark, texts), labels, 30, 20, "doc_id", "text").groupBy("y").count().orderBy("y").collect() == [(0, 20), (1, 30)]
-
-
-    h = np.random.default_rng(0).integers(0, 50, 300).astype(np.uint64)
-    for w in (1, 2, 3, 46, 300):
-        assert (passages.sliding_least(h, w) == [h[i : i + w].min() for i in range(len(h) - w + 1)]).all()
 def test_one_word_edits_are_found():
     rng = np.random.default_rng(6)
     for n in (51, 55, 60, 70):
@@ -403,3 +405,7 @@ def test_one_word_edits_are_found():
         assert hit >= 285, (n, hit)  # 95 in 100
 
 
+def test_sliding_least():
+    h = np.random.default_rng(0).integers(0, 50, 300).astype(np.uint64)
+    for w in (1, 2, 3, 46, 300):
+        assert (passages.sliding_least(h, w) == [h[i : i + w].min() for i in range(len(h) - w + 1)]).all()
