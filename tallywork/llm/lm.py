@@ -1,40 +1,40 @@
 """Language-model scores of whole documents: counts of all training words, and a recurrent model over the frequent ones.
 
-Words are counted exactly over all training documents: each chunk of a task's documents sends its distinct words with
-their counts by a hash of the word, and gets the totals back by position (a frequent word moves once for each chunk).
-The most frequent words and the end sign are the recurrent model's tokens; every other word is one of a few shapes, its
-probability that of the shape times its share in the shape by the exact counts.  Workers train on parts of a share of
-the training documents, and their parameters are averaged after each round, weighted by tokens, in blocks.
-A token's probability is the model's mixed with a little of the base's, which no word has without.
+Texts are tokenised once.  Runs of documents of one task (chunks) become numbers into the chunk's distinct words, which
+is written to the shared folder.  A chunk's words go by a hash of the word to where all chunks' counts of it meet, and
+the totals come back by position, so a frequent word moves once for each chunk.  The most frequent words and the end
+sign are the recurrent model's tokens; every other word is one of a few shapes, its probability that of the shape times
+its share in the shape by the exact counts.
+
+The model learns from every training document: in each of a few rounds every chunk trains on its next share of its
+documents from the same parameters, and the parameters are averaged, weighted by tokens, in blocks.  A chunk has a
+bounded size, so a larger corpus has more chunks, not longer tasks.  A token's probability is the model's mixed with a
+little of the base's, which no word has without.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import zlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import recurrent as R
-from .bpe import chunks_of
-from .common import LOWER, checkpointed, text_bytes
+from .common import checkpointed
 
 SHAPES = 32
 #: Token number of the end sign, which also stands before the first word; words come after it.
 END = SHAPES
+#: Bytes of text in a chunk, unless one text is longer.
 CHUNK = 16 << 20
 _DIGITS, _SIGNS = frozenset(b"0123456789"), frozenset(b"%*$&#!?;:|)]}\"'=_-/")
 
 
-def tokens_of(raw: bytes) -> list[bytes]:
-    """The words of a text, then one end, which is the empty word."""
-    return [*raw.translate(LOWER).split(), b""]
-
-
 def shape_of(word: bytes) -> int:
     if not word:
         return 0
@@ -43,126 +43,184 @@ def shape_of(word: bytes) -> int:
     return ending | (not word.isascii()) << 2 | (not _DIGITS.isdisjoint(word)) << 3 | (len(word) > 8) << 4
 
 
-def _counts(buckets: int):
-    """(bucket, chunk, at, words, counts): each chunk's distinct words in a bucket, with their counts in its training documents."""
+def words_of(texts: pa.StringArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(words, flat, lengths): the distinct words of texts, A-Z lower-cased, the end sign's empty word last; each text's word numbers, then the end; how many those are."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    values, of = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
+    some = pc.binary_length(values).to_numpy() > 0  # white space at either end leaves an empty piece
+    coded = values.filter(pa.array(some)).dictionary_encode()
+    words = [*coded.dictionary.cast(pa.binary()).to_pylist(), b""]
+    lengths = np.bincount(of[some], minlength=len(texts)) + 1
+    flat = np.full(int(lengths.sum()), len(words) - 1, np.uint32)
+    inside = np.ones(len(flat), bool)
+    inside[np.cumsum(lengths) - 1] = False
+    flat[inside] = coded.indices.to_numpy(zero_copy_only=False)
+    return words, flat, lengths
+
+
+def _chunks(batches):
+    """(ids, texts) of the chunks of a task's rows."""
+    ids, texts, have = [], [], 0
+    for b in batches:
+        size = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)
+        at = 0
+        for i, n in enumerate(size.tolist()):
+            if have and have + n > CHUNK:
+                yield pa.concat_arrays([*ids, b.column(0).slice(at, i - at)]), pa.concat_arrays([*texts, b.column(1).slice(at, i - at)])
+                ids, texts, have, at = [], [], 0, i
+            have += n + 1
+        if at < b.num_rows:
+            ids.append(b.column(0).slice(at))
+            texts.append(b.column(1).slice(at))
+    if ids:
+        yield pa.concat_arrays(ids), pa.concat_arrays(texts)
+
+
+_NUMBERED = "kind int, chunk binary, bucket int, at int, words binary, counts binary, ids array<struct<doc_id:long,held:boolean>>, lengths array<long>, packed binary"
+
+
+def _number(buckets: int):
+    """Kind 0: each chunk's distinct words in a bucket, with their counts in its training documents.  Kind 1: its documents as word numbers; ``at`` is the end's number."""
+    ids_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("held", pa.bool_())]))
+    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.binary()), ("bucket", pa.int32()), ("at", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("ids", ids_type), ("lengths", pa.list_(pa.int64())), ("packed", pa.binary())])
 
     def run(batches):
-        for c in chunks_of(batches, tokens_of, CHUNK):
-            name, words, starts, flat = c.finish(buckets)
-            train = np.repeat([not x["held"] for x in c.ids], [len(x) for x in c.numbers])
+        for ids, texts in _chunks(batches):
+            words, flat, lengths = words_of(texts)
+            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(words), np.uint32)
+            place[order] = np.arange(len(words), dtype=np.uint32)
+            flat = place[flat]
+            starts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            words = [words[i] for i in order.tolist()]
+            ids = ids.to_pylist()
+            train = np.repeat([not x["held"] for x in ids], lengths)
             n = np.bincount(flat[train], minlength=len(words)).astype("<u4")
+            # the name comes from the content: the same documents give the same, whichever task makes it
+            h = hashlib.sha256(repr((ids, lengths.tolist())).encode())
+            h.update(flat.tobytes())
+            h.update(b" ".join(words))
+            name = h.digest()[:16]
             some = [i for i in range(buckets) if starts[i] < starts[i + 1]]
             part = lambda i: slice(starts[i], starts[i + 1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([name] * len(some), pa.binary()), pa.array(starts[some].astype(np.int32)), pa.array([zlib.compress(b" ".join(words[part(i)]), 1) for i in some], pa.binary()), pa.array([zlib.compress(n[part(i)].tobytes(), 1) for i in some], pa.binary())],
-                ["bucket", "chunk", "at", "words", "counts"],
-            )
+            rows = [{"kind": 0, "chunk": name, "bucket": i, "at": int(starts[i]), "words": zlib.compress(b" ".join(words[part(i)]), 1), "counts": zlib.compress(n[part(i)].tobytes(), 1)} for i in some]
+            planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T)  # bytes of the same weight together, which packs better
+            rows.append({"kind": 1, "chunk": name, "at": int(flat[-1]), "ids": ids, "lengths": lengths.tolist(), "packed": zlib.compress(planes.tobytes(), 1)})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
 
 
-_TOTALS = "kind int, chunk binary, at int, n int, coded binary, word binary, count long, shape_n array<long>, shape_v array<long>"
+_TOTALS = "kind int, chunk binary, bucket int, at int, n int, counts binary, shapes binary, ranks binary, word binary, rank int, count long, shape_n array<long>, shape_v array<long>"
 
 
 def _totals(most: int):
-    """Over rows sorted by bucket: kind 0, the totals of each chunk's words; kind 1, frequent words; kind 2, sums by shape.
+    """Over rows sorted by bucket: kind 0, the totals, shapes and ranks of each chunk's words; kind 1, frequent words; kind 2, sums by shape.
 
-    A bucket's rows are held, packed, until its totals are known; buckets are as many as partitions grow.
+    A word's rank is its place among its bucket's ``most`` most frequent, else -1.  A bucket's rows are held as numbers
+    until its totals are known; buckets are as many as partitions grow.
     """
-    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.binary()), ("at", pa.int32()), ("n", pa.int32()), ("coded", pa.binary()), ("word", pa.binary()), ("count", pa.int64()), ("shape_n", pa.list_(pa.int64())), ("shape_v", pa.list_(pa.int64()))])
-
-    def close(held, total):
+    schema = pa.schema(
+        [("kind", pa.int32()), ("chunk", pa.binary()), ("bucket", pa.int32()), ("at", pa.int32()), ("n", pa.int32()), ("counts", pa.binary()), ("shapes", pa.binary()), ("ranks", pa.binary()), ("word", pa.binary()), ("rank", pa.int32()), ("count", pa.int64()), ("shape_n", pa.list_(pa.int64())), ("shape_v", pa.list_(pa.int64()))]
+    )
+
+    def close(bucket, held, index, total):
+        words, total = list(index), total[: len(index)]
+        shape = np.fromiter(map(shape_of, words), np.uint8, len(words))
+        top = heapq.nsmallest(most, ((-n, w, i) for i, (w, n) in enumerate(zip(words, total.tolist())) if n))
+        rank = np.full(len(words), -1, "<i4")
+        rank[[i for _, _, i in top]] = np.arange(len(top))
+        pack = lambda x: zlib.compress(x.tobytes(), 1)
         rows = []
-        for chunk, at, words in held:
-            w = zlib.decompress(words).split(b" ")
-            n = np.fromiter(map(total.__getitem__, w), np.int64, len(w))
-            rows.append({"kind": 0, "chunk": chunk, "at": at, "n": len(w), "coded": zlib.compress(n.tobytes(), 1)})
+        for chunk, at, own in held:
+            rows.append({"kind": 0, "chunk": chunk, "bucket": bucket, "at": at, "n": len(own), "counts": pack(total[own]), "shapes": pack(shape[own]), "ranks": pack(rank[own])})
             if len(rows) == 256:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
                 rows = []
-        known = [(n, w) for w, n in total.items() if n]
-        sn, sv = [0] * SHAPES, [0] * SHAPES
-        for n, w in known:
-            s = shape_of(w)
-            sn[s] += n
-            sv[s] += 1
-        rows += [{"kind": 1, "word": w, "count": n} for n, w in heapq.nlargest(most, known)]
-        yield pa.RecordBatch.from_pylist([*rows, {"kind": 2, "shape_n": sn, "shape_v": sv}], schema=schema)
+        known = total > 0
+        sums = {"shape_n": np.bincount(shape, total, SHAPES).astype(np.int64).tolist(), "shape_v": np.bincount(shape[known], minlength=SHAPES).tolist()}
+        rows += [{"kind": 1, "bucket": bucket, "word": w, "rank": r, "count": -n} for r, (n, w, _) in enumerate(top)]
+        yield pa.RecordBatch.from_pylist([*rows, {"kind": 2} | sums], schema=schema)
 
     def run(batches):
-        now, held, total = None, [], defaultdict(int)
+        now, held, index, total = None, [], {}, np.zeros(1024, np.int64)
         for b in batches:
             for bucket, chunk, at, words, counts in zip(*(b.column(i).to_pylist() for i in range(5))):
                 if bucket != now:
                     if held:
-                        yield from close(held, total)
-                    now, held, total = bucket, [], defaultdict(int)
-                held.append((chunk, at, words))
-                for w, n in zip(zlib.decompress(words).split(b" "), np.frombuffer(zlib.decompress(counts), "<u4").tolist()):
-                    total[w] += n
+                        yield from close(now, held, index, total)
+                    now, held, index, total = bucket, [], {}, np.zeros(1024, np.int64)
+                own = np.array([index.setdefault(w, len(index)) for w in zlib.decompress(words).split(b" ")], np.int32)
+                if len(index) > len(total):
+                    total = np.r_[total, np.zeros(max(len(total), len(index) - len(total)), np.int64)]
+                total[own] += np.frombuffer(zlib.decompress(counts), "<u4")  # a chunk's words are distinct
+                held.append((chunk, at, own))
         if held:
-            yield from close(held, total)
+            yield from close(now, held, index, total)
 
     return run
 
 
-def _texts(buckets: int, sent):
-    """(chunk, ids, lengths, packed, vocab): each chunk's documents as word numbers, and its words' tokens."""
-    of = pa.list_(pa.struct([("doc_id", pa.int64()), ("held", pa.bool_())]))
+_CODED = "ids array<struct<doc_id:long,held:boolean>>, lengths array<long>, packed binary, vocab binary, counts binary"
+
+
+def _coded(sent):
+    """Over rows sorted by chunk and word number, the chunk's documents last: its documents with the tokens and counts of its words."""
 
     def run(batches):
-        number = sent.value
-        for c in chunks_of(batches, tokens_of, CHUNK):
-            name, words, _, flat = c.finish(buckets)
-            vocab = np.array([number[w] if w in number else shape_of(w) for w in words], "<i4")
-            planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name], pa.binary()), pa.array([c.ids], of), pa.array([[len(x) for x in c.numbers]], pa.list_(pa.int64())), pa.array([zlib.compress(planes.tobytes(), 1)], pa.binary()), pa.array([zlib.compress(vocab.tobytes(), 1)], pa.binary())],
-                ["chunk", "ids", "lengths", "packed", "vocab"],
-            )
+        token_of = sent.value
+        before, chunk, vocab, counts = -1, None, [], []
+        for b in batches:
+            names, at, bucket = (b.column(i).to_pylist() for i in range(3))
+            for i, key in enumerate(names):
+                if key != chunk:
+                    before, chunk, vocab, counts = -1, key, [], []
+                read = lambda j, kind: np.frombuffer(zlib.decompress(b.column(j)[i].as_py()), kind)  # noqa: B023, E731
+                if bucket[i] is not None:
+                    if at[i] > before:  # chunks that are alike in everything have the same name and words
+                        known, rank = token_of.get(bucket[i], {}), read(5, "<i4")
+                        own = read(4, np.uint8).astype("<i4")
+                        for j in np.flatnonzero(rank >= 0).tolist():
+                            own[j] = known.get(int(rank[j]), own[j])
+                        vocab.append(own)
+                        counts.append(b.column(3)[i].as_py())
+                        before = at[i]
+                    continue
+                v = np.concatenate(vocab)
+                v[at[i]] = END
+                c = np.concatenate([np.frombuffer(zlib.decompress(x), np.int64) for x in counts])
+                yield pa.RecordBatch.from_arrays([*(b.column(j).slice(i, 1) for j in (6, 7, 8)), pa.array([zlib.compress(v.tobytes(), 1)], pa.binary()), pa.array([zlib.compress(c.tobytes(), 1)], pa.binary())], ["ids", "lengths", "packed", "vocab", "counts"])
 
     return run
 
 
+def _read(b: pa.RecordBatch, i: int):
+    """(ids, lengths, numbers, vocab) of a chunk."""
+    planes = np.frombuffer(zlib.decompress(b.column(2)[i].as_py()), np.uint8)
+    numbers = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+    return b.column(0)[i].as_py(), np.array(b.column(1)[i].as_py(), np.int64), numbers, np.frombuffer(zlib.decompress(b.column(3)[i].as_py()), "<i4")
+
+
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _score(sent, mix: float):
-    """Over rows sorted by chunk and word number, the chunk's documents last: the scores."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(batches):
         m = sent.value
-        have, at_before, chunk, counts = 0, -1, None, []
         for b in batches:
-            name, at, n = (b.column(i).to_pylist() for i in range(3))
-            for i, key in enumerate(name):
-                if key != chunk:
-                    have, at_before, chunk, counts = 0, -1, key, []
-                if at[i] is not None:
-                    if at[i] == at_before:
-                        continue
-                    if at[i] != have:
-                        raise ValueError("a chunk's words are not whole: the documents were read in another order")
-                    counts.append(np.frombuffer(zlib.decompress(b.column(3)[i].as_py()), np.int64))
-                    have, at_before = have + n[i], at[i]
-                    continue
-                ids, lengths = b.column(4)[i].as_py(), np.array(b.column(5)[i].as_py(), np.int64)
-                planes = np.frombuffer(zlib.decompress(b.column(6)[i].as_py()), np.uint8)
-                numbers = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
-                vocab = np.frombuffer(zlib.decompress(b.column(7)[i].as_py()), "<i4")
-                if len(vocab) != have:
-                    raise ValueError("a chunk's words are not whole: the documents were read in another order")
-                c = np.concatenate(counts)
+            for i in range(b.num_rows):
+                ids, lengths, numbers, vocab = _read(b, i)
+                c = np.frombuffer(zlib.decompress(b.column(4)[i].as_py()), np.int64)
                 base = np.log((c + 1.0) / (m["n"] + m["v"] + 1))
-                s = np.minimum(vocab, SHAPES - 1)
-                share = np.where(vocab < SHAPES, np.log((c + 1.0) / m["shape"][s]), 0.0)
-                tokens = vocab[numbers].astype(np.int64)
+                share = np.where(vocab < SHAPES, np.log((c + 1.0) / m["shape"][np.minimum(vocab, SHAPES - 1)]), 0.0)
                 first = np.cumsum(lengths) - lengths
-                p = R.score(m["p"], np.split(tokens, first[1:]), END) + share[numbers]
+                p = R.score(m["p"], np.split(vocab[numbers].astype(np.int64), first[1:]), END) + share[numbers]
                 base = base[numbers]
                 p = np.logaddexp(np.log(1 - mix) + p, np.log(mix) + base) / np.log(10)
-                over = lambda x: np.add.reduceat(x, first)  # noqa: E731  every document has its end
+                over = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731  every document has its end
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x["doc_id"] for x in ids], pa.int64()), pa.array([x["held"] for x in ids]), pa.array(lengths), pa.array(over((c > 0)[numbers].astype(np.int64))), pa.array(np.full(len(ids), m["n"], np.int64)), pa.array(over(base) / np.log(10)), pa.array(over(p))],
                     schema=schema,
@@ -171,19 +229,25 @@ def _score(sent, mix: float):
     return run
 
 
-def _train(sent, blocks: int):
-    """Each worker's parameters after its documents, in blocks, with its number of tokens."""
+def _train(sent, part: int, rounds: int, blocks: int):
+    """A task's mean parameters after each of its chunks has trained on its ``part`` of ``rounds``, in blocks, with the number of tokens."""
 
     def run(batches):
-        m = sent.value
-        docs = []
+        like = sent.value
+        total, n = None, 0
         for b in batches:
-            for raw in b.column(0):
-                docs.append(np.array([m["number"][w] if w in m["number"] else shape_of(w) for w in tokens_of(raw.as_py())], np.int64))
-        p = R.from_vector(m["p"], R.to_vector(m["p"]))
-        n = R.train(p, docs, END)
+            for i in range(b.num_rows):
+                ids, lengths, numbers, vocab = _read(b, i)
+                tokens = vocab[numbers].astype(np.int64)
+                cut = np.r_[0, np.cumsum(lengths)].tolist()
+                mine = [j for j in range(part, len(ids), rounds) if not ids[j]["held"]]
+                p = R.from_vector(like, R.to_vector(like))
+                k = R.train(p, [tokens[cut[j] : cut[j + 1]] for j in mine], END)
+                if k:
+                    total = k * R.to_vector(p).astype(np.float64) + (0 if total is None else total)
+                    n += k
         if n:
-            parts = np.array_split(R.to_vector(p), blocks)
+            parts = np.array_split((total / n).astype(np.float32), blocks)
             yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([n] * blocks, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "n", "values"])
 
     return run
@@ -192,61 +256,64 @@ def _train(sent, blocks: int):
 def _mean(batches):
     """Over rows sorted by block: the mean of each block, weighted."""
     now, total, n = None, None, 0
+    done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["block", "values"])
     for b in batches:
         for block, k, values in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             if block != now:
                 if n:
-                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["block", "values"])
+                    yield done()
                 now, total, n = block, 0.0, 0
             total = total + k * np.frombuffer(values.as_py(), np.float32).astype(np.float64)
             n += k
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["block", "values"])
+        yield done()
 
 
-def score_documents(
-    docs: DataFrame, held_out, vocabulary: int = 4096, classes: int = 48, hidden: int = 24, rounds: int = 3, train_share: float = 1 / 32, least_tokens: int = 2_000_000, worker_tokens: int = 200_000, mix: float = 0.1, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, vocabulary: int = 4096, classes: int = 48, hidden: int = 24, rounds: int = 3, mix: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row's whole text, in log10.
 
-    All rows of which ``held_out`` (a Column) is not true are counted.  The recurrent model is trained on a share of them,
-    ``train_share`` or what holds ``least_tokens`` tokens if that is more, in ``rounds`` parts.  Null texts are empty: their
-    only token is the end.  Rows are returned as often as given; other columns are ignored; an empty table gives no
-    rows; without training rows every word has probability one of the base, and the model's is that of its start.
-    ``docs`` is read several times and must come in the same order each time, as tables do; else the query fails.
+    All rows of which ``held_out`` (a Column) is not true are counted, and the recurrent model learns from each of them
+    once, a share in each of ``rounds``.  Null texts are empty: their only token is the end.  Rows are returned as often
+    as given; other columns are ignored; an empty table gives no rows; without training rows every word has probability
+    one of the base, and the model's is that of its start.  A task holds a chunk of texts, 16 MB or one longer text.
     """
     spark = docs.sparkSession
     context = spark.sparkContext
     held = F.coalesce(held_out, F.lit(False))
-    source = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id"), held.alias("held")).alias("id"), text_bytes(text_col).alias("b"))
+    source = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id"), held.alias("held")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent_words = source.mapInArrow(_counts(buckets), "bucket int, chunk binary, at int, words binary, counts binary")
-    totals = checkpointed(sent_words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_totals(vocabulary), _TOTALS))
+    numbered = checkpointed(source.mapInArrow(_number(buckets), _NUMBERED))
+    counted = numbered.where("kind = 0").select("bucket", "chunk", "at", "words", "counts").repartition("bucket").sortWithinPartitions("bucket")
+    totals = checkpointed(counted.mapInArrow(_totals(vocabulary), _TOTALS))
     by_shape = totals.where("kind = 2").select(F.posexplode(F.arrays_zip("shape_n", "shape_v")).alias("s", "x")).groupBy("s").agg(F.sum("x.shape_n").alias("n"), F.sum("x.shape_v").alias("v")).collect()
     n_of, v_of = np.zeros(SHAPES), np.zeros(SHAPES)
     for r in by_shape:
         n_of[r["s"]], v_of[r["s"]] = r["n"], r["v"]
     n, v = int(n_of.sum()), int(v_of.sum())
-    top = [(bytes(r["word"]), r["count"]) for r in totals.where("kind = 1").orderBy(F.desc("count"), "word").limit(vocabulary).select("word", "count").collect()]
-    counts = dict(top)
-    words = [w for w, _ in top if w]
-    number = {b"": END} | {w: END + 1 + i for i, w in enumerate(words)}
-    for w in counts:
-        n_of[shape_of(w)] -= counts[w]
-        v_of[shape_of(w)] -= 1
+    top = totals.where("kind = 1").orderBy(F.desc("count"), "word").limit(vocabulary).select("bucket", "rank", "word", "count").collect()
+    words = [r for r in top if r["word"]]
+    token_of: dict[int, dict[int, int]] = {}
+    for i, r in enumerate(words):
+        token_of.setdefault(r["bucket"], {})[r["rank"]] = END + 1 + i
+    for r in top:
+        s = shape_of(bytes(r["word"]))
+        n_of[s] -= r["count"]
+        v_of[s] -= 1
+    ends = sum(r["count"] for r in top if not r["word"])
     shape_total = n_of + v_of + 1
-    p = R.initial(np.array([*shape_total, counts.get(b"", 0) + 1, *(counts[w] + 1 for w in words)], float), classes, hidden)
-    part = max(1, int(1 / max(train_share / rounds, min(1.0, least_tokens / max(n, 1)) / rounds)))
-    blocks = 16
+    p = R.initial(np.array([*shape_total, ends + 1, *(r["count"] + 1 for r in words)], float), classes, hidden)
+    # a few chunks to a partition at most, so that no task has many more than others
+    chunks = numbered.where("kind = 1").count()
+    dealt = max(1, min(4 * chunks, max(20_000, chunks // 16)))
+    words_in = totals.where("kind = 0").select("chunk", "at", "bucket", "counts", "shapes", "ranks")
+    both = words_in.unionByName(numbered.where("kind = 1").select("chunk", "at", "ids", "lengths", "packed", F.lit(1).alias("last")), allowMissingColumns=True)
+    both = both.repartition(dealt, "chunk").sortWithinPartitions("chunk", F.col("last").asc_nulls_first(), "at").select("chunk", "at", "bucket", "counts", "shapes", "ranks", "ids", "lengths", "packed")
+    coded = checkpointed(both.mapInArrow(_coded(context.broadcast(token_of)), _CODED))
+    blocks = max(64, min(4096, dealt // 4))
     for r in range(rounds if n else 0):
-        learn = source.where(~F.col("id.held") & (F.pmod(F.xxhash64("id.doc_id", F.lit(17)), F.lit(part)) == r % part)).select("b")
-        workers = max(1, round(n / part / worker_tokens))
-        sent = context.broadcast({"p": p, "number": number})
-        trained = learn.repartition(workers).mapInArrow(_train(sent, blocks), "block int, n long, values binary")
+        trained = coded.mapInArrow(_train(context.broadcast(p), r, rounds, blocks), "block int, n long, values binary")
         mean = {x["block"]: np.frombuffer(bytes(x["values"]), np.float32) for x in trained.repartition("block").sortWithinPartitions("block").mapInArrow(_mean, "block int, values binary").collect()}
-        if len(mean) == blocks:
+        if mean:
             p = R.from_vector(p, np.concatenate([mean[i] for i in range(blocks)]))
     model = context.broadcast({"p": p, "n": n, "v": v, "shape": shape_total})
-    texts = source.mapInArrow(_texts(buckets, context.broadcast(number)), "chunk binary, ids array<struct<doc_id:long,held:boolean>>, lengths array<long>, packed binary, vocab binary")
-    both = totals.where("kind = 0").select("chunk", "at", "n", "coded").unionByName(texts, allowMissingColumns=True).select("chunk", "at", "n", "coded", "ids", "lengths", "packed", "vocab")
-    return both.repartition("chunk").sortWithinPartitions("chunk", F.col("at").asc_nulls_last()).mapInArrow(_score(model, mix), _SCORES)
+    return coded.mapInArrow(_score(model, mix), _SCORES)

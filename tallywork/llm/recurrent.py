@@ -3,6 +3,9 @@
 Each step's input is the token before; P(token) = P(class of token | state) * P(token | class, state).  Training is
 truncated back-propagation: states are carried from window to window, gradients are not.  Scoring carries the state over
 all windows of a document, so its whole text has one log-likelihood.
+
+Rows of the parameters are in the order of frequency (``rank``), so that each class is a range of rows.  What a call
+holds besides its tokens is a window of a bounded number of streams, however long a document is.
 """
 
 from __future__ import annotations
@@ -10,28 +13,32 @@ from __future__ import annotations
 import numpy as np
 
 F32 = np.float32
+#: Logits are held within this, so that no sum of exponentials overflows.
+MOST = F32(60)
 
 
-def classes_by_frequency(counts: np.ndarray, classes: int) -> np.ndarray:
-    """The class of each token: tokens in the order of frequency, cut where the sum of square roots fills a class."""
+def classes_by_frequency(counts: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rank, cuts): each token's place in the order of frequency, and where classes begin and end there: each fills a like sum of square roots."""
     order = np.argsort(-counts, kind="stable")
-    mass = np.cumsum(np.sqrt(counts[order]))
-    out = np.empty(len(counts), np.int32)
-    out[order] = np.minimum(classes - 1, (mass - np.sqrt(counts[order]) / 2) / mass[-1] * classes).astype(np.int32)
-    # no empty classes: number those that occur
-    return np.unique(out, return_inverse=True)[1].astype(np.int32)
+    rank = np.empty(len(counts), np.int64)
+    rank[order] = np.arange(len(counts))
+    root = np.sqrt(counts[order])
+    mass = np.cumsum(root)
+    cls = np.minimum(classes - 1, (mass - root / 2) / mass[-1] * classes).astype(np.int64)
+    return rank, np.r_[0, np.flatnonzero(np.diff(cls)) + 1, len(counts)]
 
 
 def initial(counts: np.ndarray, classes: int, hidden: int, seed: int = 1) -> dict[str, np.ndarray]:
-    """Parameters whose predictions are the frequencies; ``class`` (a token's class) is not trained."""
+    """Parameters whose predictions are the frequencies; ``rank`` and ``cuts`` (the classes) are not trained."""
     rng = np.random.default_rng(seed)
-    cls = classes_by_frequency(counts, classes)
-    mass = np.bincount(cls, counts)
+    rank, cuts = classes_by_frequency(counts, classes)
+    own = np.sort(counts)[::-1]
+    mass = np.add.reduceat(own, cuts[:-1])
     v, c = len(counts), len(mass)
     draw = lambda *shape: rng.normal(0, 0.1, shape).astype(F32)
     return {
         "E": draw(v, 3 * hidden), "U": draw(hidden, 3 * hidden), "b": np.zeros(3 * hidden, F32), "Wc": draw(hidden, c) * F32(0.1), "bc": np.log(mass / mass.sum()).astype(F32),
-        "Wo": draw(v, hidden) * F32(0.1), "bo": np.log(counts / mass[cls]).astype(F32), "class": cls,
+        "Wo": draw(v, hidden) * F32(0.1), "bo": np.log(own / np.repeat(mass, np.diff(cuts))).astype(F32), "rank": rank, "cuts": cuts,
     }
 
 
@@ -43,181 +50,207 @@ def _sigmoid(x):
     return x
 
 
-def step(p: dict, x: np.ndarray, h: np.ndarray):
-    """One step for a batch; returns the new state and what back-propagation needs."""
+def step(u: np.ndarray, gx: np.ndarray, h: np.ndarray):
+    """One step for a batch from the inputs' share ``gx`` of the gates; returns the new state and what back-propagation needs."""
     n = h.shape[1]
-    gx, gh = p["E"][x], h @ p["U"]
-    gx += p["b"]
-    zr = _sigmoid(gx[:, : 2 * n] + gh[:, : 2 * n])
-    z, r = zr[:, :n], zr[:, n:]
-    new = np.tanh(gx[:, 2 * n :] + r * gh[:, 2 * n :])
-    return new + z * (h - new), (x, h, z, r, new, gh[:, 2 * n :])
-
-
-def _members(p: dict) -> list[np.ndarray]:
-    if "members" not in p:
-        order = np.argsort(p["class"], kind="stable")
-        p["members"] = np.split(order, np.flatnonzero(np.diff(p["class"][order])) + 1)
-        place = np.empty(len(order), np.int64)
-        for m in p["members"]:
-            place[m] = np.arange(len(m))
-        p["place"] = place
-    return p["members"]
-
-
-def log_probs(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
-    """Natural log probability of each target; with ``grad``, gradients are added there and the states' is returned."""
-    members, out = _members(p), np.empty(len(y), F32)
-    a = h @ p["Wc"] + p["bc"]
-    a -= a.max(1, keepdims=True)
-    e = np.exp(a)
-    s = e.sum(1, keepdims=True)
-    c = p["class"][y]
+    gh = h @ u
+    zr = gh[:, : 2 * n] + gx[:, : 2 * n]
+    _sigmoid(zr)
+    z, r, ghn = zr[:, :n], zr[:, n:], gh[:, 2 * n :]
+    new = r * ghn
+    new += gx[:, 2 * n :]
+    np.tanh(new, out=new)
+    out = h - new
+    out *= z
+    out += new
+    return out, (h, z, r, new, ghn)
+
+
+def _softmax_at(a: np.ndarray, at: np.ndarray, y: np.ndarray, grad: bool):
+    """Log probabilities of ``y`` under the rows of logits ``a``; with ``grad``, ``a`` becomes the gradient."""
+    np.clip(a, -MOST, MOST, out=a)
+    out = a[at, y]
+    np.exp(a, out=a)
+    s = a.sum(1)
+    out -= np.log(s)
+    if grad:
+        a /= s[:, None]
+        a[at, y] -= 1
+    return out
+
+
+def _log_probs(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
+    cuts = p["cuts"]
+    order = np.argsort(y, kind="stable")
+    y, h = y[order], h[order]
+    c = np.searchsorted(cuts, y, "right") - 1
     at = np.arange(len(y))
-    out[:] = a[at, c] - np.log(s[:, 0])
+    a = h @ p["Wc"]
+    a += p["bc"]
+    ours = _softmax_at(a, at, c, grad is not None)
     if grad is not None:
-        d = e / s
-        d[at, c] -= 1
-        grad["Wc"] += h.T @ d
-        grad["bc"] += d.sum(0)
-        dh = d @ p["Wc"].T
-    order = np.argsort(c, kind="stable")
-    cuts = np.r_[0, np.flatnonzero(np.diff(c[order])) + 1, len(y)]
-    for i, j in zip(cuts[:-1], cuts[1:]):
-        if i == j:
+        grad["Wc"] += h.T @ a
+        grad["bc"] += a.sum(0)
+        dh = a @ p["Wc"].T
+    edge = np.searchsorted(y, cuts).tolist()
+    for k, (i, j) in enumerate(zip(edge[:-1], edge[1:])):
+        m, n = int(cuts[k]), int(cuts[k + 1])
+        if i == j or n - m == 1:
             continue
-        rows = order[i:j]
-        m = members[c[rows[0]]]
-        if len(m) == 1:
-            continue
-        w, hr = p["Wo"][m], h[rows]
-        a = hr @ w.T + p["bo"][m]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        s = e.sum(1, keepdims=True)
-        t, k = p["place"][y[rows]], np.arange(j - i)
-        out[rows] += a[k, t] - np.log(s[:, 0])
+        w, hr = p["Wo"][m:n], h[i:j]
+        a = hr @ w.T
+        a += p["bo"][m:n]
+        ours[i:j] += _softmax_at(a, at[: j - i], y[i:j] - m, grad is not None)
         if grad is not None:
-            d = e / s
-            d[k, t] -= 1
-            grad["rows"].append((m, d.T @ hr, d.sum(0)))
-            dh[rows] += d @ w
-    return out if grad is None else (out, dh)
+            grad["rows"].append((m, n, a.T @ hr, a.sum(0)))
+            dh[i:j] += a @ w
+    out = np.empty(len(y), F32)
+    out[order] = ours
+    if grad is None:
+        return out
+    back = np.empty_like(dh)
+    back[order] = dh
+    return out, back
+
+
+def log_probs(p: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Natural log probability of each target token after each state."""
+    return _log_probs(p, h, p["rank"][y])
 
 
-def train(p: dict, documents: list[np.ndarray], start: int, streams: int = 64, window: int = 16, rate: float = 0.05, caution: float = 3e-3) -> int:
-    """Adagrad steps over the documents, in place: ``streams`` of whole documents side by side, ``window`` steps at a time."""
+def train(p: dict, documents: list[np.ndarray], start: int, streams: int = 256, window: int = 16, rate: float = 0.05, caution: float = 3e-3, past: dict | None = None) -> int:
+    """Adagrad steps over the documents, in place: they are cut into ``streams`` of like length, ``window`` steps at a time.
+
+    The state starts anew with each document; a stream that begins inside one has no state from before.
+    """
     docs = [d for d in documents if len(d)]
     if not docs:
         return 0
-    streams = max(1, min(streams, len(docs)))
-    lanes: list[list[np.ndarray]] = [[] for _ in range(streams)]
-    load = np.zeros(streams)
-    for d in docs:  # to the shortest stream
-        i = int(load.argmin())
-        lanes[i].append(d)
-        load[i] += len(d)
-    lanes = [lanes[i] for i in np.argsort(-load, kind="stable")]  # those still running come first
-    load = -np.sort(-load)
-    steps = int(load.max())
-    y = np.full((steps, streams), -1, np.int64)
-    x = np.full((steps, streams), start, np.int64)
-    fresh = np.zeros((steps, streams), bool)
-    for i, lane in enumerate(lanes):
-        at = 0
-        for d in lane:
-            y[at : at + len(d), i] = d
-            x[at + 1 : at + len(d), i] = d[:-1]
-            fresh[at, i] = True
-            at += len(d)
+    y_all = p["rank"][np.concatenate(docs)]
+    size = np.array([len(d) for d in docs])
+    fresh_all = np.zeros(len(y_all), bool)
+    fresh_all[np.cumsum(size) - size] = True
+    x_all = np.r_[p["rank"][start], y_all[:-1]]
+    x_all[fresh_all] = p["rank"][start]
+    streams = max(1, min(streams, len(y_all) // window))
+    length = -(-len(y_all) // streams)
+    first = np.arange(streams) * length
+    first = first[first < len(y_all)]
+    ends = np.minimum(first + length, len(y_all))
     names = ("E", "U", "b", "Wc", "bc", "Wo", "bo")
-    past = {k: np.full_like(p[k], caution) for k in names}
-    h = np.zeros((streams, p["U"].shape[0]), F32)
+    past = {k: np.full_like(p[k], caution) for k in names} if past is None else past
+    h = np.zeros((len(first), p["U"].shape[0]), F32)
     n = h.shape[1]
-    for t0 in range(0, steps, window):
-        t1 = min(steps, t0 + window)
-        live = int((load > t0).sum())
-        h = h[:live]
-        tape, states = [], []
-        for t in range(t0, t1):
-            h = np.where(fresh[t, :live, None], F32(0), h)
-            h, kept = step(p, x[t, :live], h)
+    for t0 in range(0, length, window):
+        t1 = min(length, t0 + window)
+        at = first + np.arange(t0, t1)[:, None]
+        inside = at < ends  # the last stream may be shorter
+        at = np.minimum(at, len(y_all) - 1)
+        x, keep = x_all[at], ~fresh_all[at]
+        gx = p["E"][x.ravel()].reshape(t1 - t0, len(first), 3 * n)
+        gx += p["b"]
+        tape, states = [], np.empty((t1 - t0, len(first), n), F32)
+        for t in range(t1 - t0):
+            h = h * keep[t, :, None]
+            h, kept = step(p["U"], gx[t], h)
             tape.append(kept)
-            states.append(h)
-        grad = {k: np.zeros_like(p[k]) for k in ("U", "b", "Wc", "bc")} | {"rows": []}
-        targets = y[t0:t1, :live].ravel()
-        some = np.flatnonzero(targets >= 0)
-        if not len(some):
-            break
-        stack = np.concatenate(states)
-        _, dh_some = log_probs(p, stack[some], targets[some], grad)
-        dh_all = np.zeros_like(stack)
-        dh_all[some] = dh_some
-        dh_all = dh_all.reshape(t1 - t0, live, n)
+            states[t] = h
+        grad = {k: np.zeros_like(p[k]) for k in ("U", "Wc", "bc")} | {"rows": []}
+        some = np.flatnonzero(inside.ravel())
+        stack = states.reshape(-1, n)
+        _, dh_some = _log_probs(p, stack[some], y_all[at].ravel()[some], grad)
+        dh = np.zeros_like(stack)
+        dh[some] = dh_some
+        dh = dh.reshape(states.shape)
         back = np.zeros_like(h)
-        xs, gxs = [], []
+        dg, befores, ghs = np.empty_like(gx), np.empty_like(states), np.empty_like(gx)
         for t in range(t1 - t0 - 1, -1, -1):
-            xt, before, z, r, new, ghn = tape[t]
-            d = dh_all[t] + back
-            dz, dnew = d * (before - new) * z * (1 - z), d * (1 - z) * (1 - new * new)
-            dr = dnew * ghn * r * (1 - r)
-            gx = np.concatenate([dz, dr, dnew], 1)
-            gh = np.concatenate([dz, dr, dnew * r], 1)
-            grad["U"] += before.T @ gh
-            xs.append(xt)
-            gxs.append(gx)
-            back = d * z + gh @ p["U"].T
-            back[fresh[t0 + t, :live]] = 0
-        xs, gxs = np.concatenate(xs), np.concatenate(gxs)
-        grad["b"] += gxs.sum(0)
+            before, z, r, new, ghn = tape[t]
+            d = dh[t]
+            d += back
+            dnew = d * (1 - z)
+            dnew *= 1 - new * new
+            dz = (before - new) * d
+            dz *= z * (1 - z)
+            dr = dnew * ghn
+            dr *= r * (1 - r)
+            g = dg[t]
+            g[:, :n], g[:, n : 2 * n], g[:, 2 * n :] = dz, dr, dnew
+            gh = ghs[t]
+            gh[:, : 2 * n] = g[:, : 2 * n]
+            gh[:, 2 * n :] = dnew * r
+            befores[t] = before
+            back = gh @ p["U"].T
+            back += d * z
+            back *= keep[t, :, None]
+        grad["U"] = befores.reshape(-1, n).T @ ghs.reshape(-1, 3 * n)
+        dg = dg.reshape(-1, 3 * n)
+        grad["b"] = dg.sum(0)
+        xs = x.ravel()
         order = np.argsort(xs, kind="stable")
-        first = np.r_[0, np.flatnonzero(np.diff(xs[order])) + 1]
-        seen = xs[order][first]
-        scale = F32(1 / max(1, streams))
+        starts = np.r_[0, np.flatnonzero(np.diff(xs[order])) + 1]
+        seen = xs[order][starts]
+        scale = F32(16 / (max(1, len(first)) * window))
 
         def move(k, g, at=slice(None)):
-            g = np.clip(g * scale, -1, 1)
+            g *= scale
+            np.clip(g, -1, 1, out=g)
             new = past[k][at] + g * g
             past[k][at] = new
-            p[k][at] -= F32(rate) * g / np.sqrt(new)
+            g /= np.sqrt(new)
+            g *= F32(rate)
+            p[k][at] -= g
 
         for k in ("U", "b", "Wc", "bc"):
             move(k, grad[k])
-        move("E", np.add.reduceat(gxs[order], first), seen)
-        for m, w, c in grad["rows"]:  # only the classes that occur
-            move("Wo", w, m)
-            move("bo", c, m)
-    return int(sum(len(d) for d in docs))
+        move("E", np.add.reduceat(dg[order], starts), seen)
+        for a, b, w, c in grad["rows"]:  # only the classes that occur
+            move("Wo", w, slice(a, b))
+            move("bo", c, slice(a, b))
+    return len(y_all)
 
 
-def score(p: dict, documents: list[np.ndarray], start: int, window: int = 16) -> np.ndarray:
+def score(p: dict, documents: list[np.ndarray], start: int, window: int = 16, streams: int = 512) -> np.ndarray:
     """The natural log probability of every token, documents one after another, the state carried over all windows of each."""
     size = np.array([len(d) for d in documents], np.int64)
-    flat = np.concatenate([np.zeros(0, np.int64), *documents])
+    flat = p["rank"][np.concatenate([np.zeros(0, np.int64), *documents])]
     order = np.argsort(-size, kind="stable")  # those still running come first
-    lengths, first = size[order], (np.cumsum(size) - size)[order]
+    order = order[: int((size > 0).sum())]
     out = np.zeros(len(flat), F32)
-    live = int((lengths > 0).sum())
-    h = np.zeros((live, p["U"].shape[0]), F32)
-    last = np.full(live, start, np.int64)
-    for t0 in range(0, int(lengths[0]) if live else 0, window):
-        states, places = [], []
-        for t in range(t0, t0 + window):
-            n = int(np.searchsorted(-lengths, -t))
-            if not n:
-                break
-            h, _ = step(p, last[:n], h[:n])
-            at = first[:n] + t
-            last = flat[at]
-            states.append(h)
-            places.append(at)
-        states, places = np.concatenate(states), np.concatenate(places)
-        for a in range(0, len(places), 16384):
-            at = places[a : a + 16384]
-            out[at] = log_probs(p, states[a : a + 16384], flat[at])
+    n = p["U"].shape[0]
+    begin = p["rank"][start]
+    for group in (order[i : i + streams] for i in range(0, len(order), streams)):
+        lengths, first = size[group], (np.cumsum(size) - size)[group]
+        h = np.zeros((len(group), n), F32)
+        last = np.full(len(group), begin, np.int64)
+        held_states, held_places, held = [], [], 0
+        for t0 in range(0, int(lengths[0]), window):
+            live = np.searchsorted(-lengths, -np.arange(t0, min(t0 + window, int(lengths[0])))).tolist()
+            at = np.minimum(first[: live[0]] + np.arange(t0, t0 + len(live))[:, None], len(flat) - 1)
+            x = np.empty_like(at)
+            x[0] = last[: live[0]]
+            x[1:] = flat[at[:-1]]
+            gx = p["E"][x.ravel()].reshape(*x.shape, 3 * n)
+            gx += p["b"]
+            for t, k in enumerate(live):
+                h, _ = step(p["U"], gx[t, :k], h[:k])
+                held_states.append(h)
+                held_places.append(at[t, :k])
+                held += k
+            last = flat[at[-1, : live[-1]]]
+            if held >= 16384:
+                _place(p, flat, out, held_states, held_places)
+                held_states, held_places, held = [], [], 0
+        if held:
+            _place(p, flat, out, held_states, held_places)
     return out
 
 
+def _place(p, flat, out, states, places):
+    places = np.concatenate(places)
+    out[places] = _log_probs(p, np.concatenate(states), flat[places])
+
+
 TRAINED = ("E", "U", "b", "Wc", "bc", "Wo", "bo")
 
 
@@ -226,7 +259,7 @@ def to_vector(p: dict) -> np.ndarray:
 
 
 def from_vector(like: dict, v: np.ndarray) -> dict:
-    out, at = {"class": like["class"]}, 0
+    out, at = {"rank": like["rank"], "cuts": like["cuts"]}, 0
     for k in TRAINED:
         out[k] = v[at : at + like[k].size].reshape(like[k].shape).astype(F32)
         at += like[k].size
