@@ -14,8 +14,9 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, checkpointed, text_bytes
@@ -71,16 +72,23 @@ def _parts(batches, size: int = 1 << 22):
 
 def count_characters(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(code, n): how often each four symbols follow one another, over all texts; at most 28**4 rows."""
+    skip = np.full(256, 255, np.uint8)  # the further bytes of a character
+    skip[:0x80], skip[0xC0:] = _SYMBOL[:0x80], _SYMBOL[0xC0:]
 
     def run(batches):
         total = np.zeros(N**4, np.int64)
-        last = np.zeros(3, np.uint32)  # the texts of a task are one stream, a boundary after each
+        last = np.zeros(3, np.uint8)  # the texts of a task are one stream, a boundary after each
         for part in _parts(batches):
-            buf = np.frombuffer(part, np.uint8)
-            s = np.r_[last, _SYMBOL[buf[(buf < 0x80) | (buf >= 0xC0)]].astype(np.uint32)]
-            s = s[np.r_[True, True, True, (s[3:] != 0) | (s[2:-1] != 0)]]  # one boundary between words
+            s = skip[np.frombuffer(part, np.uint8)]
+            s = np.concatenate([last, s[s != 255]])
+            letter = s != 0
+            s = s[np.concatenate([[True] * 3, letter[3:] | letter[2:-1]])]  # one boundary between words
             if len(s) > 3:
-                total += np.bincount(((s[:-3] * N + s[1:-2]) * N + s[2:-1]) * N + s[3:], minlength=N**4)
+                two = s[:-1] * np.uint32(N)
+                two += s[1:]
+                four = two[:-2] * np.uint32(N * N)
+                four += two[2:]
+                total += np.bincount(four, minlength=N**4)
             last = s[-3:]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["code", "n"])
@@ -171,9 +179,9 @@ class Restorer:
     def words(self, token: str) -> tuple[str, ...]:
         found = self.known.get(token)
         if found is None:
-            if len(self.known) >= self.keep:
-                self.known.clear()
-            found = self.known[token] = self._words(token)
+            found = self._words(token)
+            if len(self.known) < self.keep:
+                self.known[token] = found
         return found
 
     def _words(self, token: str) -> tuple[str, ...]:
@@ -244,31 +252,71 @@ def _count_features(sent, keep: int = 400_000):
     return run
 
 
+class Finder:
+    """The model's features that stand in texts: each distinct token of a piece of a batch is restored once."""
+
+    def __init__(self, model: np.ndarray, number: dict[str, int], keep: int = 200_000):
+        self.restorer, self.number, self.keep, self.known = Restorer(model, 0), number, keep, {}
+
+    def _of(self, words) -> tuple[int, ...]:
+        return tuple({self.number[f] for w in words for f in features(w) if f in self.number})
+
+    def _token(self, token: str) -> tuple[int, ...]:
+        found = self.known.get(token)
+        if found is None:
+            found = self._of(self.restorer.words(token))
+            if len(self.known) < self.keep:
+                self.known[token] = found
+        return found
+
+    def find(self, texts: list[str], size: int = 1 << 23):
+        """(text, feature): the distinct pairs, of about ``size`` characters at a time."""
+        held, first, n = [], 0, 0
+        for i, t in enumerate(texts):
+            held.append(t.lower())
+            n += len(t)
+            if n >= size or i + 1 == len(texts):
+                doc, feature = self._piece(held)
+                yield doc + first, feature
+                held, first, n = [], i + 1, 0
+
+    def _piece(self, low: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.utf8_split_whitespace(pa.array(low, pa.string()))
+        values, doc = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
+        coded = values.dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        found = [self._token(t) if t else () for t in coded.dictionary.to_pylist()]
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter((f for x in found for f in x), np.int64, int(length.sum()))
+        begin = np.cumsum(length) - length
+        some = np.flatnonzero(length[at] > 0)
+        n = length[at[some]]
+        pairs = np.repeat(doc[some], n), flat[np.repeat(begin[at[some]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        # letters apart can only be where three tokens in a row have one character
+        single = pc.equal(pc.utf8_length(coded.dictionary), 1).to_numpy(zero_copy_only=False)[at]
+        apart = []
+        for i in np.unique(doc[:-2][single[:-2] & single[1:-1] & single[2:]]).tolist() if len(single) > 2 else ():
+            apart += [(i, f) for m in _APART.finditer(low[i]) if _spells(m[0]) for f in self._of(self.restorer._decoded(re.sub(" +", " ", m[0])))]
+        more = np.array(apart, np.int64).reshape(-1, 2)
+        both = np.unique(np.concatenate([pairs[0] * (len(self.number) + 1) + pairs[1], more[:, 0] * (len(self.number) + 1) + more[:, 1]]))
+        return both // (len(self.number) + 1), both % (len(self.number) + 1)
+
+
 def _known_features(sent):
     """(y, found): the model's features that stand in each text."""
 
     def run(batches):
-        r, number = Restorer(sent.value["model"]), sent.value["number"]
-        of: dict = {}
+        finder = Finder(sent.value["model"], sent.value["number"])
         for b in batches:
-            found = [_found(r, t, number, of) for t in b.column(0).to_pylist()]
+            found: list[list[int]] = [[] for _ in range(b.num_rows)]
+            for doc, feature in finder.find(b.column(0).to_pylist()):
+                for i, f in zip(doc.tolist(), feature.tolist()):
+                    found[i].append(f)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found, pa.list_(pa.int32()))], ["y", "found"])
 
     return run
 
 
-def _found(r: Restorer, text: str, number: dict, of: dict) -> list[int]:
-    out: set[int] = set()
-    if len(of) > r.keep:
-        of.clear()
-    for w in r.document(text):
-        hit = of.get(w)
-        if hit is None:
-            hit = of[w] = tuple(number[f] for f in features(w) if f in number)
-        out.update(hit)
-    return sorted(out)
-
-
 def fit_logistic(found: list[list[int]], y: np.ndarray, weight: np.ndarray, n: int, rounds: int = 1500, ridge: float = 1e-6) -> tuple[np.ndarray, float]:
     """Weights of at least zero and an intercept, by projected gradient steps with momentum."""
     row = np.repeat(np.arange(len(found)), [len(f) for f in found])
@@ -289,7 +337,7 @@ def fit_logistic(found: list[list[int]], y: np.ndarray, weight: np.ndarray, n: i
 
 
 def _near_copy_keys(shingle: int = 3, minima: int = 4):
-    """(id, y, sketch): the least hashes of a text's word shingles under several functions; of a text with fewer words the hash of them all."""
+    """(id, y, b, sketch): the least hashes of a text's word shingles under several functions; of a text with fewer words the hash of them all."""
 
     def sketch(raw: bytes) -> bytes:
         h = shingle_hashes(raw, shingle)
@@ -299,19 +347,33 @@ def _near_copy_keys(shingle: int = 3, minima: int = 4):
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sketch(raw.as_py()) for raw in b.column(2)], pa.binary())], ["id", "y", "sketch"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([sketch(raw.as_py()) for raw in b.column(2)], pa.binary())], ["id", "y", "b", "sketch"])
 
     return run
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, y): a bounded sample of the labelled rows, in the order of a hash; of near copies, which share all their least shingle hashes, one."""
+def training_texts(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, y, b): a bounded sample of the labelled rows with their texts, in the order of a hash; of near copies, which share all their least shingle hashes, one.
+
+    Equal texts are one before the draw.  Twice the bound is drawn and near copies are looked for in that.
+    """
     y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
-    texts = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("b")).join(y, "id").select("id", "y", "b")
+    b = text_bytes(text_col)
+    once = docs.select(F.col(id_col).alias("id"), F.xxhash64(b).alias("h"), F.length(b).alias("n")).join(y, "id").groupBy("h", "n", "y").agg(F.min("id").alias("id"))
+    draw = lambda rows, k, n: rows.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(n)
+    both = lambda rows, times: draw(rows, 1, times * most_toxic).unionByName(draw(rows, 0, times * most_clean))
+    # the draw's size is a parameter, so it may be broadcast
+    drawn = F.broadcast(checkpointed(both(once, 2).select("id", "y")))
+    texts = docs.select(F.col(id_col).alias("id"), b.alias("b")).join(drawn, "id").groupBy("id", "y").agg(F.min("b").alias("b"))
     kind = texts.schema["id"].dataType.simpleString()
-    seen = texts.mapInArrow(_near_copy_keys(), f"id {kind}, y int, sketch binary").groupBy("sketch", "y").agg(F.min("id").alias("id"))
-    pick = lambda k, n: seen.where(F.col("y") == k).orderBy(F.xxhash64("id"), "id").limit(n)
-    return pick(1, most_toxic).unionByName(pick(0, most_clean)).select("id", "y").distinct()
+    keyed = checkpointed(texts.mapInArrow(_near_copy_keys(), f"id {kind}, y int, b binary, sketch binary"))
+    kept = both(keyed.groupBy("sketch", "y").agg(F.min("id").alias("id")), 1).select("id", "y").distinct()
+    return keyed.select("id", "y", "b").join(F.broadcast(kept), ["id", "y"])
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int, most_clean: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, y) of :func:`training_texts`."""
+    return training_texts(docs, labels, most_toxic, most_clean, id_col, text_col).select("id", "y")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 6000, most_clean: int = 10_000, most_features: int = 20_000, least: float = 2.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,14 +388,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 6000, m
     """
     context = docs.sparkSession.sparkContext
     model = character_model(count_characters(docs, text_col))
-    sample = checkpointed(training_rows(docs, labels, most_toxic, most_clean, id_col, text_col))
+    sample = checkpointed(training_texts(docs, labels, most_toxic, most_clean, id_col, text_col).select(F.col("b").cast("string").alias("t"), "y"))
     have = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     toxic, clean = have.get(1, 0), have.get(0, 0)
     if not toxic or not clean:
         return docs.withColumn("score", F.lit(1.0 if toxic else 0.0))
-    # the sample's size is a parameter, so it may be broadcast
-    chosen = F.broadcast(sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t")).join(chosen, "id").select("t", "y")
+    texts = sample.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sent = context.broadcast(model)
     counted = texts.mapInArrow(_count_features(sent), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     z = (F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (clean + 1))) / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
@@ -350,9 +410,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = 6000, m
 
     def run(batches):
         m = weights.value
-        r, of = Restorer(m["model"]), {}
+        finder = Finder(m["model"], m["number"])
         for batch in batches:
-            z = np.array([m["b"] + m["w"][_found(r, t or "", m["number"], of)].sum() for t in batch.column(where).to_pylist()], float)
+            z = np.full(batch.num_rows, m["b"])
+            for doc, feature in finder.find([t or "" for t in batch.column(where).to_pylist()]):
+                z += np.bincount(doc, m["w"][feature], batch.num_rows)
             yield batch.set_column(at, batch.schema.field(at), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))), pa.float64()))
 
     return scored.mapInArrow(run, scored.schema)
