@@ -20,12 +20,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import recurrent as R
-from .common import checkpointed
+from .common import checkpointed, numbered_words, pieces
 
 SHAPES = 32
 #: Token number of the end sign, which also stands before the first word; words come after it.
@@ -45,37 +44,16 @@ def shape_of(word: bytes) -> int:
 
 def words_of(texts: pa.StringArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(words, flat, lengths): the distinct words of texts, A-Z lower-cased, the end sign's empty word last; each text's word numbers, then the end; how many those are."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    values, of = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
-    some = pc.binary_length(values).to_numpy() > 0  # white space at either end leaves an empty piece
-    coded = values.filter(pa.array(some)).dictionary_encode()
-    words = [*coded.dictionary.cast(pa.binary()).to_pylist(), b""]
-    lengths = np.bincount(of[some], minlength=len(texts)) + 1
+    distinct, numbers, n = numbered_words(texts)
+    words = [*distinct.cast(pa.binary()).to_pylist(), b""]
+    lengths = n + 1
     flat = np.full(int(lengths.sum()), len(words) - 1, np.uint32)
     inside = np.ones(len(flat), bool)
     inside[np.cumsum(lengths) - 1] = False
-    flat[inside] = coded.indices.to_numpy(zero_copy_only=False)
+    flat[inside] = numbers
     return words, flat, lengths
 
 
-def _chunks(batches):
-    """(ids, texts) of the chunks of a task's rows."""
-    ids, texts, have = [], [], 0
-    for b in batches:
-        size = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)
-        at = 0
-        for i, n in enumerate(size.tolist()):
-            if have and have + n > CHUNK:
-                yield pa.concat_arrays([*ids, b.column(0).slice(at, i - at)]), pa.concat_arrays([*texts, b.column(1).slice(at, i - at)])
-                ids, texts, have, at = [], [], 0, i
-            have += n + 1
-        if at < b.num_rows:
-            ids.append(b.column(0).slice(at))
-            texts.append(b.column(1).slice(at))
-    if ids:
-        yield pa.concat_arrays(ids), pa.concat_arrays(texts)
-
-
 _NUMBERED = "kind int, chunk binary, bucket int, at int, words binary, counts binary, ids array<struct<doc_id:long,held:boolean>>, lengths array<long>, packed binary"
 
 
@@ -85,7 +63,7 @@ def _number(buckets: int):
     schema = pa.schema([("kind", pa.int32()), ("chunk", pa.binary()), ("bucket", pa.int32()), ("at", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("ids", ids_type), ("lengths", pa.list_(pa.int64())), ("packed", pa.binary())])
 
     def run(batches):
-        for ids, texts in _chunks(batches):
+        for ids, texts in pieces(batches, CHUNK):
             words, flat, lengths = words_of(texts)
             bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
             order = np.argsort(bucket, kind="stable")
