@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -388,6 +389,50 @@ def test_passages(spark):
     assert None in got and passages.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_links_survive_a_first_document_that_fails(spark):
+    rng = np.random.default_rng(12)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    shared = fresh(60)
+    h, _ = passages.text_shingles(pa.array([" ".join(shared)]), 5)
+    held = {p + k for band in passages.banded_windows(h, 46) for p in band[1].tolist() for k in range(5)}  # words of ruling shingles
+    edited = list(shared)
+    free = [i for i in range(60) if i not in held]
+    for i in free[:: max(1, len(free) // 9)]:
+        edited[i] = f"edit{i}"
+    docs = [(1, " ".join(edited)), (2, " ".join(shared)), (3, " ".join(shared)), (4, " ".join([*fresh(30), *shared, *fresh(40)])), (5, " ".join(fresh(200))), (6, " ".join(shared)), (6, " ".join(fresh(80)))]
+    got = [(r.doc_id, r.component_id, r.n_links > 0) for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert {g for g in got if g[0] in (2, 3, 4)} == {(2, 2, True), (3, 2, True), (4, 2, True)} and (5, 5, False) in got
+    assert sorted(g for g in got if g[0] == 6) == [(6, 2, True), (6, 6, False)]
+
+
+def test_passages_against_all_pairs(spark):
+    rng = np.random.default_rng(13)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    line = fresh(20)  # shared by all, and too short
+    docs, families = [], [fresh(int(n)) for n in rng.integers(52, 120, 12)]
+    for i in range(90):
+        own = list(families[i % 12])
+        for _ in range(int(rng.integers(0, 3))):
+            own[int(rng.integers(0, len(own)))] = f"e{rng.integers(0, 10**9)}"
+        docs.append((i, " ".join([*fresh(int(rng.integers(5, 60))), *line, *fresh(int(rng.integers(0, 30))), *own, *fresh(int(rng.integers(5, 60)))])))
+    sets = [[frozenset(w[k : k + 46]) for k in range(len(w) - 45)] for w in ([" ".join(t[k : k + 5]) for k in range(len(t) - 4)] for t in (d.split() for _, d in docs))]
+    near = {(i, j) for i in range(90) for j in range(i) if i % 12 == j % 12 and any(len(x & y) >= 0.8 * len(x | y) for x in sets[i] for y in sets[j])}
+    got = {r.doc_id: r.component_id for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(got[i] == got[j] for i, j in near) >= 0.98 * len(near) > 100
+    assert all(got[i] % 12 == i % 12 for i in range(90))  # nothing is linked over the short line
+
+
+def test_similar_stretches():
+    rng = np.random.default_rng(14)
+    for _ in range(300):
+        a = rng.integers(0, 10**6, 120)
+        b = rng.integers(0, 10**6, 120)
+        at, n = int(rng.integers(0, 60)), int(rng.integers(30, 60))
+        b[at : at + n] = a[at : at + n]
+        j = [len(set(a[i : i + 46]) & set(b[i : i + 46])) / len(set(a[i : i + 46]) | set(b[i : i + 46])) for i in range(75)]
+        assert passages.similar_stretch(a, b, 46, 0.8) == (max(j) >= 0.8)
+
+
 def test_one_word_edits_are_found():
     rng = np.random.default_rng(6)
     for n in (51, 55, 60, 70):
