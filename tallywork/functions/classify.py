@@ -43,7 +43,9 @@ def classify_domains(postings: DataFrame, vocabulary: Vocabulary, ask: Callable
     ``ask`` is a function for mapInPandas from rows to (id, domain, confidence); it is off unless given.  Its answers
     outside the vocabulary or under the least confidence become ``other``.
     """
-    p = postings.withColumn("_t", classify_title(keyword_counts(F.col("title"), vocabulary))).withColumn("_d", classify_description(keyword_counts(F.col("description"), vocabulary)))
+    # the counts are columns of their own, so that each text is scanned once
+    p = postings.withColumn("_tc", keyword_counts(F.col("title"), vocabulary)).withColumn("_dc", F.when(classify_title(F.col("_tc")).isNull(), keyword_counts(F.col("description"), vocabulary)))
+    p = p.withColumn("_t", classify_title(F.col("_tc"))).withColumn("_d", classify_description(F.col("_dc")))
     out = p.select(
         *postings.columns, F.coalesce("_t", "_d.key").alias("domain"), F.when(F.col("_t").isNotNull(), "rule_title").when(F.col("_d").isNotNull(), "rule_description").alias("domain_method"),
         F.when(F.col("_t").isNotNull(), 1.0).otherwise(F.col("_d.confidence")).alias("domain_confidence"),

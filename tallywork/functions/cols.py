@@ -11,7 +11,7 @@ HIDDEN_CATEGORIES = ("soft", "office_admin")
 MARKET_DOMAINS = ("technology_it", "engineering")
 HOME_CURRENCY = "PKR"
 LEVELS = ("fresh", "junior", "mid", "senior")
-BANDS = ("Entry", "0-1", "2-3", "4-6", "7+", "Unspecified")
+BANDS = ("Entry (0-1 yrs)", "Junior (2-3 yrs)", "Mid (4-6 yrs)", "Senior (7+ yrs)", "Unspecified")
 PKT_HOURS = 5
 
 
@@ -24,7 +24,7 @@ def city_norm(city: Column) -> Column:
     """Trimmed, each run of letters capitalised; blank is null."""
     bare = F.trim(city)
     marked = F.regexp_replace(F.lower(bare), r"(\p{L}+)", "\u0001$1")
-    titled = F.array_join(F.transform(F.split(marked, "\u0001"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 10_000))), "")
+    titled = F.array_join(F.transform(F.split(marked, "\u0001"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 2_147_483_647))), "")
     return F.when(bare != "", titled)
 
 
@@ -34,11 +34,11 @@ def salary_point(low: Column, high: Column) -> Column:
 
 
 def experience_band(raw: Column) -> Column:
-    """ATT-02: by words, else by the first number."""
+    """ATT-02: by words, else by the first number; one year or less is an entry as well."""
     text = F.lower(F.coalesce(raw, F.lit("")))
-    years = F.regexp_extract(text, r"(\d+)", 1).try_cast("int")
+    years = F.regexp_extract(text, r"(\d+)", 1).try_cast("decimal(38,0)")
     entry = F.contains(text, F.lit("fresh")) | F.contains(text, F.lit("entry")) | F.contains(text, F.lit("intern"))
-    return F.when(entry, "Entry").when(years <= 1, "0-1").when(years <= 3, "2-3").when(years <= 6, "4-6").when(years.isNotNull(), "7+").otherwise("Unspecified")
+    return F.when(entry | (years <= 1), BANDS[0]).when(years <= 3, BANDS[1]).when(years <= 6, BANDS[2]).when(text.rlike(r"\d"), BANDS[3]).otherwise(BANDS[4])
 
 
 def blank(text: Column) -> Column:

@@ -25,7 +25,11 @@ _FIELDS = {"computer", "science", "engineering", "software", "electrical", "mech
 _NEED = re.compile(r"\b(?:degree|required|requirements?|qualifications?|education|must|hold|holding|minimum|university)\b", re.I)
 _PROGRAMME = re.compile(r"\b(?:fresh|recent|new|our|programme|program|trainee|alumni)\b", re.I)
 _PROFICIENCY = re.compile(r"\b(?:level|skills?|knowledge|proficiency|user|english|excel)\b", re.I)
-_HEADING = re.compile(r"(?im)^[ \t#*-]*(requirements?|qualifications?|education|eligibility|skills required)\b[^\n]{0,30}$|^[ \t#*-]*([A-Z][A-Za-z &]{2,30}):?[ \t]*$")
+# Phrases that, before a colon or dash, head a section that asks for something, and that head another one.
+_ASKING = ("requirement", "requirements", "qualification", "qualifications", "required skill", "required skills", "what youll need", "what you'll need", "what you’ll need", "who you are")
+_OTHER = ("responsibilities", "about us", "about the role", "about the company", "benefits", "perks", "overview", "job description", "role overview", "company description", "what we offer", "duties")
+_spaced = lambda phrases: "|".join(re.escape(p).replace(r"\ ", r"\s+") for p in sorted(phrases, key=len, reverse=True))
+_HEADING = re.compile(rf"(?P<asking>{_spaced(_ASKING)})\s*[:-]|(?:{_spaced(_OTHER)})\s*[:-]", re.I)
 _SUBJECT = re.compile(r"\b(?:old|age[ds]?|education|schooling|founded|company|history|in business|since)\b", re.I)
 _CONTEXT = re.compile(r"\b(?:experience|exp|required|minimum|least|must|working|background|relevant|hands[- ]on)\b", re.I)
 _YEAR = r"(?:years?|yrs?)"
@@ -42,11 +46,9 @@ def clause(text: str, start: int, end: int, around: int = 80) -> tuple[str, str]
 
 
 def in_requirements(text: str, at: int, reach: int = 400) -> bool:
-    """EXT-09: the last heading before ``at`` asks for something."""
-    last = None
-    for m in _HEADING.finditer(text, max(0, at - reach), at):
-        last = m
-    return bool(last and last[1])
+    """EXT-09: the last heading in the ``reach`` characters before ``at``, wherever it stands in its line, asks for something."""
+    headings = list(_HEADING.finditer(text[max(0, at - reach) : at]))
+    return bool(headings) and headings[-1]["asking"] is not None
 
 
 def degree_level(text: str) -> str | None:

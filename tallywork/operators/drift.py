@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cols as C
 from ..functions import text as T
+from ..session import checkpointed
 from .market import dimension
 
 
@@ -54,14 +53,21 @@ def posting_grams(postings: DataFrame, fillers: list[str], most: int = 4, known:
 
 
 def candidates(grams: DataFrame, least_postings: int = 8, least_companies: int = 3) -> DataFrame:
-    """AGG-33, AGG-34: grams in enough postings and companies, with their sources and domains."""
-    by = grams.groupBy("gram").agg(F.count("*").alias("postings"), F.countDistinct("company").alias("companies"), F.countDistinct("source").alias("sources"), F.countDistinct("domain").alias("domains"))
+    """AGG-33, AGG-34: grams in enough postings and companies, with their sources and domains.
+
+    Rows are counted by gram and company first, which no distinct count has to expand; the sets gathered by gram after
+    that are of sources and domains, of which there are few.
+    """
+    own = grams.groupBy("gram", "company").agg(F.count("*").alias("n"), F.collect_set("source").alias("s"), F.collect_set("domain").alias("d"))
+    union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c)))).cast("long")
+    by = own.groupBy("gram").agg(F.sum("n").alias("postings"), F.count("company").alias("companies"), union("s").alias("sources"), union("d").alias("domains"))
     return by.where((F.col("postings") >= least_postings) & (F.col("companies") >= least_companies))
 
 
 def segments(grams: DataFrame, by: str, limit: int = 30, least_companies: int = 3) -> DataFrame:
     """AGG-35, SRT-12: per source or domain the grams of most companies."""
-    n = grams.groupBy(by, "gram").agg(F.countDistinct("company").alias("companies"), F.count("*").alias("postings")).where(F.col("companies") >= least_companies)
+    own = grams.groupBy(by, "gram", "company").agg(F.count("*").alias("k"))
+    n = own.groupBy(by, "gram").agg(F.count("company").alias("companies"), F.sum("k").alias("postings")).where(F.col("companies") >= least_companies)
     w = Window.partitionBy(by).orderBy(F.desc("companies"), F.desc("postings"), "gram")
     return n.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select(F.col(by).alias("value"), "gram", "companies", "postings", "place")
 
@@ -126,16 +132,13 @@ def merge_groups(phrases: DataFrame, stop: list[str], most_extra: int = 2) -> Da
     pair = rare.select(F.col("phrase").alias("a"), F.col("w").alias("wa"), "word").join(big, "word").where((F.col("a") != F.col("b")) & (F.size("wb") - F.size("wa")).between(0, most_extra) & (F.size(F.array_except("wa", "wb")) == 0))
     edges = pair.select("a", "b").unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     order = lambda c: F.struct(F.size(T.word_set(F.col(c), stop)).alias("k"), F.col(c).alias("p"))
-    context = phrases.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    edges = edges.checkpoint()
-    now = p.select("phrase", order("phrase").alias("root")).checkpoint()
+    edges = checkpointed(edges)
+    now = checkpointed(p.select("phrase", order("phrase").alias("root")))
     while True:  # least label of the neighbours, then of the label's own label
         near = edges.join(now, edges["a"] == now["phrase"]).groupBy(F.col("b").alias("phrase")).agg(F.min("root").alias("n"))
         new = now.join(near, "phrase", "left").select("phrase", F.least("root", F.coalesce("n", "root")).alias("root"))
         up = new.select(F.col("phrase").alias("up"), F.col("root").alias("r2"))
-        new = new.join(up, F.col("root.p") == F.col("up"), "left").select("phrase", F.least("root", F.coalesce("r2", "root")).alias("root")).checkpoint()
+        new = checkpointed(new.join(up, F.col("root.p") == F.col("up"), "left").select("phrase", F.least("root", F.coalesce("r2", "root")).alias("root")))
         if new.join(now.withColumnRenamed("root", "was"), "phrase").where("root <> was").isEmpty():
             return new.select("phrase", F.col("root.p").alias("canonical"))
         now = new

@@ -98,13 +98,17 @@ def grade(forecasts: DataFrame, postings: DataFrame, mentions: DataFrame, as_of:
     Each row is graded on the sources of its own scope, ``all`` or names joined by commas.
     """
     f = forecasts.withColumn("row_id", F.xxhash64("model_version", "target_type", "target_key", "target_week_start")).where(F.col("target_week_start") < as_of_date(as_of, pkt=True))
-    scopes = f.select("source_scope").distinct().withColumn("one", F.explode(F.split("source_scope", r"\s*,\s*")))
+    # a scope of names is met by an equi-join on them, that of all postings needs none
+    names = F.split("source_scope", r"\s*,\s*")
+    f = f.withColumn("_scope", F.when(F.array_contains(names, "all"), "all").otherwise(F.col("source_scope")))
+    scopes = f.select("_scope", F.explode(names).alias("one")).distinct()
     p = postings.select("id", "source", C.pkt_week(F.col("first_seen_at")).alias("week"))
-    scoped = p.join(F.broadcast(scopes), (F.col("one") == "all") | (F.col("one") == F.col("source"))).select("source_scope", "id", "week").distinct()
-    volume = scoped.groupBy("source_scope", "week").agg(F.countDistinct("id").alias("n")).select("source_scope", F.lit("volume").alias("target_type"), F.lit("all").alias("target_key"), "week", "n")
-    skills = scoped.join(mentions.select(F.col("posting_id").alias("id"), "skill").distinct(), "id").groupBy("source_scope", "skill", "week").agg(F.countDistinct("id").alias("n")).select("source_scope", F.lit("skill").alias("target_type"), F.col("skill").alias("target_key"), "week", "n")
+    named = p.join(scopes.where("one <> 'all'"), p["source"] == scopes["one"]).select("_scope", "id", "week")
+    scoped = named.unionByName(p.select(F.lit("all").alias("_scope"), "id", "week")).distinct()
+    volume = scoped.groupBy("_scope", "week").agg(F.countDistinct("id").alias("n")).select("_scope", F.lit("volume").alias("target_type"), F.lit("all").alias("target_key"), "week", "n")
+    skills = scoped.join(mentions.select(F.col("posting_id").alias("id"), "skill").distinct(), "id").groupBy("_scope", "skill", "week").agg(F.countDistinct("id").alias("n")).select("_scope", F.lit("skill").alias("target_type"), F.col("skill").alias("target_key"), "week", "n")
     actual = volume.unionByName(skills).withColumnRenamed("week", "target_week_start")
-    out = f.join(actual, ["source_scope", "target_type", "target_key", "target_week_start"], "left").withColumn("actual", F.coalesce("n", F.lit(0)))
+    out = f.join(actual, ["_scope", "target_type", "target_key", "target_week_start"], "left").withColumn("actual", F.coalesce("n", F.lit(0)))
     return graded(out).select(*_FORECAST, "source_scope", "actual", "abs_error", "baseline_abs_error", "beat_baseline", "outcome")
 
 

@@ -94,11 +94,10 @@ def cities(postings: DataFrame, mentions: DataFrame, skill: str | None = None) -
 
 
 def iqr_columns(value: Column) -> list[Column]:
-    """AGG-07, MTH-01: n, median, quartiles (both the median under four values), range; nulls of none."""
+    """AGG-07, MTH-01: n, median, quartiles (both the median under four values) and their distance, to two places; nulls of none."""
     n, q = F.count(value), F.percentile(value, [0.25, 0.5, 0.75])
-    median = F.round(q[1], 0)
-    q1, q3 = F.when(n < 4, median).otherwise(F.round(q[0], 0)), F.when(n < 4, median).otherwise(F.round(q[2], 0))
-    return [n.alias("n"), median.alias("median"), q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr")]
+    q1, q3 = F.when(n < 4, q[1]).otherwise(q[0]), F.when(n < 4, q[1]).otherwise(q[2])
+    return [n.alias("n"), F.round(q[1], 2).alias("median"), F.round(q1, 2).alias("q1"), F.round(q3, 2).alias("q3"), F.round(q3 - q1, 2).alias("iqr")]
 
 
 def salaries(postings: DataFrame, mentions: DataFrame, currency: str = C.HOME_CURRENCY, skill: str | None = None) -> DataFrame:
@@ -121,11 +120,11 @@ def recent(postings: DataFrame, mentions: DataFrame, source: str | None = None,
 def templated_share(postings: DataFrame, tags: DataFrame) -> DataFrame:
     """AGG-12, WIN-17, ARR-01: per company, postings with tags and those whose sorted tags another posting of it has.
 
-    ``tags`` has posting_id and tag, repeats counting.  Tag lists are compared by hash of the sorted list.
+    ``tags`` has posting_id and tag, repeats counting.
     """
-    sets = tags.groupBy("posting_id").agg(F.xxhash64(F.array_sort(F.collect_list("tag"))).alias("tag_hash"))
+    sets = tags.groupBy("posting_id").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
     p = keyed(postings).join(sets, F.col("id") == F.col("posting_id")).where(F.col("company_key").isNotNull())
-    by = p.groupBy("company_key", "tag_hash").agg(F.count("*").alias("n"))
+    by = p.groupBy("company_key", "tags").agg(F.count("*").alias("n"))
     return by.groupBy("company_key").agg(F.sum("n").alias("tagged"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("repeated")).withColumn("templated_share", C.share(F.col("repeated"), F.col("tagged")))
 
 
@@ -137,7 +136,7 @@ def companies_top(postings: DataFrame, mentions: DataFrame, taxonomy: DataFrame,
     top = top.limit(limit) if limit else top
     p = p.join(F.broadcast(top.select("company_key")) if limit and limit <= DIMENSION else top.select("company_key"), "company_key", "left_semi")
     name = p.groupBy("company_key", "company").count().groupBy("company_key").agg(F.min_by("company", F.struct(-F.col("count"), F.col("company"))).alias("display_name"))
-    towns = p.groupBy("company_key").agg(F.array_join(F.array_sort(F.collect_set(F.lower(F.trim("city")))), "|").alias("cities"))
+    towns = p.groupBy("company_key").agg(F.array_join(F.array_sort(F.collect_set(C.city_norm(F.col("city")))), "|").alias("cities"))
     pay = p.where(F.coalesce("currency", F.lit(C.HOME_CURRENCY)) == C.HOME_CURRENCY).withColumn("v", C.salary_point(F.col("salary_min"), F.col("salary_max"))).groupBy("company_key").agg(*iqr_columns(F.col("v"))).select("company_key", F.col("median").alias("salary_median"), F.col("n").alias("salary_n"))
     dim = dimension(taxonomy.where(F.lit(include_soft) | (F.col("category") != "soft")).select("skill", "ord"))
     skills = mentions.join(p.select(F.col("id").alias("posting_id"), "company_key"), "posting_id").groupBy("company_key", "skill").agg(F.countDistinct("posting_id").alias("k")).join(dim, "skill")

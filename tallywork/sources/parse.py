@@ -34,18 +34,19 @@ def cards(pages: DataFrame, card: str = r'(?s)<div class="card[^"]*">(.*?)</div>
 
 
 def last_wins(rows: DataFrame, keys: list[str], seq: str = "ingest_seq") -> DataFrame:
-    """SRC-21, SRC-23, SET-06: of rows with the same keys the last to arrive."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(seq))
+    """SRC-21, SRC-23, SET-06: of rows with the same keys the last to arrive; of equal sequence numbers the larger row by its columns' text."""
+    rest = [F.desc_nulls_last(F.col(c).cast("string")) for c, t in rows.dtypes if c not in {*keys, seq} and not t.startswith(("map", "variant"))]
+    w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(seq), *rest)
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
 def pooled(streams: list[DataFrame]) -> DataFrame:
-    """SRC-23, SET-06: streams together, later ones winning by url."""
-    rows = [s.withColumn("_stream", F.lit(i)) for i, s in enumerate(streams)]
+    """SRC-23, SET-06: streams together, the last row of a url winning: that of the later stream, inside a stream that of the larger ``ingest_seq``."""
+    rows = [(s if "ingest_seq" in s.columns else s.withColumn("ingest_seq", F.lit(None).cast("long"))).withColumn("_stream", F.lit(i)) for i, s in enumerate(streams)]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r, allowMissingColumns=True)
-    return last_wins(out, ["detail_url"], "_stream").drop("_stream")
+    return last_wins(out.withColumn("_at", F.struct("_stream", F.coalesce(F.col("ingest_seq").cast("long"), F.lit(-1)))), ["detail_url"], "_at").drop("_stream", "_at")
 
 
 def geo_filtered(rows: DataFrame, countries: list[str], cities: list[str], as_of: str, stale_days: int = 14) -> DataFrame:

@@ -6,6 +6,9 @@ version before the pointer moves, so a reader never sees half a write and a lost
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,13 +88,40 @@ def check_locked(before: DataFrame, after: DataFrame, keys: list[str], locked: l
 
 
 def publish(df: DataFrame, folder: str, version: int) -> str:
-    """SNK-09, SNK-10, SNK-12: ``df`` as version ``version`` of a table, then the pointer to it; versions are never written twice."""
-    path = f"{folder}/v{version:06d}"
+    """SNK-09, SNK-10, SNK-12: ``df`` as version ``version`` of a table, then the pointer to it.
+
+    Each try writes a folder of its own and only the pointer makes it the version, so a try that was cut off between the
+    two can be repeated.  A version that has a pointer is an error.
+    """
+    if published(df.sparkSession, folder, version):
+        raise ValueError(f"version {version} of {folder} is published already")
+    path = f"{folder}/v{version:06d}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     df.sparkSession.createDataFrame([(version, path)], "version int, path string").coalesce(1).write.mode("append").json(f"{folder}/_versions")
     return path
 
 
+def _versions(spark: SparkSession, folder: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("version int, path string").json(f"{folder}/_versions")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def published(spark: SparkSession, folder: str, version: int) -> bool:
+    """Whether a table has this version."""
+    found = _versions(spark, folder)
+    return found is not None and not found.where(F.col("version") == version).isEmpty()
+
+
+def any_published(spark: SparkSession, folder: str) -> bool:
+    """Whether a table has any version."""
+    found = _versions(spark, folder)
+    return found is not None and not found.isEmpty()
+
+
 def current(spark: SparkSession, folder: str) -> DataFrame:
     """The newest published version of a table."""
     newest = spark.read.schema("version int, path string").json(f"{folder}/_versions").orderBy(F.desc("version")).first()

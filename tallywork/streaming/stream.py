@@ -41,14 +41,8 @@ def upsert_batches(folder: str) -> Callable:
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = sinks.current(spark, folder)
-            done = spark.read.schema("version int, path string").json(f"{folder}/_versions").where(F.col("version") == epoch + 1).isEmpty()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old, done = spark.createDataFrame([], batch.drop("ingest_seq").schema), True
-        if done:
+        if not sinks.published(spark, folder, epoch + 1):
+            old = sinks.current(spark, folder) if sinks.any_published(spark, folder) else spark.createDataFrame([], batch.drop("ingest_seq").schema)
             sinks.publish(sinks.upsert_postings(old, batch).drop("was_insert"), folder, epoch + 1)
 
     return run

@@ -17,7 +17,7 @@ def test_company_city_and_band(spark):
     assert one(spark, C.company_key(F.col("c")), C.company_key(F.lit("")), c="  Mega   Corp ") == ("mega corp", None)
     assert one(spark, C.city_norm(F.lit(" rahim-yar ")), C.city_norm(F.lit("  ")), C.city_norm(F.lit("d'lo"))) == ("Rahim-Yar", None, "D'Lo")
     got = [one(spark, C.experience_band(F.lit(x)))[0] for x in ("Fresh", "international", "1 Year", "3 Years", "6", "10+", None, "some")]
-    assert got == ["Entry", "Entry", "0-1", "2-3", "4-6", "7+", "Unspecified", "Unspecified"]
+    assert got == ["Entry (0-1 yrs)", "Entry (0-1 yrs)", "Entry (0-1 yrs)", "Junior (2-3 yrs)", "Mid (4-6 yrs)", "Senior (7+ yrs)", "Unspecified", "Unspecified"]
 
 
 def test_skills_raw_shapes(spark):

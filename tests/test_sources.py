@@ -83,11 +83,31 @@ def test_errors(spark):
 def test_iqr_of_few(spark):
     from tallywork.operators.market import iqr_columns
 
-    for values, want in (([], (0, None, None, None, None)), ([1.0, 2.0, 9.0], (3, 2.0, 2.0, 2.0, 0.0)), ([1.0, 2.0, 3.0, 4.0], (4, 3.0, 2.0, 3.0, 1.0))):
+    for values, want in (([], (0, None, None, None, None)), ([1.0, 2.0, 9.0], (3, 2.0, 2.0, 2.0, 0.0)), ([1.0, 2.0, 3.0, 4.0], (4, 2.5, 1.75, 3.25, 1.5))):
         df = spark.createDataFrame([(v,) for v in values], "v double")
         assert tuple(df.agg(*iqr_columns(F.col("v"))).first()) == want
 
 
+def test_last_row_wins_inside_and_between_streams(spark):
+    from tallywork.sources.parse import pooled
+
+    a = spark.createDataFrame([("u", "old", 1), ("u", "new", 2), ("v", "a", 1), ("w", "x", 9)], "detail_url string, title string, ingest_seq long")
+    b = spark.createDataFrame([("v", "b")], "detail_url string, title string")
+    assert {r.detail_url: r.title for r in pooled([a, b]).collect()} == {"u": "new", "v": "b", "w": "x"}
+
+
+def test_a_publish_that_was_cut_off_can_be_repeated(spark, tmp_path):
+    from tallywork.sources import sinks
+
+    folder, df = str(tmp_path / "t"), spark.range(3)
+    df.write.parquet(f"{folder}/v000001-lost")  # written, but its pointer never came
+    assert not sinks.any_published(spark, folder)
+    sinks.publish(df, folder, 1)
+    assert sinks.current(spark, folder).count() == 3 and sinks.published(spark, folder, 1)
+    with pytest.raises(ValueError, match="published already"):
+        sinks.publish(df, folder, 1)
+
+
 def test_merge_groups_are_transitive(spark):
     df = spark.createDataFrame([("data",), ("data science",), ("data science lead",), ("a b c d",), ("a",)], "phrase string")
     got = {r.phrase: r.canonical for r in D.merge_groups(df, []).collect()}
