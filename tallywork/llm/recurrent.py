@@ -102,7 +102,7 @@ def _log_probs(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
         a += p["bo"][m:n]
         ours[i:j] += _softmax_at(a, at[: j - i], y[i:j] - m, grad is not None)
         if grad is not None:
-            grad["rows"].append((m, n, a.T @ hr, a.sum(0)))
+            grad["Wo"][m:n], grad["bo"][m:n] = a.T @ hr, a.sum(0)
             dh[i:j] += a @ w
     out = np.empty(len(y), F32)
     out[order] = ours
@@ -118,7 +118,7 @@ def log_probs(p: dict, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     return _log_probs(p, h, p["rank"][y])
 
 
-def train(p: dict, documents: list[np.ndarray], start: int, streams: int = 256, window: int = 16, rate: float = 0.05, caution: float = 3e-3, past: dict | None = None) -> int:
+def train(p: dict, documents: list[np.ndarray], start: int, streams: int = 256, window: int = 16, rate: float = 0.1, caution: float = 3e-3, past: dict | None = None) -> int:
     """Adagrad steps over the documents, in place: they are cut into ``streams`` of like length, ``window`` steps at a time.
 
     The state starts anew with each document; a stream that begins inside one has no state from before.
@@ -155,15 +155,17 @@ def train(p: dict, documents: list[np.ndarray], start: int, streams: int = 256,
             h, kept = step(p["U"], gx[t], h)
             tape.append(kept)
             states[t] = h
-        grad = {k: np.zeros_like(p[k]) for k in ("U", "Wc", "bc")} | {"rows": []}
-        some = np.flatnonzero(inside.ravel())
-        stack = states.reshape(-1, n)
-        _, dh_some = _log_probs(p, stack[some], y_all[at].ravel()[some], grad)
-        dh = np.zeros_like(stack)
-        dh[some] = dh_some
+        grad = {k: np.zeros_like(p[k]) for k in ("Wc", "bc", "Wo", "bo")}
+        stack, y = states.reshape(-1, n), y_all[at].ravel()
+        if inside.all():
+            dh = _log_probs(p, stack, y, grad)[1]
+        else:
+            some = np.flatnonzero(inside.ravel())
+            dh = np.zeros_like(stack)
+            dh[some] = _log_probs(p, stack[some], y[some], grad)[1]
         dh = dh.reshape(states.shape)
         back = np.zeros_like(h)
-        dg, befores, ghs = np.empty_like(gx), np.empty_like(states), np.empty_like(gx)
+        dg, ghs = np.empty_like(gx), np.empty_like(gx)
         for t in range(t1 - t0 - 1, -1, -1):
             before, z, r, new, ghn = tape[t]
             d = dh[t]
@@ -179,11 +181,12 @@ def train(p: dict, documents: list[np.ndarray], start: int, streams: int = 256,
             gh = ghs[t]
             gh[:, : 2 * n] = g[:, : 2 * n]
             gh[:, 2 * n :] = dnew * r
-            befores[t] = before
             back = gh @ p["U"].T
             back += d * z
             back *= keep[t, :, None]
-        grad["U"] = befores.reshape(-1, n).T @ ghs.reshape(-1, 3 * n)
+        before = np.concatenate([tape[0][0][None], states[:-1]])
+        before[1:] *= keep[1:, :, None]
+        grad["U"] = before.reshape(-1, n).T @ ghs.reshape(-1, 3 * n)
         dg = dg.reshape(-1, 3 * n)
         grad["b"] = dg.sum(0)
         xs = x.ravel()
@@ -195,18 +198,17 @@ def train(p: dict, documents: list[np.ndarray], start: int, streams: int = 256,
         def move(k, g, at=slice(None)):
             g *= scale
             np.clip(g, -1, 1, out=g)
-            new = past[k][at] + g * g
+            new = g * g
+            new += past[k][at]
             past[k][at] = new
-            g /= np.sqrt(new)
+            np.sqrt(new, out=new)
+            g /= new
             g *= F32(rate)
             p[k][at] -= g
 
-        for k in ("U", "b", "Wc", "bc"):
+        for k in ("U", "b", "Wc", "bc", "Wo", "bo"):
             move(k, grad[k])
         move("E", np.add.reduceat(dg[order], starts), seen)
-        for a, b, w, c in grad["rows"]:  # only the classes that occur
-            move("Wo", w, slice(a, b))
-            move("bo", c, slice(a, b))
     return len(y_all)
 
 
