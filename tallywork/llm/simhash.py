@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, checkpointed, small, text_bytes
-from .graph import connected_components
+from .graph import connected_components, with_least
 
 #: Shingles hashed at once, so that a very long text needs bounded memory besides itself.
 CHUNK = 1 << 16
@@ -65,7 +65,10 @@ def shared_bytes(x: np.ndarray) -> np.ndarray:
 
 
 def _linked(x: np.ndarray, max_bits: int) -> np.ndarray:
-    return (shared_bytes(x) >= 8 - max_bits) & (np.bitwise_count(x) <= max_bits)
+    """Which xors of pairs are links: pairs tallied at too few shared bytes are out, the rest are verified by their bits."""
+    out = shared_bytes(x) >= 8 - max_bits
+    out[out] = np.bitwise_count(x[out]) <= max_bits
+    return out
 
 
 def _forest(fp: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -168,9 +171,8 @@ def simhash_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4, see
     fps = checkpointed(fingerprints(docs, shingle, id_col, text_col))
     classes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     comps = connected_components(fingerprint_links(classes.select("fp"), max_bits, seed_bytes))
-    linked = comps.join(classes, comps["node"] == classes["fp"]).select("fp", "root", "least_id")
-    of_root = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    joined = linked.join(of_root, "root").select("fp", "component_id")
+    linked = checkpointed(comps.join(classes, comps["node"] == classes["fp"]).select("fp", "root", "least_id"))
+    joined = with_least(linked, "root", "least_id", linked.count(), "component_id").select("fp", "component_id")
     place = checkpointed(classes.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")))
     return fps.join(place, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
