@@ -16,7 +16,7 @@ from .passages import repeated_passages
 from .pii import span_digests
 from .simhash import simhash_components
 from .toxicity import score_toxicity
-from .urls import content_label, judge_urls, rules_frame
+from .urls import judge_urls, rules_frame, weak_label
 
 
 #: (verdict, host/path) of the fixed rules.
@@ -54,7 +54,7 @@ def op7_bpe_round_trip(spark, sf_dir):
 
 
 def op8_url_filter(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", content_label(F.col("html")).alias("label"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", weak_label(F.col("url"), F.col("html")).alias("label"))
     return judge_urls(pages, rules_frame(spark, URL_RULES))
 
 

@@ -112,10 +112,18 @@ def judge_urls(pages: DataFrame, rules: DataFrame, strength: float = 10.0, bar:
     return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(purity > bar, "block").otherwise("allow")).alias("verdict"), F.coalesce("_merged", F.concat(F.lit("/"), F.array_join("template", "/"))).alias("template"), purity.alias("purity"))
 
 
-def content_label(html, junk_share: float = 0.3, clean_share: float = 0.02, least: int = 20):
-    """1 if over ``junk_share`` of a page's words carry runs of signs or shouting, 0 if under ``clean_share`` do, else null."""
+# Words that, as a part of a host or path, speak for pages that nobody wants in a corpus.
+UNWANTED = ("ad", "ads", "adult", "bet", "bets", "betting", "bingo", "casino", "escort", "loan", "loans", "pharma", "pill", "pills", "poker", "porn", "slots", "spam", "viagra", "warez", "xxx")
+
+
+def weak_label(url, html, unwanted=UNWANTED, junk_share: float = 0.3, least: int = 5):
+    """1 if the url has an unwanted word between signs or over ``junk_share`` of the page's words carry runs of signs, 0 if neither, null if the page has under ``least`` words.
+
+    The words of the url and those of the page are two weak labelers; either may speak against a page, and a page of
+    any length that has neither counts as good.
+    """
+    named = F.lower(F.coalesce(url, F.lit(""))).rlike(rf"(?:^|[^a-z])(?:{'|'.join(unwanted)})(?:[^a-z]|$)")
     text = F.regexp_replace(F.coalesce(html, F.lit("")), "<[^>]*>|&amp;", "&")
     words = F.regexp_count(text, F.lit(r"[^\s&]+"))
     junk = F.regexp_count(text, F.lit(r"[%*$#!&]{2,}(?=[\s<&]|$)"))
-    share = junk / words
-    return F.when(words >= least, F.when(share > junk_share, 1).when(share < clean_share, 0))
+    return F.when(named, 1).when(words >= least, F.when(junk > junk_share * words, 1).otherwise(0))
