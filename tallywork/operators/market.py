@@ -97,7 +97,8 @@ def iqr_columns(value: Column) -> list[Column]:
     """AGG-07, MTH-01: n, median, quartiles (both the median under four values) and their distance, to two places; nulls of none."""
     n, q = F.count(value), F.percentile(value, [0.25, 0.5, 0.75])
     q1, q3 = F.when(n < 4, q[1]).otherwise(q[0]), F.when(n < 4, q[1]).otherwise(q[2])
-    return [n.alias("n"), F.round(q[1], 2).alias("median"), F.round(q1, 2).alias("q1"), F.round(q3, 2).alias("q3"), F.round(q3 - q1, 2).alias("iqr")]
+    two = lambda x: F.round(x.cast("decimal(24,6)"), 2).cast("double")  # noqa: E731  a half is not lost to binary fractions
+    return [n.alias("n"), two(q[1]).alias("median"), two(q1).alias("q1"), two(q3).alias("q3"), two(q3 - q1).alias("iqr")]
 
 
 def salaries(postings: DataFrame, mentions: DataFrame, currency: str = C.HOME_CURRENCY, skill: str | None = None) -> DataFrame:

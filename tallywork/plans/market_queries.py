@@ -52,10 +52,11 @@ _W = f"WITH {L.SQL}"
 _OWN = "(" + ", ".join(f"'{x}'" for x in OWN) + ")"
 _BAND = """CASE WHEN e LIKE '%fresh%' OR e LIKE '%entry%' OR e LIKE '%intern%' OR y <= 1 THEN 'Entry (0-1 yrs)'
   WHEN y <= 3 THEN 'Junior (2-3 yrs)' WHEN y <= 6 THEN 'Mid (4-6 yrs)' WHEN y IS NOT NULL THEN 'Senior (7+ yrs)' ELSE 'Unspecified' END"""
-_IQR = """count(v) AS n, round(quantile_cont(v, 0.5), 2) AS median,
-  round(CASE WHEN count(v) < 4 THEN quantile_cont(v, 0.5) ELSE quantile_cont(v, 0.25) END, 2) AS q1,
-  round(CASE WHEN count(v) < 4 THEN quantile_cont(v, 0.5) ELSE quantile_cont(v, 0.75) END, 2) AS q3,
-  round(CASE WHEN count(v) < 4 THEN 0 ELSE quantile_cont(v, 0.75) - quantile_cont(v, 0.25) END, 2) AS iqr"""
+_TWO = "CAST(round(CAST({} AS DECIMAL(24, 6)), 2) AS DOUBLE)"
+_IQR = f"""count(v) AS n, {_TWO.format("quantile_cont(v, 0.5)")} AS median,
+  {_TWO.format("CASE WHEN count(v) < 4 THEN quantile_cont(v, 0.5) ELSE quantile_cont(v, 0.25) END")} AS q1,
+  {_TWO.format("CASE WHEN count(v) < 4 THEN quantile_cont(v, 0.5) ELSE quantile_cont(v, 0.75) END")} AS q3,
+  {_TWO.format("CASE WHEN count(v) < 4 THEN 0 ELSE quantile_cont(v, 0.75) - quantile_cont(v, 0.25) END")} AS iqr"""
 
 
 def _top(where, p="postings", m="mentions"):
@@ -100,8 +101,8 @@ ORACLE_SQL = {
     "companies_top": f"""{_W}, top AS (SELECT company_key, count(*) AS posting_count FROM postings WHERE company_key IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50),
       p AS (SELECT * FROM postings WHERE company_key IN (SELECT company_key FROM top)),
       nm AS (SELECT company_key, company, row_number() OVER (PARTITION BY company_key ORDER BY count(*) DESC, company) AS r FROM p GROUP BY 1, 2),
-      tw AS (SELECT company_key, string_agg(DISTINCT array_to_string(list_transform(string_split(lower(trim(city)), ' '), x -> upper(x[1]) || x[2:]), ' '), '|' ORDER BY array_to_string(list_transform(string_split(lower(trim(city)), ' '), x -> upper(x[1]) || x[2:]), ' ')) AS cities FROM p GROUP BY 1),
-      pay AS (SELECT company_key, count(coalesce((salary_min + salary_max) / 2, salary_min, salary_max)) AS salary_n, round(quantile_cont(coalesce((salary_min + salary_max) / 2, salary_min, salary_max), 0.5), 2) AS salary_median FROM p WHERE coalesce(currency, 'PKR') = 'PKR' GROUP BY 1),
+      tw AS (SELECT company_key, string_agg(DISTINCT array_to_string(list_transform(string_split(lower(trim(city)), ' '), lambda x: upper(x[1]) || x[2:]), ' '), '|' ORDER BY array_to_string(list_transform(string_split(lower(trim(city)), ' '), lambda x: upper(x[1]) || x[2:]), ' ')) AS cities FROM p GROUP BY 1),
+      pay AS (SELECT company_key, count(coalesce((salary_min + salary_max) / 2, salary_min, salary_max)) AS salary_n, {_TWO.format('quantile_cont(coalesce((salary_min + salary_max) / 2, salary_min, salary_max), 0.5)')} AS salary_median FROM p WHERE coalesce(currency, 'PKR') = 'PKR' GROUP BY 1),
       sk AS (SELECT company_key, skill, row_number() OVER (PARTITION BY company_key ORDER BY count(DISTINCT posting_id) DESC, min(ord)) AS r FROM mentions JOIN p ON id = posting_id JOIN taxonomy USING (skill) WHERE taxonomy.category <> 'soft' GROUP BY 1, 2),
       five AS (SELECT company_key, string_agg(skill, '|' ORDER BY r) AS top_skills FROM sk WHERE r <= 5 GROUP BY 1)
       SELECT company_key, company AS display_name, posting_count, cities, coalesce(salary_n, 0) AS salary_n, salary_median, coalesce(top_skills, '') AS top_skills
