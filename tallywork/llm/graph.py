@@ -49,4 +49,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if seen == mark or mark[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = mark
-        now = written(_small_star(_large_star(now, mark[0]), mark[0]).where("u <> v").distinct())
+        middle = written(_large_star(now, mark[0]))
+        now = written(_small_star(middle, mark[0]).where("u <> v").distinct())
