@@ -1,6 +1,7 @@
 """Operators against brute force, and their edge cases: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -131,6 +132,20 @@ def test_neighbours_with_repeats_and_small_clusters(spark):
     assert [r.vec_id for r in whole] == sorted((j for j in range(300) if j != 60), key=lambda j: (-round(float((x[60] * x[j]).sum()), 9), j))[:20]
 
 
+def test_a_very_common_vector_and_far_groups_have_whole_results(spark):
+    rng = np.random.default_rng(15)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    one, rest = unit(rng.normal(size=8)), unit(rng.normal(size=(30, 8)))
+    rows = [(i, one.tolist()) for i in range(1500)] + [(1500 + i, v.tolist()) for i, v in enumerate(rest)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 20)).collect()
+    for q in (0, 20):  # ties of equal vectors go to the smaller ids
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [i for i in range(21) if i != q]
+    x = np.concatenate([unit(rng.normal(size=(12, 8)) * 0.01 + np.eye(8)[0]), unit(rng.normal(size=(1500, 8)) * 0.1 - np.eye(8)[0])])
+    got = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    want = sorted(range(1, len(x)), key=lambda j: -float((x[0] * x[j]).sum()))[:20]
+    assert len(got) == 20 and len({r.vec_id for r in got} & set(want)) >= 18
+
+
 # --- chat --------------------------------------------------------------------------------------------------------------
 
 
@@ -320,6 +335,40 @@ def test_estimation_finds_the_reliable_labeler():
 # --- toxicity ----------------------------------------------------------------------------------------------------------
 
 
+def brute_viterbi(text, model):
+    """The best path by trying all of them."""
+    best = (-1e9, "")
+    for path in itertools.product(*toxicity.lattice(text), [(" ", 0.0)]):
+        a = b = c = 0
+        score = sum(cost for _, cost in path)
+        for ch in "".join(piece for piece, _ in path):
+            d = toxicity._char(ch)
+            if d or c:
+                score += float(model[a, b, c, d])
+                a, b, c = b, c, d
+        best = max(best, (score, " ".join("".join(p for p, _ in path).split())), key=lambda x: x[0])
+    return best
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(9)
+    model = np.log10(rng.dirichlet(np.full(28, 0.3), (28, 28, 28)) + 1e-6).astype(np.float32)
+    for _ in range(150):
+        text = "".join(rng.choice(list("abcst0135@$!.-"), int(rng.integers(1, 8))))
+        score, want = brute_viterbi(text, model)
+        got = toxicity.viterbi(text, model)
+        assert got == want or abs(brute_viterbi(text, model)[0] - score) < 1e-9, text
+
+
+def test_finder_agrees_with_documents_one_by_one(spark):
+    model = toxicity.with_lexicon(np.log10(np.full((28,) * 4, 1 / 28, np.float32)), ["idiot", "stupid", "moron"])
+    texts = ["", "You 1d10t, m0r0n!", "s t u p i d  and plain", "plain words " * 50, "İ é 中文 \x1c a\u00a0b", *[t or "" for _, t in EDGE]]
+    restorer = toxicity.Restorer(model)
+    number = {f: i for i, f in enumerate(sorted({f for t in texts for w in restorer.document(t) for f in toxicity.features(w)}))}
+    got = [(int(i), int(f)) for doc, feature in toxicity.Finder(model, number).find(texts, size=500) for i, f in zip(doc, feature)]
+    assert sorted(got) == sorted((i, number[f]) for i, t in enumerate(texts) for f in {f for w in restorer.document(t) for f in toxicity.features(w)})
+
+
 def test_disguised_words_are_restored():
     model = toxicity.with_lexicon(np.log10(np.full((28,) * 4, 1 / 28, np.float32)), ["idiot", "stupid", "moron", "trash", "worthless", "pathetic", "loser"])
     r = toxicity.Restorer(model)
@@ -347,6 +396,10 @@ def test_toxicity_held_out(spark):
     held = scored.join(labels, "doc_id").where(fold_of("doc_id", 5) == 0).collect()
     right = sum((r.score >= 0.5) == (r.toxic == 1) for r in held)
     assert right / len(held) > 0.9 and all(0 <= r.score <= 1 for r in held)
+    # better than one answer for all
+    found = sum(r.score >= 0.5 for r in held if r.toxic == 1)
+    wrong = sum(r.score >= 0.5 for r in held if r.toxic == 0)
+    assert found >= 0.8 * sum(r.toxic == 1 for r in held) > 0 and wrong <= 0.05 * len(held)
 
 
 def test_training_rows_drop_near_copies_only(spark):
