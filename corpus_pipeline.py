@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywork.llm.bpe import encode_documents
-from tallywork.llm.common import TOKENIZERS, fold_of, table
+from tallywork.llm.common import fold_of, table
 from tallywork.llm.decontaminate import uncontaminated
 from tallywork.llm.pii import redact
 from tallywork.llm.simhash import keep_one
@@ -43,7 +44,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, decoded): each document's token ids and what they decode to."""
-    return encode_documents(docs, f"{TOKENIZERS}/word_bpe_49k.json")
+    return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("toxicity", toxicity), ("near_copies", near_copies), ("decontamination", decontamination), ("personal_data", personal_data), ("tokens", tokens)]

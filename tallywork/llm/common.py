@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import checkpointed  # noqa: F401
 
 #: The folder of the public tokenizers' files.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+TOKENIZERS = os.path.dirname(public_tokenizers.path("word_bpe_49k.json"))
 
 #: Byte table that lower-cases A-Z and leaves every other byte (UTF-8 parts included) alone.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 
 from .bpe import digest, encode_documents
 from .chat import digests, format_conversations, message_events
-from .common import TOKENIZERS, fold_of, table
+from .common import fold_of, table
 from .decontaminate import contamination
 from .lm import score_documents
 from .neighbours import nearest
@@ -50,7 +51,7 @@ def op6_benchmark_decontamination(spark, sf_dir):
 
 
 def op7_bpe_round_trip(spark, sf_dir):
-    return encode_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", digest)
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest)
 
 
 def op8_url_filter(spark, sf_dir):
