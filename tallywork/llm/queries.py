@@ -13,10 +13,13 @@ from .common import fold_of, table
 from .decontaminate import contamination
 from .lm import score_documents
 from .neighbours import nearest
+from .packing import crc, pack_documents
 from .passages import repeated_passages
 from .pii import span_digests
+from .runs import periodic_runs, run_digests, with_planted_repeats
 from .simhash import simhash_components
 from .toxicity import score_toxicity
+from .tries import numbered_turns, prefix_trie, rebuilt
 from .urls import judge_urls, rules_frame, weak_label
 
 
@@ -69,6 +72,19 @@ def op10_toxicity(spark, sf_dir):
     return scored.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op11_best_fit_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), result=crc)
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return run_digests(periodic_runs(with_planted_repeats(table(spark, sf_dir, "documents"))))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    conv = F.col("conv_id")
+    return prefix_trie(rebuilt(numbered_turns(table(spark, sf_dir, "conversations")), conv - conv % 100, fold_of("conv_id", 6)))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -80,6 +96,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_personal_data": op9_personal_data,
     "op10_toxicity": op10_toxicity,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -117,4 +136,32 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
        coalesce(spans, []) AS spans
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN sp USING (doc_id)""",
+    "op13_prefix_trie": r"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, count(*) AS own_n, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(range(1, len(CAST(conv_id AS VARCHAR)) + 1),
+           lambda i: [CAST(ascii(CAST(conv_id AS VARCHAR)[i]) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) % 6 AS h
+  FROM own GROUP BY conv_id
+), turns AS (
+  SELECT i.conv_id, o.k AS depth, role, text FROM ids i JOIN own o ON o.conv_id = i.conv_id - i.conv_id % 100 AND o.k <= h
+  UNION ALL
+  SELECT i.conv_id, least(i.h, coalesce(b.own_n, 0)) + o.k - i.h, role, text FROM ids i JOIN own o ON o.conv_id = i.conv_id AND o.k > i.h LEFT JOIN ids b ON b.conv_id = i.conv_id - i.conv_id % 100
+), paths AS (
+  SELECT conv_id, depth, length(text) AS n_chars, string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ) OVER (PARTITION BY conv_id ORDER BY depth) AS node FROM turns
+  UNION ALL SELECT conv_id, 0, 0, '' FROM ids
+), whole AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS n FROM paths),
+nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(n_chars) AS n_chars,
+         sha256(coalesce(string_agg(CASE WHEN n = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM whole GROUP BY node, depth
+), up AS (SELECT x.node, p.conv_id AS parent_conv_id, p.node AS parent FROM nodes x JOIN paths a ON a.conv_id = x.conv_id AND a.depth = x.depth - 1 JOIN nodes p ON p.node = a.node AND p.depth = a.depth),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM up GROUP BY parent),
+sums AS (
+  SELECT a.node, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum((n_convs - 1) * x.n_chars) AS saved_tokens
+  FROM nodes x LEFT JOIN kids USING (node) JOIN paths a ON a.conv_id = x.conv_id AND a.depth <= x.depth GROUP BY a.node
+)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM nodes LEFT JOIN up USING (node) LEFT JOIN kids USING (node) JOIN sums USING (node)""",
 }
