@@ -1,4 +1,4 @@
-"""Pages and documents into rows (SRC-13..21, 23, 24, 26..28; JSN-01; SET-06).
+"""Pages and documents into rows (SRC-13..21, 23, 24, 28; JSN-01; SET-06).
 
 Fetching is outside: pages arrive as a table (url, html).
 """
@@ -54,38 +54,6 @@ def geo_filtered(rows: DataFrame, countries: list[str], cities: list[str], as_of
     return rows.where(T.resolves_to(F.col("location"), countries, cities)).withColumn("is_stale", F.coalesce(F.date_diff(F.lit(as_of).cast("date"), F.col("posting_date")) > stale_days, F.lit(False)))
 
 
-def course_lines(pages: DataFrame, pattern: str = r"^\s*([A-Z]{2,4}-?\d{3})\s+(.+?)\s+(\d)\s*(?:\(|$)") -> DataFrame:
-    """SRC-26, SRC-27: (document, line, code, title, credit_hours) of course lists; of equal titles the first, unread lines with a null code.
-
-    ``pages`` has document, page_no and text.
-    """
-    lines = pages.select("document", "page_no", F.posexplode(F.split("text", "\n")).alias("n", "text")).where("trim(text) <> ''")
-    got = lines.select("document", (F.col("page_no").cast("long") * 100_000 + F.col("n")).alias("line"), "text", F.nullif(F.regexp_extract("text", pattern, 1), F.lit("")).alias("code"), F.nullif(F.trim(F.regexp_extract("text", pattern, 2)), F.lit("")).alias("title"), F.regexp_extract("text", pattern, 3).try_cast("int").alias("credit_hours"))
-    first = F.row_number().over(Window.partitionBy("document", T.normal(F.col("title"))).orderBy("line"))
-    return got.withColumn("_r", F.when(F.col("title").isNotNull(), first)).where("_r IS NULL OR _r = 1").drop("_r")
-
-
-def topic_blocks(pages: DataFrame, header: str = r"^\s*Course Title:\s*(.+?)\s*$") -> DataFrame:
-    """SRC-27: (document, title_key, topics): lines under each header, joined."""
-    lines = pages.select("document", "page_no", F.posexplode(F.split("text", "\n")).alias("n", "text"))
-    found = F.nullif(F.regexp_extract("text", header, 1), F.lit(""))
-    w = Window.partitionBy("document").orderBy("page_no", "n")
-    named = lines.withColumn("found", found).withColumn("title", F.last("found", ignorenulls=True).over(w)).where("title IS NOT NULL AND found IS NULL AND trim(text) <> ''")
-    parts = F.array_sort(F.collect_list(F.struct("page_no", "n", F.trim("text").alias("t"))))
-    return named.groupBy("document", T.normal(F.col("title")).alias("title_key")).agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("topics"))
-
-
-def courses(lines: DataFrame, topics: DataFrame) -> DataFrame:
-    """JOI-19: courses with their topics, null without."""
-    return lines.where("code IS NOT NULL").withColumn("title_key", T.normal(F.col("title"))).join(topics, ["document", "title_key"], "left")
-
-
-def course_skills(course_rows: DataFrame, vocabulary: list[tuple[str, list[str]]]) -> DataFrame:
-    """AGG-47: (code, skill, match_source) from titles and topics."""
-    one = lambda c, src: course_rows.select("document", "code", F.explode(T.matched(F.lower(F.coalesce(c, F.lit(""))), vocabulary)).alias("skill"), F.lit(src).alias("match_source"))
-    return one("title", "title").unionByName(one("topics", "topics")).distinct()
-
-
 def extraction_log(spark, path: str) -> DataFrame:
     """SRC-28: answers of a JSON-lines batch log, the last of each posting."""
     log = spark.read.schema("batch int, responses array<struct<id:long,phrases:array<string>>>").json(path)

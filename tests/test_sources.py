@@ -56,12 +56,6 @@ def test_parsers(spark):
     card = '<div class="card hot"><h3><a href="//a.b/1">Dev</a></h3><span class="company">Co</span><span class="salary">25K - 40K</span><i class="tag">sql</i></div><!--/card--><div class="card"><b>broken</b></div><!--/card-->'
     got = P.cards(spark.createDataFrame([("u", card)], "url string, html string")).collect()
     assert [(r.title, r.company, r.salary_min, r.salary_max, r.tags) for r in got] == [("Dev", "Co", 25000, 40000, ["sql"])]
-    text = "CS-101 Intro to Computing 3\nCS-102  Intro  to computing 3\nnot a course\nCourse Title: Intro to Computing\nbits\nbytes"
-    p = spark.createDataFrame([("d", 1, text)], "document string, page_no int, text string")
-    lines = P.course_lines(p)
-    c = P.courses(lines, P.topic_blocks(p)).collect()
-    assert [(r.code, r.topics) for r in c] == [("CS-101", "bits bytes")]
-    assert {(r.code, r.skill, r.match_source) for r in P.course_skills(P.courses(lines, P.topic_blocks(p)), [("bits", ["bits"]), ("comp", ["computing"])]).collect()} == {("CS-101", "bits", "topics"), ("CS-101", "comp", "title")}
 
 
 def test_scans(spark):
