@@ -37,26 +37,39 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}]+(?:['’\-/][\p{L}]+)*|\d+\+?)"), F.lit(1))
 
 
-def ngrams(token_list: Column, most: int = 4) -> Column:
-    """STR-07: all distinct n-grams of 1 to ``most`` tokens.
+def kept_tokens(token_list: Column, fillers: list[str]) -> Column:
+    """FLT-15: for each token whether a gram may begin or end with it."""
+    return F.transform(token_list, lambda w: ~F.array_contains(F.array(*map(F.lit, fillers or [""])), w))
 
-    ``token_list`` is to be a column of the input: an expression would be computed again for each gram.
+
+def number_tokens(token_list: Column) -> Column:
+    """FLT-15: for each token whether it is a number."""
+    return F.transform(token_list, lambda w: w.rlike(r"^\d"))
+
+
+def ngrams(token_list: Column, kept: Column, number: Column, most: int = 4, bare: list[str] | None = None) -> Column:
+    """STR-07, FLT-15: all distinct n-grams of 1 to ``most`` tokens whose ends are kept and that are not numbers only; single words of ``bare`` are none.
+
+    The arguments are to be columns of the input: an expression would be computed again for each gram.
     """
     n = F.size(token_list)
 
     def of(k: int) -> Column:
-        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(token_list, i, F.lit(k)), " "))).otherwise(F.expr("CAST(array() AS array<string>)"))
+        def good(i: Column) -> Column:
+            numbers = F.get(number, i)
+            for x in range(1, k):
+                numbers = numbers & F.get(number, i + x)
+            return F.get(kept, i) & F.get(kept, i + (k - 1)) & ~numbers
+
+        at = F.filter(F.sequence(F.lit(0), n - k), good)
+        grams = F.transform(at, lambda i: F.get(token_list, i)) if k == 1 else F.transform(at, lambda i: F.array_join(F.slice(token_list, i + 1, F.lit(k)), " "))
+        if k == 1 and bare:
+            grams = F.filter(grams, lambda g: ~F.array_contains(F.array(*map(F.lit, bare)), g))
+        return F.when(n >= k, grams).otherwise(F.expr("CAST(array() AS array<string>)"))
 
     return F.array_distinct(F.concat(*[of(k) for k in range(1, most + 1)]))
 
 
-def clean_ngrams(grams: Column, fillers: list[str]) -> Column:
-    """FLT-15: without those that begin or end with a filler word, are a number or have one letter."""
-    bad = F.array(*map(F.lit, fillers)) if fillers else F.expr("CAST(array() AS array<string>)")
-    first, last = lambda g: F.element_at(F.split(g, " "), 1), lambda g: F.element_at(F.split(g, " "), -1)
-    return F.filter(grams, lambda g: ~F.array_contains(bad, first(g)) & ~F.array_contains(bad, last(g)) & ~g.rlike(r"^\d+\+?$") & (F.length(g) > 1))
-
-
 def snippet(text: Column, phrase: Column, around: int = 40) -> Column:
     """STR-08: the phrase's first place with its surroundings, dots where text is cut, white space collapsed; null if absent."""
     at = F.instr(F.lower(text), F.lower(phrase))
@@ -109,13 +122,6 @@ def canonical(value: Column, synonyms: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), normal(value)), normal(value)) if pairs else normal(value)
 
 
-def first_rule(text: Column, rules: list[tuple[str, str]], default: str | None, regex: bool = True) -> Column:
-    """STR-15..17: the value of the first rule whose pattern (or substring) is in the text."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    test = (lambda p: low.rlike(p)) if regex else (lambda p: F.contains(low, F.lit(p)))
-    return F.coalesce(reduce(lambda e, r: e.when(test(r[0]), F.lit(r[1])), rules, F.when(F.lit(False), F.lit(""))), F.lit(default))
-
-
 def scope_encode(names: Column) -> Column:
     """STR-18."""
     return F.array_join(names, ",")

@@ -9,6 +9,7 @@ from ..functions import cols as C
 from ..functions import text as T
 from ..session import checkpointed
 from .market import dimension
+from .phrases import gram_excerpts
 
 
 def substantive_counts(mentions: DataFrame, taxonomy: DataFrame) -> DataFrame:
@@ -42,26 +43,65 @@ def compare_depth(before: DataFrame, after: DataFrame, by: str) -> DataFrame:
     return pick(a, "before").join(pick(b, "after"), "value", "full")
 
 
-def posting_grams(postings: DataFrame, fillers: list[str], most: int = 4, known: DataFrame | None = None) -> DataFrame:
-    """STR-07, FLT-15, ATT-11: (id, source, company, domain, gram): clean distinct n-grams, known aliases left out.
+def posting_grams(postings: DataFrame, fillers: list[str], most: int = 4, known: DataFrame | None = None, bare: list[str] | None = None) -> DataFrame:
+    """STR-07, FLT-15, ATT-11: (id, source, company, domain, gram): clean distinct n-grams, known aliases and single words of ``bare`` left out.
 
     Grams are cleaned inside the array, before they become rows.
     """
-    t = postings.select("id", "source", "company", "domain", T.tokens(F.coalesce("description", F.lit(""))).alias("tokens"))
-    g = t.select("id", "source", "company", "domain", F.explode(T.clean_ngrams(T.ngrams(F.col("tokens"), most), fillers)).alias("gram"))
+    own = ["id", "source", "company", "domain"]
+    t = postings.select(*own, T.tokens(F.coalesce("description", F.lit(""))).alias("tokens"))
+    t = t.select(*own, "tokens", T.kept_tokens(F.col("tokens"), fillers).alias("kept"), T.number_tokens(F.col("tokens")).alias("number"))
+    g = t.select(*own, F.explode(T.ngrams(F.col("tokens"), F.col("kept"), F.col("number"), most, bare)).alias("gram"))
     return g if known is None else g.join(dimension(known.select(T.normal(F.col("alias")).alias("gram")).distinct()), "gram", "left_anti")
 
 
-def candidates(grams: DataFrame, least_postings: int = 8, least_companies: int = 3) -> DataFrame:
-    """AGG-33, AGG-34: grams in enough postings and companies, with their sources and domains.
+#: Most values of a column that are numbered, so that a set of them is one long.
+MOST_BITS = 62
 
-    Rows are counted by gram and company first, which no distinct count has to expand; the sets gathered by gram after
-    that are of sources and domains, of which there are few.
+
+def _numbered(rows: DataFrame, column: str) -> tuple[list, Column] | None:
+    """The values of a column that has few and an expression of their bits; null if it has many."""
+    values = [r[0] for r in rows.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_BITS + 1).collect()]
+    if len(values) > MOST_BITS:
+        return None
+    bit = F.lit(0).cast("long")
+    for i, v in enumerate(sorted(values)):
+        bit = F.when(F.col(column) == v, F.lit(1 << i).cast("long")).otherwise(bit)
+    return sorted(values), bit
+
+
+def candidates(grams: DataFrame, least_postings: int = 8, least_companies: int = 3, values_of: DataFrame | None = None) -> DataFrame:
+    """AGG-33, AGG-34: grams in enough postings and companies, with the numbers of their sources and domains.
+
+    Rows are counted by gram and company first, which no distinct count has to expand.  Sources and domains of which there are
+    at most ``MOST_BITS`` (looked up in ``values_of``, the postings, or the grams) are sets of bits in a hash aggregation;
+    more are counted by an aggregation of their own.
     """
-    own = grams.groupBy("gram", "company").agg(F.count("*").alias("n"), F.collect_set("source").alias("s"), F.collect_set("domain").alias("d"))
-    union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_set(c)))).cast("long")
-    by = own.groupBy("gram").agg(F.sum("n").alias("postings"), F.count("company").alias("companies"), union("s").alias("sources"), union("d").alias("domains"))
-    return by.where((F.col("postings") >= least_postings) & (F.col("companies") >= least_companies))
+    found = {c: _numbered(values_of if values_of is not None else grams, c) for c in ("source", "domain")}
+    bits = [F.bit_or(found[c][1]).alias(f"_{c}") for c in found if found[c]]
+    own = grams.groupBy("gram", "company").agg(F.count("*").alias("n"), *bits)
+    by = own.groupBy("gram").agg(F.sum("n").alias("postings"), F.count("company").alias("companies"), *[F.bit_count(F.bit_or(f"_{c}")).cast("long").alias(f"{c}s") for c in found if found[c]])
+    by = by.where((F.col("postings") >= least_postings) & (F.col("companies") >= least_companies))
+    for c in [c for c in found if not found[c]]:
+        more = grams.join(by.select("gram"), "gram", "left_semi").select("gram", c).distinct().groupBy("gram").agg(F.count(c).alias(f"{c}s"))
+        by = by.join(more, "gram")
+    return by.select("gram", "postings", "companies", "sources", "domains")
+
+
+def splits(grams: DataFrame, by: str) -> DataFrame:
+    """AGG-33: (gram, value, postings, companies) for each value of source or domain that a gram has."""
+    own = grams.groupBy("gram", by, "company").agg(F.count("*").alias("n"))
+    return own.groupBy("gram", F.col(by).alias("value")).agg(F.sum("n").alias("postings"), F.count("company").alias("companies"))
+
+
+def details(grams: DataFrame, postings: DataFrame, top: DataFrame) -> DataFrame:
+    """AGG-33, WIN-19: ``top`` (gram and more) with by_source and by_domain (map of a value to its postings and companies) and the first excerpts."""
+    mine = grams.join(F.broadcast(top.select("gram")) if top.count() <= 50_000 else top.select("gram"), "gram", "left_semi")
+    out = top
+    for by in ("source", "domain"):
+        entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("value", F.lit("")).alias("k"), F.struct("postings", "companies").alias("v")))))
+        out = out.join(splits(mine, by).groupBy("gram").agg(entries.alias(f"by_{by}")), "gram")
+    return out.join(gram_excerpts(mine, postings, top), "gram", "left")
 
 
 def segments(grams: DataFrame, by: str, limit: int = 30, least_companies: int = 3) -> DataFrame:
@@ -85,13 +125,6 @@ def split_text(rows: DataFrame, key: str, by: str) -> DataFrame:
     return n.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: F.concat_ws(":", x["v"], (-x["m"]).cast("string"))), ", ").alias("split"))
 
 
-def merge_passes(tags: DataFrame, texts: DataFrame, least_companies: int) -> DataFrame:
-    """AGG-43, JOI-18, SET-07: candidates of two passes (phrase, id, company) as unions of their sets, and which pass had them."""
-    u = tags.select(T.normal(F.col("phrase")).alias("phrase"), "id", "company", F.lit("tag").alias("pass")).unionByName(texts.select(T.normal(F.col("phrase")).alias("phrase"), "id", "company", F.lit("text").alias("pass")))
-    out = u.groupBy("phrase").agg(F.countDistinct("id").alias("postings"), F.countDistinct("company").alias("companies"), F.array_join(F.array_sort(F.collect_set("pass")), "+").alias("passes"))
-    return out.where(F.col("companies") >= least_companies)
-
-
 def least_companies_for(n: Column) -> Column:
     """ORC-06: the bar that a domain with ``n`` targets has."""
     return F.when(n >= 60, 3).otherwise(2)

@@ -126,13 +126,33 @@ def course_title(raw: Column) -> Column:
 
 
 def json_array_text(said: Column) -> Column:
-    """STR-19: the array in an answer: inside a code fence, else from the first bracket to the last, else all of it."""
+    """STR-19: the first form: inside a code fence the widest array, else from the first bracket to the last, else all of it."""
     text = F.trim(said)
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\[.*\])\s*```", 1)
     bare = F.regexp_extract(text, r"(?s)(\[.*\])", 1)
     return F.when(fenced != "", fenced).when(bare != "", bare).otherwise(text)
 
 
+def last_json_array(said: Column) -> Column:
+    """STR-19: the second form: the array of the last code fence of several, else the first array whose brackets close, else what follows the first bracket, else all of it.
+
+    Brackets are counted over pieces (a string literal with its escapes, a bracket, other text), so those inside strings do not count.
+    """
+    text = F.trim(said)
+    fences = F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(\[.*?\])\s*```"), F.lit(1))
+    rest = F.regexp_extract(text, r"(?s)(\[.*)", 1)
+    pieces = F.regexp_extract_all(rest, F.lit(r'(?s)("(?:\\.|[^"\\])*"?|[\[\]]|[^"\[\]]+)'), F.lit(1))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(False).alias("closed"))
+
+    def step(s: Column, p: Column) -> Column:
+        depth = s["depth"] + F.when(p == "[", 1).when(p == "]", -1).otherwise(0)
+        return F.when(s["closed"], s).otherwise(F.struct(depth.alias("depth"), (s["at"] + F.length(p)).alias("at"), (depth == 0).alias("closed")))
+
+    end = F.aggregate(pieces, start, step)
+    scanned = F.when(end["closed"], F.substring(rest, F.lit(1), end["at"])).otherwise(rest)
+    return F.when(F.size(fences) > 0, F.element_at(fences, -1)).when(rest != "", scanned).otherwise(text)
+
+
 def batches(n: Column, size: int) -> Column:
     """MTH-08: how many batches of ``size`` hold ``n`` rows."""
     return F.ceil(n / size)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as K
 from ..functions import text as T
 from ..operators import drift as D
+from ..session import written
 from ..sources import lenses as L
 
 #: A vocabulary of function words, one key a language.
@@ -31,6 +32,15 @@ def _grams(s, d):
     return D.posting_grams(_docs(s, d), FILLERS, most=2)
 
 
+def _details(s, d, top: int = 50):
+    """The report's full detail: its top candidates with splits and excerpts."""
+    docs, grams = _docs(s, d), _grams(s, d)
+    first = D.candidates(grams, values_of=docs).orderBy(F.desc("companies"), F.desc("postings"), "gram").limit(top)
+    out = D.details(grams, docs, written(first))
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.map_keys(c)), lambda k: F.concat_ws(":", k, F.element_at(c, k)["postings"].cast("string"), F.element_at(c, k)["companies"].cast("string"))), ", ")
+    return out.select("gram", "postings", "companies", text(F.col("by_source")).alias("by_source"), text(F.col("by_domain")).alias("by_domain"), "excerpts")
+
+
 def _depth(s, d):
     return D.with_depth(L.postings(s, d), D.substantive_counts(L.mentions(s, d), L.taxonomy(s, d)))
 
@@ -50,7 +60,8 @@ QUERIES = {
     "depth_by_source": lambda s, d: D.depth_stats(_depth(s, d), "source"),
     "depth_by_domain": lambda s, d: D.depth_stats(_depth(s, d), "domain"),
     "blind_spots": lambda s, d: D.blind_spots(_depth(s, d)).groupBy("source").agg(F.count("*").alias("n")),
-    "drift_candidates": lambda s, d: D.candidates(_grams(s, d)),
+    "drift_candidates": lambda s, d: D.candidates(_grams(s, d), values_of=_docs(s, d)),
+    "drift_details": _details,
     "drift_segments": lambda s, d: D.segments(_grams(s, d), "domain"),
     "drift_lift": _lift,
     "source_split": lambda s, d: D.split_text(_found(s, d), "skill", "domain"),
@@ -89,7 +100,7 @@ _GRAMS = f"""WITH tk AS (SELECT doc_id AS id, source AS company, lang AS domain,
 one AS (SELECT id, company, domain, source, unnest(t) AS gram FROM tk),
 two AS (SELECT id, company, domain, source, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS gram FROM tk WHERE len(t) > 1),
 g AS (SELECT DISTINCT * FROM (SELECT * FROM one UNION ALL SELECT * FROM two)
-  WHERE split_part(gram, ' ', 1) NOT IN {_FILL} AND split_part(gram, ' ', -1) NOT IN {_FILL} AND NOT regexp_full_match(gram, '\\d+\\+?') AND length(gram) > 1)"""
+  WHERE split_part(gram, ' ', 1) NOT IN {_FILL} AND split_part(gram, ' ', -1) NOT IN {_FILL} AND NOT regexp_full_match(gram, '\\d+\\+?( \\d+\\+?)?'))"""
 
 
 def _cand(where: str = "true") -> str:
@@ -113,6 +124,17 @@ ORACLE_SQL = {
     "blind_spots": f"""WITH {L.SQL}, k AS (SELECT posting_id, count(*) AS n FROM mentions JOIN taxonomy USING (skill) WHERE requirement_type = 'skill' AND category NOT IN ('soft', 'office_admin') GROUP BY 1)
       SELECT source, count(*) AS n FROM postings LEFT JOIN k ON posting_id = id WHERE coalesce(n, 0) <= 1 GROUP BY 1""",
     "drift_candidates": f"{_GRAMS} {_cand()}",
+    "drift_details": f"""{_GRAMS}, top AS ({_cand()} ORDER BY companies DESC, postings DESC, gram LIMIT 50), mine AS (SELECT g.* FROM g JOIN top USING (gram)),
+      s AS (SELECT gram, string_agg(source || ':' || p || ':' || c, ', ' ORDER BY source) AS by_source FROM (SELECT gram, source, count(*) AS p, count(DISTINCT company) AS c FROM mine GROUP BY 1, 2) GROUP BY 1),
+      m AS (SELECT gram, string_agg(domain || ':' || p || ':' || c, ', ' ORDER BY domain) AS by_domain FROM (SELECT gram, domain, count(*) AS p, count(DISTINCT company) AS c FROM mine GROUP BY 1, 2) GROUP BY 1),
+      low AS (SELECT doc_id AS id, text, regexp_replace(lower(text), '\\s+', ' ', 'g') AS one, regexp_replace(text, '\\s+', ' ', 'g') = regexp_replace(text, '\\s', ' ', 'g') AS single FROM documents),
+      q AS (SELECT gram, id, text, CASE WHEN single THEN string_split(one, gram) ELSE error('a text with white space side by side') END AS p FROM mine JOIN low USING (id)),
+      h AS (SELECT gram, id, text, p, list_filter(range(1, len(p)), lambda i: (p[i] = '' AND i = 1 OR NOT regexp_matches(p[i], '(^|[\\p{{L}}\\p{{N}}_])$')) AND NOT regexp_matches(p[i + 1], '^[\\p{{L}}\\p{{N}}_]') AND (p[i + 1] <> '' OR i + 1 = len(p)))[1] AS i FROM q),
+      b AS (SELECT gram, id, text, CAST(list_sum(list_transform(p[:i], lambda x: length(x))) + (i - 1) * length(gram) AS BIGINT) AS a FROM h WHERE i IS NOT NULL),
+      e AS (SELECT gram, id, CASE WHEN a > 40 THEN '…' ELSE '' END || trim(regexp_replace(substr(text, greatest(a - 40, 0) + 1, a + length(gram) + 40 - greatest(a - 40, 0)), '\\s+', ' ', 'g')) || CASE WHEN length(text) - a - length(gram) > 40 THEN '…' ELSE '' END AS t FROM b),
+      f AS (SELECT gram, t, min(id) AS id FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY gram ORDER BY id, t) AS n FROM f),
+      ex AS (SELECT gram, list(t ORDER BY n) AS excerpts FROM r WHERE n <= 3 GROUP BY 1)
+      SELECT gram, postings, companies, by_source, by_domain, excerpts FROM top JOIN s USING (gram) JOIN m USING (gram) LEFT JOIN ex USING (gram)""",
     "drift_segments": f"""{_GRAMS}, n AS (SELECT domain AS value, gram, count(DISTINCT company) AS companies, count(*) AS postings FROM g GROUP BY 1, 2 HAVING count(DISTINCT company) >= 3),
       r AS (SELECT *, CAST(row_number() OVER (PARTITION BY value ORDER BY companies DESC, postings DESC, gram) AS INT) AS place FROM n) SELECT * FROM r WHERE place <= 30""",
     "drift_lift": f"""{_GRAMS}, w AS ({_cand()}), p AS ({_cand("domain = 'en'")})

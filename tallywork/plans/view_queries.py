@@ -77,6 +77,16 @@ def _texts(s, d):
     return L.postings(s, d).select("id", V.number_text(F.col("salary_min")).alias("number"), V.percent_text((F.col("id") % 8) / 8, 1).alias("percent"), V.relative_time(F.col("first_seen_at"), now).alias("ago"), V.scope_text(F.concat(F.col("source"), F.lit(", "), F.lower("source"))).alias("scope"))
 
 
+def _answers(s, d):
+    k = F.col("skill")
+    said = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    return L.taxonomy(s, d).select(
+        "skill", V.json_array_text(said("Sure:\n```json\n[\"", k, "\"]\n```\nDone [1]")).alias("fenced"), V.json_array_text(said("so [", k, "] it is")).alias("bare"),
+        V.last_json_array(said("First\n```json\n[\"no\"]\n```\nrather\n```\n[\"", k, "\"]\n```\n[3]")).alias("last_fence"),
+        V.last_json_array(said("It is [[\"a ] \\\" ] ", k, "\"], [1]] and then [2]")).alias("scanned"), V.last_json_array(said("open [\"", k, " ]")).alias("unclosed"), V.last_json_array(said(k, " none ")).alias("plain"),
+    )
+
+
 QUERIES = {
     "forecasts_pending": _pending,
     "backtest_by_target": lambda s, d: V.by_target(W.accuracy(W.backtest(*_ev(s, d), L.AS_OF), by_key=True), _names(s, d)).select("target_type", "target_key", "display", "n", "beat", "place"),
@@ -90,7 +100,7 @@ QUERIES = {
     "insight_values": _insight_rows,
     "display_texts": _texts,
     "course_titles": lambda s, d: L.taxonomy(s, d).select("skill", V.course_title(F.concat(F.upper(F.left("skill", F.lit(3))), F.lit(" "), F.initcap("skill"))).alias("title"), V.course_title(F.upper("skill")).alias("capitals")),
-    "json_answers": lambda s, d: L.taxonomy(s, d).select("skill", V.json_array_text(F.concat(F.lit("Sure:\n```json\n[\""), F.col("skill"), F.lit("\"]\n```\nDone [1]"))).alias("fenced"), V.json_array_text(F.concat(F.lit("so ["), F.col("skill"), F.lit("] it is"))).alias("bare")),
+    "json_answers": _answers,
 }
 
 _W = f"WITH {L.SQL}"
@@ -165,5 +175,6 @@ ORACLE_SQL = {
       SELECT id, format('{{:,}}', CAST(floor(salary_min + 0.5) AS BIGINT)) AS number, printf('%.1f%%', 100 * (id % 8) / 8.0) AS percent,
         CASE WHEN h < 1 THEN 'just now' WHEN h < 24 THEN h || 'h ago' WHEN h // 24 < 7 THEN (h // 24) || 'd ago' ELSE (h // 24 // 7) || 'w ago' END AS ago, source || ' + ' || source AS scope FROM t""",
     "course_titles": f"{_W} SELECT skill, array_to_string(list_transform(string_split(skill, ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS title, upper(skill) AS capitals FROM taxonomy",
-    "json_answers": f"{_W} SELECT skill, '[\"' || skill || '\"]' AS fenced, '[' || skill || ']' AS bare FROM taxonomy",
+    "json_answers": f"""{_W} SELECT skill, '["' || skill || '"]' AS fenced, '[' || skill || ']' AS bare, '["' || skill || '"]' AS last_fence,
+      '[["a ] \\" ] ' || skill || '"], [1]]' AS scanned, '["' || skill || ' ]' AS unclosed, skill || ' none' AS plain FROM taxonomy""",
 }
