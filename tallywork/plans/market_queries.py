@@ -137,11 +137,3 @@ ORACLE_SQL = {
       SELECT *, round(covered / size, 3) AS fraction, covered >= 0.7 * size AS fits, CAST(row_number() OVER (ORDER BY round(covered / size, 3) DESC, size DESC, job_family, experience_level) AS INT) AS place FROM s""",
 }
 
-
-def _insights(s, d):
-    from ..operators import insights as I
-
-    return I.live(*_all(s, d), "2001-01-01 00:00:00").select("generator", "headline", "audience", "score", "sample_size")
-
-
-QUERIES["insights_live"] = _insights

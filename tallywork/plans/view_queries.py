@@ -1,14 +1,11 @@
-"""Queries of what the market's pages show, of insights one by one, and of structured extraction over made-up sentences."""
+"""Queries of what the market's pages show and of structured extraction over made-up sentences."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..functions import extract as X
 from ..operators import forecast as W
-from ..operators import insights as I
 from ..operators import market as M
 from ..operators import views as V
 from ..sources import lenses as L
@@ -66,12 +63,6 @@ def _fields(s, d):
     return x.select("id", "x.degree_level", "x.degree_field", "x.has_certification", F.col("x.experience_min_years").alias("low"), F.col("x.experience_max_years").alias("high"))
 
 
-def _insight_rows(s, d):
-    names = ("templated", "lifespan", "dominance", "foreign_currency", "zero_technical", "pairing", "companion", "top_company")
-    rows = reduce(lambda a, b: a.unionByName(b), [I.GENERATORS[g](*_all(s, d), "2001-01-01 00:00:00") for g in names])
-    return rows.select("generator", "value", "score", "sample_size", "audience")
-
-
 def _texts(s, d):
     now = F.lit("2000-01-01 00:00:00")
     return L.postings(s, d).select("id", V.number_text(F.col("salary_min")).alias("number"), V.percent_text((F.col("id") % 8) / 8, 1).alias("percent"), V.relative_time(F.col("first_seen_at"), now).alias("ago"), V.scope_text(F.concat(F.col("source"), F.lit(", "), F.lower("source"))).alias("scope"))
@@ -97,7 +88,6 @@ QUERIES = {
     "paths_next_level": lambda s, d: V.next_level(*_all(s, d), _knows(s, d)),
     "experience_bands": lambda s, d: V.experience_share(L.postings(s, d)),
     "structured_fields": _fields,
-    "insight_values": _insight_rows,
     "display_texts": _texts,
     "course_titles": lambda s, d: L.taxonomy(s, d).select("skill", V.course_title(F.concat(F.upper(F.left("skill", F.lit(3))), F.lit(" "), F.initcap("skill"))).alias("title"), V.course_title(F.upper("skill")).alias("capitals")),
     "json_answers": _answers,
@@ -148,29 +138,6 @@ ORACLE_SQL = {
         WHEN 4 THEN 'Mid (4-6 yrs)' WHEN 5 THEN 'Mid (4-6 yrs)' WHEN 6 THEN 'Mid (4-6 yrs)' ELSE 'Senior (7+ yrs)' END AS band FROM orders)
       SELECT band, count(*) AS n, round(count(*) / (SELECT count(*) FROM e), 4) AS share FROM e GROUP BY 1""",
     "structured_fields": f"SELECT o_orderkey AS id, {_case(1)} AS degree_level, {_case(2)} AS degree_field, {_case(3)} AS has_certification, CAST({_case(4)} AS INT) AS low, CAST({_case(5)} AS INT) AS high FROM orders",
-    "insight_values": f"""{_W}, {MQ._PAIRS},
-      tags AS (SELECT posting_id, string_agg(skill, '|' ORDER BY skill) AS tags FROM mentions GROUP BY 1),
-      tg AS (SELECT count(*) AS n FROM tags JOIN postings ON id = posting_id WHERE company_key IS NOT NULL GROUP BY company_key, tags),
-      tp AS (SELECT sum(n) AS n, sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS k FROM tg),
-      gone AS (SELECT epoch_us(last_seen_at) / 86400000000.0 - epoch_us(first_seen_at) / 86400000000.0 AS days FROM postings WHERE scrape_run_id <> (SELECT arg_max(scrape_run_id, struct_pack(a := last_seen_at, b := id)) FROM postings)),
-      sk AS (SELECT skill, category, count(DISTINCT posting_id) AS c, min(ord) AS ord FROM mentions JOIN taxonomy USING (skill) WHERE category <> 'soft' GROUP BY 1, 2),
-      ld AS (SELECT *, first_value(skill) OVER w AS name, first_value(c) OVER w AS lead_c FROM sk WINDOW w AS (PARTITION BY category ORDER BY c DESC, ord)),
-      dm AS (SELECT round(lead_c / c, 2) AS ratio, c FROM ld WHERE skill <> name AND c >= 5 AND lead_c >= 5 AND round(lead_c / c, 2) >= 1.5 ORDER BY 1 DESC, name, skill LIMIT 1),
-      tech AS (SELECT DISTINCT posting_id FROM mentions JOIN taxonomy USING (skill) WHERE requirement_type = 'skill' AND category NOT IN ('soft', 'office_admin')),
-      z AS (SELECT count(*) FILTER (id NOT IN (SELECT posting_id FROM tech)) AS k, count(*) AS n FROM postings),
-      pr AS (SELECT lift, joint FROM pairs ORDER BY lift DESC, skill_a, skill_b LIMIT 1),
-      one AS (SELECT skill FROM sk ORDER BY c DESC, ord LIMIT 1),
-      cp AS (SELECT joint, p FROM (SELECT skill_b AS s, joint, p_b_given_a AS p FROM pairs WHERE skill_a = (SELECT skill FROM one) UNION ALL SELECT skill_a, joint, p_a_given_b FROM pairs WHERE skill_b = (SELECT skill FROM one)) ORDER BY p DESC, s LIMIT 1),
-      tc AS (SELECT count(*) AS n FROM kept WHERE company_key IS NOT NULL GROUP BY company_key ORDER BY 1 DESC LIMIT 1),
-      r AS (SELECT 'templated' AS generator, round(100 * k / n, 1) AS value, n AS sample_size, 'system' AS audience FROM tp WHERE k > 0
-        UNION ALL SELECT 'lifespan', round(quantile_cont(days, 0.5), 1), count(*), 'market' FROM gone HAVING count(*) > 0
-        UNION ALL SELECT 'dominance', ratio, c, 'market' FROM dm
-        UNION ALL SELECT 'foreign_currency', count(*), count(*), 'system' FROM postings WHERE currency IS NOT NULL AND currency <> 'PKR' HAVING count(*) > 0
-        UNION ALL SELECT 'zero_technical', round(100 * k / n, 1), n, 'market' FROM z WHERE k > 0
-        UNION ALL SELECT 'pairing', lift, joint, 'market' FROM pr
-        UNION ALL SELECT 'companion', round(100 * p, 1), joint, 'market' FROM cp
-        UNION ALL SELECT 'top_company', n, n, 'market' FROM tc)
-      SELECT generator, CAST(value AS DOUBLE) AS value, CAST(value AS DOUBLE) AS score, CAST(sample_size AS BIGINT) AS sample_size, audience FROM r""",
     "display_texts": f"""{_W}, t AS (SELECT *, greatest(0, CAST(floor(epoch_us(TIMESTAMP '2000-01-01') / 3600000000.0 - epoch_us(first_seen_at) / 3600000000.0 + 0.5) AS BIGINT)) AS h FROM postings)
       SELECT id, format('{{:,}}', CAST(floor(salary_min + 0.5) AS BIGINT)) AS number, printf('%.1f%%', 100 * (id % 8) / 8.0) AS percent,
         CASE WHEN h < 1 THEN 'just now' WHEN h < 24 THEN h || 'h ago' WHEN h // 24 < 7 THEN (h // 24) || 'd ago' ELSE (h // 24 // 7) || 'w ago' END AS ago, source || ' + ' || source AS scope FROM t""",

@@ -114,11 +114,6 @@ def test_taxonomy_diff(spark):
     assert {(r.skill, r.kind) for r in D.taxonomy_diff(a, b).collect()} == {("s2", "reclassified"), ("s3", "gone"), ("s4", "new_category"), ("s5", "new_entry")}
 
 
-def test_gate(spark):
-    rows = spark.createDataFrame([("top_company", "X has 25 postings", 25.0, "market", 1.0, 25), ("top_company", "X has 5 postings", 5.0, "market", 1.0, 5), ("lifespan", "postings stay 0.0 days", 0.0, "market", 0.0, 9), ("templated", "120.0% of", 120.0, "system", 1.0, 9), ("pairing", "a b", -1.0, "market", 1.0, 20)], "generator string, headline string, value double, audience string, score double, sample_size long")
-    assert [r.reason for r in I.gate(rows).collect()] == [None, "thin sample", "a number is zero", "percent out of range", "negative ratio"]
-
-
 def test_draft(spark):
     good = "Volume was 1,200. " + "word " * 100
     rows = spark.createDataFrame([(good, "volume 1200"), (good, "volume 7"), ("We met Mordor. 1200 " + "w " * 100, "1200"), (good + " skyrocket", "1200"), ("1200", "1200")], "body string, facts string")
