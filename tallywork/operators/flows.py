@@ -5,7 +5,9 @@ A run returns DataFrames; who calls it publishes them with :func:`sources.sinks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cols as C
@@ -13,6 +15,7 @@ from ..functions import extract as X
 from ..functions import text as T
 from ..session import checkpointed
 from ..sources import parse, sinks, tables
+from ..sources.deltalog import DeltaLog, last, last_given
 from .insights import template_briefing, verify_draft
 
 #: Fixed value: the method that active mentions carry.
@@ -80,3 +83,39 @@ def publish_briefing(briefings: DataFrame, facts: DataFrame, draft: str | None,
     row = row.withColumn("week_start", F.col("week_start").cast("date")).withColumn("created_at", F.col("created_at").cast("timestamp")).withColumn("superseded_by", F.lit(None).cast("long"))
     old = briefings if existing is None else sinks.supersede(briefings, existing["id"], new_id)
     return old.unionByName(row.select(*briefings.columns)), source
+
+
+def drain(pending: DataFrame, ledger: DeltaLog, work: Callable[[DataFrame], DataFrame], size: int = 20, max_batches: int = 10, order: str = "id") -> dict:
+    """SNK-12, LLM-01: works off pending rows in batches of ``size``, at most ``max_batches`` a run, each written to the ledger before the next begins.
+
+    Rows whose id the ledger has with a result are not pending any more, so a run that was capped or cut off goes on where it
+    stopped.  ``work`` takes the rows of a batch and returns (id, result columns); ids that it leaves out are written as
+    ``unanswered``, a batch whose work fails as ``failed`` with the reason, and both are pending again in the next run.  Returns
+    counts: total, batches, written, unanswered, failed, remaining.
+    """
+    spark = pending.sparkSession
+    known = ledger.read()
+    todo = pending if known is None else pending.join(known.where("state = 'done'").select("id"), "id", "left_anti")
+    total = todo.count()
+    cap = min(total, size * max_batches)
+    # no more rows than one run may take are put in order
+    numbered = checkpointed(todo.orderBy(order).limit(cap).withColumn("_no", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size)))
+    done = {"total": total, "batches": 0, "written": 0, "unanswered": 0, "failed": 0}
+    seq = ledger.next_seq()
+    for no in range(-(-cap // size)):
+        batch = numbered.where(F.col("_no") == no).drop("_no")
+        try:
+            got = checkpointed(work(batch).join(batch.select("id"), "id", "left_semi").dropDuplicates(["id"]))
+            rows = batch.select("id").join(got.withColumn("state", F.lit("done")), "id", "left").withColumn("state", F.coalesce("state", F.lit("unanswered"))).withColumn("reason", F.lit(None).cast("string"))
+        except Exception as e:  # a failing batch must not take the others along
+            rows = batch.select("id").withColumn("state", F.lit("failed")).withColumn("reason", F.lit(f"{type(e).__name__}: {str(e).strip().splitlines()[0] if str(e).strip() else ''}"))
+        ledger.append(rows, seq + no)
+        for r in rows.groupBy("state").count().collect():
+            done[{"done": "written"}.get(r["state"], r["state"])] += r["count"]
+        done["batches"] += 1
+    return done | {"remaining": total - done["written"]}
+
+
+def batch_ledger(spark: SparkSession, folder: str) -> DeltaLog:
+    """The ledger of :func:`drain`: of each id the last state, and the last result that it was given."""
+    return DeltaLog(spark, folder, ["id"], {"state": last, "reason": last}, default=last_given)

@@ -33,6 +33,32 @@ def cards(pages: DataFrame, card: str = r'(?s)<div class="card[^"]*">(.*?)</div>
     return rows.where("title IS NOT NULL AND detail_url IS NOT NULL").withColumn("salary_min", m["low"]).withColumn("salary_max", m["high"])
 
 
+def paged(pages: DataFrame, most: int = 50) -> tuple[DataFrame, DataFrame]:
+    """SRC-21: (cards, listings) of numbered pages of listings, read as far as someone who turns pages would come.
+
+    pages: listing, page_no (from 1), cards: array of structs with detail_url.  A listing ends before its first page that is
+    missing, has no cards, or begins with the card that the page before began with, or after ``most`` pages.  cards: listing,
+    page_no, n and the card's fields, of one url the first; listings: listing, pages_fetched, cards, new_cards, stop_reason.
+    A page number given twice counts once, with the larger cards.  Listings without a first page have no pages.
+    """
+    first = F.get("cards", F.lit(0))["detail_url"]
+    p = pages.where("listing IS NOT NULL AND page_no IS NOT NULL").groupBy("listing", F.col("page_no").cast("long").alias("page_no")).agg(F.max(F.coalesce("cards", F.slice("cards", 1, 0))).alias("cards"))
+    w = Window.partitionBy("listing").orderBy("page_no")
+    p = p.withColumn("no", F.row_number().over(w)).withColumn("head", first).withColumn("before", F.lag(first).over(w)).withColumn("whole", F.count("*").over(Window.partitionBy("listing")))
+    stop = (
+        F.when(F.col("page_no") > most, "reached the most pages").when(F.col("page_no") != F.col("no"), "a page is missing").when(F.coalesce(F.size("cards"), F.lit(0)) <= 0, "a page without cards").when((F.col("no") > 1) & (F.col("head") == F.col("before")), "the same first card as the page before")
+    )
+    # the first page that stops, carried on to all later ones
+    marked = p.withColumn("stop", stop).withColumn("ended", F.first("stop", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = marked.where("ended IS NULL")
+    rows = kept.select("listing", "page_no", F.posexplode("cards").alias("n", "card")).select("listing", "page_no", "n", "card.*")
+    once = Window.partitionBy("listing", "detail_url").orderBy("page_no", "n")
+    new = rows.withColumn("_r", F.row_number().over(once)).where("_r = 1").drop("_r")
+    ends = marked.groupBy("listing").agg(F.count_if(F.col("ended").isNull()).alias("pages_fetched"), F.sum(F.when(F.col("ended").isNull(), F.size("cards")).otherwise(0)).alias("cards"), F.min_by("stop", F.when(F.col("stop").isNotNull(), F.col("page_no"))).alias("stop"))
+    counts = ends.join(new.groupBy("listing").agg(F.count("*").alias("new_cards")), "listing", "left")
+    return new, counts.select("listing", "pages_fetched", "cards", F.coalesce("new_cards", F.lit(0)).alias("new_cards"), F.coalesce("stop", F.lit("no more pages")).alias("stop_reason"))
+
+
 def last_wins(rows: DataFrame, keys: list[str], seq: str = "ingest_seq") -> DataFrame:
     """SRC-21, SRC-23, SET-06: of rows with the same keys the last to arrive; of equal sequence numbers the larger row by its columns' text."""
     rest = [F.desc_nulls_last(F.col(c).cast("string")) for c, t in rows.dtypes if c not in {*keys, seq} and not t.startswith(("map", "variant"))]

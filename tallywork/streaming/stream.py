@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cols as C
-from ..sources import sinks
+from ..sources.deltalog import POSTING_KEY, POSTING_MERGE, DeltaLog
 
 #: Weeks begin on Monday at midnight in UTC+5, which is Sunday 19:00 UTC; windows count from the epoch, a Thursday.
 WEEK_START = "3 days 19 hours"
@@ -36,18 +36,22 @@ def first_sightings(events: DataFrame, late: str = "7 days") -> DataFrame:
     return events.withWatermark("first_seen_at", late).dropDuplicatesWithinWatermark(["source", "detail_url"])
 
 
-def upsert_batches(folder: str) -> Callable:
-    """STM-01, SNK-12: for foreachBatch: each batch merged into the table's next version; a batch that is repeated is not merged again."""
+def upsert_batches(folder: str, compact_every: int = 20, buckets: int = 64) -> Callable:
+    """STM-01, SNK-12: for foreachBatch: each batch is appended to the postings' log, a batch that is repeated is not; every so many batches the buckets they touched are merged."""
 
     def run(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        if not sinks.published(spark, folder, epoch + 1):
-            old = sinks.current(spark, folder) if sinks.any_published(spark, folder) else spark.createDataFrame([], batch.drop("ingest_seq").schema)
-            sinks.publish(sinks.upsert_postings(old, batch).drop("was_insert"), folder, epoch + 1)
+        log = postings_log(batch.sparkSession, folder, buckets)
+        if log.append(batch, epoch) and (epoch + 1) % compact_every == 0:
+            log.compact()
 
     return run
 
 
+def postings_log(spark: SparkSession, folder: str, buckets: int = 64) -> DeltaLog:
+    """The postings under ``folder``, merged as :func:`sources.sinks.upsert_postings` does."""
+    return DeltaLog(spark, folder, POSTING_KEY, POSTING_MERGE, buckets, order="ingest_seq")
+
+
 def routed(events: DataFrame, target_sources: list[str]) -> tuple[DataFrame, DataFrame]:
     """STM-04: rows of sources that count as targets, and the others."""
     hit = F.col("source").isin(*target_sources)

@@ -155,13 +155,3 @@ def test_streams(spark, tmp_path):
     assert run(ST.sessions(stream()), "sess", "complete").agg(F.sum("n")).first()[0] == spark.read.parquet(src).count()
     assert run(ST.trailing_counts(stream()), "slide", "complete").agg(F.sum("n")).first()[0] == 4 * spark.read.parquet(src).count()
     assert run(ST.first_sightings(stream()), "seen", "append").count() == spark.read.parquet(src).count()
-
-
-def test_stream_upsert_is_repeatable(spark, tmp_path):
-    rows = spark.createDataFrame([("a", "s", "u1", "d1", "d1", "d1", "r1", "all", 1)], _COLS + ", ingest_seq int")
-    run = ST.upsert_batches(str(tmp_path / "t"))
-    for _ in range(2):
-        run(rows, 0)
-    run(rows.withColumn("category", F.lit("it")), 1)
-    got = S.current(spark, str(tmp_path / "t")).collect()
-    assert [(r.id, r.category) for r in got] == [("a", "it")]
