@@ -147,7 +147,7 @@ def _coded(sent):
     """Over rows sorted by chunk and word number, the chunk's documents last: its documents with the tokens and counts of its words."""
 
     def run(batches):
-        token_of = sent.value
+        token_of, none = sent.value, np.zeros(0, "<i4")
         before, chunk, vocab, counts = -1, None, [], []
         for b in batches:
             names, at, bucket = (b.column(i).to_pylist() for i in range(3))
@@ -157,10 +157,11 @@ def _coded(sent):
                 read = lambda j, kind: np.frombuffer(zlib.decompress(b.column(j)[i].as_py()), kind)  # noqa: B023, E731
                 if bucket[i] is not None:
                     if at[i] > before:  # chunks that are alike in everything have the same name and words
-                        known, rank = token_of.get(bucket[i], {}), read(5, "<i4")
+                        known, rank = token_of.get(bucket[i], none), read(5, "<i4")
                         own = read(4, np.uint8).astype("<i4")
-                        for j in np.flatnonzero(rank >= 0).tolist():
-                            own[j] = known.get(int(rank[j]), own[j])
+                        hit = np.flatnonzero((rank >= 0) & (rank < len(known)))
+                        token = known[rank[hit]]
+                        own[hit[token >= 0]] = token[token >= 0]
                         vocab.append(own)
                         counts.append(b.column(3)[i].as_py())
                         before = at[i]
@@ -270,9 +271,11 @@ def score_documents(docs: DataFrame, held_out, vocabulary: int = 4096, classes:
     n, v = int(n_of.sum()), int(v_of.sum())
     top = totals.where("kind = 1").orderBy(F.desc("count"), "word").limit(vocabulary).select("bucket", "rank", "word", "count").collect()
     words = [r for r in top if r["word"]]
-    token_of: dict[int, dict[int, int]] = {}
+    of_rank: dict[int, dict[int, int]] = {}
     for i, r in enumerate(words):
-        token_of.setdefault(r["bucket"], {})[r["rank"]] = END + 1 + i
+        of_rank.setdefault(r["bucket"], {})[r["rank"]] = END + 1 + i
+    # by bucket the token of each rank, -1 for those that have none
+    token_of = {b: np.array([own.get(k, -1) for k in range(max(own) + 1)], "<i4") for b, own in of_rank.items()}
     for r in top:
         s = shape_of(bytes(r["word"]))
         n_of[s] -= r["count"]

@@ -56,22 +56,28 @@ def step(u: np.ndarray, gx: np.ndarray, h: np.ndarray):
     gh = h @ u
     zr = gh[:, : 2 * n] + gx[:, : 2 * n]
     _sigmoid(zr)
-    z, r, ghn = zr[:, :n], zr[:, n:], gh[:, 2 * n :]
-    new = r * ghn
+    z, ghn = zr[:, :n], gh[:, 2 * n :]
+    new = zr[:, n:] * ghn
     new += gx[:, 2 * n :]
     np.tanh(new, out=new)
     out = h - new
     out *= z
     out += new
-    return out, (h, z, r, new, ghn)
+    return out, (h, zr, new, ghn)
 
 
-def _softmax_at(a: np.ndarray, at: np.ndarray, y: np.ndarray, grad: bool):
+def _sorted(x: np.ndarray) -> np.ndarray:
+    """The order that sorts row numbers, ties as they stand: few numbers are sorted as short integers, which is done by counting."""
+    return np.argsort(x.astype(np.uint16) if len(x) and int(x.max()) < 1 << 16 else x, kind="stable")
+
+
+def _softmax_at(a: np.ndarray, at: np.ndarray, y: np.ndarray, ones: np.ndarray, grad: bool):
     """Log probabilities of ``y`` under the rows of logits ``a``; with ``grad``, ``a`` becomes the gradient."""
-    np.clip(a, -MOST, MOST, out=a)
+    np.maximum(a, -MOST, out=a)
+    np.minimum(a, MOST, out=a)
     out = a[at, y]
     np.exp(a, out=a)
-    s = a.sum(1)
+    s = a @ ones
     out -= np.log(s)
     if grad:
         a /= s[:, None]
@@ -81,16 +87,17 @@ def _softmax_at(a: np.ndarray, at: np.ndarray, y: np.ndarray, grad: bool):
 
 def _log_probs(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
     cuts = p["cuts"]
-    order = np.argsort(y, kind="stable")
+    order = _sorted(y)
     y, h = y[order], h[order]
+    ones = np.ones(max(len(y), len(p["bo"])), F32)
     c = np.searchsorted(cuts, y, "right") - 1
     at = np.arange(len(y))
     a = h @ p["Wc"]
     a += p["bc"]
-    ours = _softmax_at(a, at, c, grad is not None)
+    ours = _softmax_at(a, at, c, ones[: a.shape[1]], grad is not None)
     if grad is not None:
         grad["Wc"] += h.T @ a
-        grad["bc"] += a.sum(0)
+        grad["bc"] += ones[: len(y)] @ a
         dh = a @ p["Wc"].T
     edge = np.searchsorted(y, cuts).tolist()
     for k, (i, j) in enumerate(zip(edge[:-1], edge[1:])):
@@ -100,9 +107,9 @@ def _log_probs(p: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
         w, hr = p["Wo"][m:n], h[i:j]
         a = hr @ w.T
         a += p["bo"][m:n]
-        ours[i:j] += _softmax_at(a, at[: j - i], y[i:j] - m, grad is not None)
+        ours[i:j] += _softmax_at(a, at[: j - i], y[i:j] - m, ones[: n - m], grad is not None)
         if grad is not None:
-            grad["Wo"][m:n], grad["bo"][m:n] = a.T @ hr, a.sum(0)
+            grad["Wo"][m:n], grad["bo"][m:n] = a.T @ hr, ones[: j - i] @ a
             dh[i:j] += a @ w
     out = np.empty(len(y), F32)
     out[order] = ours
@@ -167,22 +174,24 @@ def train(p: dict, documents: list[np.ndarray], start: int, streams: int = 256,
         back = np.zeros_like(h)
         dg, ghs = np.empty_like(gx), np.empty_like(gx)
         for t in range(t1 - t0 - 1, -1, -1):
-            before, z, r, new, ghn = tape[t]
+            before, zr, new, ghn = tape[t]
+            z, r = zr[:, :n], zr[:, n:]
             d = dh[t]
             d += back
-            dnew = d * (1 - z)
+            g, gh = dg[t], ghs[t]
+            dz, dr, dnew = g[:, :n], g[:, n : 2 * n], g[:, 2 * n :]
+            slope = zr * (1 - zr)  # of both gates at once
+            dzn = d * z
+            np.subtract(d, dzn, out=dnew)
             dnew *= 1 - new * new
-            dz = (before - new) * d
-            dz *= z * (1 - z)
-            dr = dnew * ghn
-            dr *= r * (1 - r)
-            g = dg[t]
-            g[:, :n], g[:, n : 2 * n], g[:, 2 * n :] = dz, dr, dnew
-            gh = ghs[t]
+            np.subtract(before, new, out=dz)
+            dz *= d
+            np.multiply(dnew, ghn, out=dr)
+            g[:, : 2 * n] *= slope
             gh[:, : 2 * n] = g[:, : 2 * n]
-            gh[:, 2 * n :] = dnew * r
+            np.multiply(dnew, r, out=gh[:, 2 * n :])
             back = gh @ p["U"].T
-            back += d * z
+            back += dzn
             back *= keep[t, :, None]
         before = np.concatenate([tape[0][0][None], states[:-1]])
         before[1:] *= keep[1:, :, None]
@@ -190,7 +199,7 @@ def train(p: dict, documents: list[np.ndarray], start: int, streams: int = 256,
         dg = dg.reshape(-1, 3 * n)
         grad["b"] = dg.sum(0)
         xs = x.ravel()
-        order = np.argsort(xs, kind="stable")
+        order = _sorted(xs)
         starts = np.r_[0, np.flatnonzero(np.diff(xs[order])) + 1]
         seen = xs[order][starts]
         scale = F32(16 / (max(1, len(first)) * window))
