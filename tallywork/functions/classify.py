@@ -75,6 +75,27 @@ def classify_family(title: Column, domain: Column, families: list[tuple[str, str
     return F.coalesce(best(True), best(False))
 
 
+def classify_families(postings: DataFrame, families: list[tuple[str, str | None, list[str]]], answers: DataFrame | None = None) -> DataFrame:
+    """CLS-05, CLS-06, LLM-02: ``postings`` with family, family_method and family_confidence: by rule on the title, else by an answer, else null with the method ``unclassified``.
+
+    answers (id, family, confidence, batch) come from outside; the last of a posting counts, and only if its family is known
+    and its confidence is not under the least.
+    """
+    known = [k for k, *_ in families]
+    out = postings.withColumn("_r", classify_family(F.col("title"), F.col("domain"), families))
+    if answers is not None:
+        last = answers.groupBy("id").agg(F.max_by(F.struct("family", "confidence"), F.struct("batch")).alias("_a"))
+        out = out.join(last, "id", "left")
+    else:
+        out = out.withColumn("_a", F.lit(None).cast("struct<family: string, confidence: double>"))
+    good = F.col("_a.family").isin(*known) & (F.col("_a.confidence") >= LEAST_CONFIDENCE)
+    said = F.when(F.col("_r").isNull() & good, F.col("_a"))
+    return out.select(
+        *postings.columns, F.coalesce("_r", said["family"]).alias("family"), F.when(F.col("_r").isNotNull(), "rule_title").when(said.isNotNull(), "llm").otherwise("unclassified").alias("family_method"),
+        F.when(F.col("_r").isNotNull(), 1.0).otherwise(said["confidence"]).alias("family_confidence"),
+    )
+
+
 def title_only_relabel(postings: DataFrame) -> DataFrame:
     """SNK-15: answers on postings without a description are relabelled and their confidence capped."""
     hit = (F.col("domain_method") == "llm") & (F.trim(F.coalesce("description", F.lit(""))) == "")

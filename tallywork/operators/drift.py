@@ -36,13 +36,6 @@ def depth_stats(depth: DataFrame, by: str) -> DataFrame:
     )
 
 
-def compare_depth(before: DataFrame, after: DataFrame, by: str) -> DataFrame:
-    """AGG-39: depth statistics of two vocabularies side by side."""
-    a, b = depth_stats(before, by), depth_stats(after, by)
-    pick = lambda d, p: d.select("value", *[F.col(c).alias(f"{c}_{p}") for c in ("n", "median", "pct_le1")])
-    return pick(a, "before").join(pick(b, "after"), "value", "full")
-
-
 def posting_grams(postings: DataFrame, fillers: list[str], most: int = 4, known: DataFrame | None = None, bare: list[str] | None = None) -> DataFrame:
     """STR-07, FLT-15, ATT-11: (id, source, company, domain, gram): clean distinct n-grams, known aliases and single words of ``bare`` left out.
 
@@ -125,11 +118,6 @@ def split_text(rows: DataFrame, key: str, by: str) -> DataFrame:
     return n.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: F.concat_ws(":", x["v"], (-x["m"]).cast("string"))), ", ").alias("split"))
 
 
-def least_companies_for(n: Column) -> Column:
-    """ORC-06: the bar that a domain with ``n`` targets has."""
-    return F.when(n >= 60, 3).otherwise(2)
-
-
 def unmatched_titles(postings: DataFrame, least: int = 5) -> DataFrame:
     """AGG-46: titles without a family, by normal form, with three of their spellings."""
     g = postings.where("job_family IS NULL").groupBy(T.normal(F.col("title")).alias("cluster")).agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("title")), 1, 3), " | ").alias("samples"))

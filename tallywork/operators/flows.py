@@ -1,4 +1,4 @@
-"""Whole runs from tables to the next state of tables, with counters (ORC-01, ORC-04, GATE-03, SNK-11).
+"""Whole runs from tables to the next state of tables, with counters (ORC-01..04, ORC-08, GATE-03, SNK-11, SNK-12, DAT-07).
 
 A run returns DataFrames; who calls it publishes them with :func:`sources.sinks.publish`.
 """
@@ -14,6 +14,7 @@ from ..functions import cols as C
 from ..functions import extract as X
 from ..functions import text as T
 from ..session import checkpointed
+from ..sources import curriculum as R
 from ..sources import parse, sinks, tables
 from ..sources.deltalog import DeltaLog, last, last_given
 from .insights import template_briefing, verify_draft
@@ -44,20 +45,94 @@ def run_extraction(postings: DataFrame, mentions: DataFrame, vocabulary: list[tu
     return mentions.unionByName(inserted), after, counters.withColumn("skipped", F.col("mentions_found") - F.col("inserted")).withColumn("structured_updated", F.col("postings_processed"))
 
 
-def run_collection(pages: DataFrame, postings: DataFrame, run_id: str, seen_at: str, source: str = "mustakbil") -> tuple[DataFrame, DataFrame]:
-    """ORC-01: (postings, counters) after the postings of listing pages that were fetched elsewhere are merged in.
+def run_id(now: str, token: str) -> str:
+    """DAT-07: a run's name from its moment (``2024-01-31 08:05:00``) and eight letters or digits of a random token."""
+    day, _, clock = now.partition(" ")
+    return f"{day.replace('-', '')}T{clock[:8].replace(':', '')}-{token[:8]}"
 
-    ``postings`` has at least id, source, detail_url, source_job_id, title, company, city, category, first_seen_at,
-    last_seen_at, scraped_at and scrape_run_id; a new posting's id is a hash of source and url.
-    """
+
+#: Fixed value: a stream that gives less than this of what was asked for is suspect.
+LEAST_YIELD = 30
+
+
+def _merge_in(postings: DataFrame, batch: DataFrame, name: str, seen_at: str) -> tuple[DataFrame, DataFrame]:
+    """(the table with ``was_insert``, counts): rows with a url as sightings of a run; the others failed."""
     at = F.lit(seen_at).cast("timestamp")
-    rows = parse.listing_rows(pages).withColumn("source", F.lit(source))
-    batch = rows.select(
-        F.xxhash64("source", "detail_url").alias("id"), "source", "detail_url", "source_job_id", "title", "company", "city", F.lit(None).cast("string").alias("category"), at.alias("first_seen_at"), at.alias("last_seen_at"), at.alias("scraped_at"), F.lit(run_id).alias("scrape_run_id"), F.xxhash64("source_job_id").alias("ingest_seq"),
-    )
-    merged = checkpointed(sinks.upsert_postings(postings, batch.where("detail_url IS NOT NULL")))
-    counters = merged.agg(F.count_if(F.col("was_insert")).alias("inserted"), F.count_if(F.coalesce(~F.col("was_insert"), F.lit(False))).alias("updated"))
-    return merged.drop("was_insert"), counters
+    stamped = {"id": F.xxhash64("source", "detail_url"), "first_seen_at": at, "last_seen_at": at, "scraped_at": at, "scrape_run_id": F.lit(name)}
+    rows = checkpointed(batch.withColumns(stamped))
+    whole = rows.where("detail_url IS NOT NULL")
+    lacking = [F.lit(None).cast(t).alias(c) for c, t in postings.dtypes if c not in whole.columns]
+    merged = checkpointed(sinks.upsert_postings(postings, whole.select("*", *lacking)))
+    counts = merged.agg(F.count_if(F.col("was_insert")).alias("inserted"), F.count_if(F.coalesce(~F.col("was_insert"), F.lit(False))).alias("updated"))
+    return merged, counts.crossJoin(rows.agg(F.count("*").alias("postings_parsed"), F.count_if(F.col("detail_url").isNull()).alias("failed")))
+
+
+def _extract(postings: DataFrame, mentions: DataFrame | None, vocabulary, taxonomy: DataFrame | None, name: str, counts: DataFrame):
+    """Skills of the run's postings, if there is a vocabulary: (postings, mentions, counts)."""
+    if mentions is None or vocabulary is None:
+        return postings, mentions, counts
+    mentions, postings, n = run_extraction(postings, mentions, vocabulary, taxonomy, name)
+    return postings, mentions, counts.crossJoin(n.select(F.col("inserted").alias("skill_mentions_inserted"), F.col("skipped").alias("skill_mentions_skipped")))
+
+
+def run_collection(
+    pages: DataFrame, postings: DataFrame, name: str, seen_at: str, source: str = "mustakbil", category: str | None = None, details: DataFrame | None = None, mentions: DataFrame | None = None, vocabulary=None, taxonomy: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """ORC-01: (postings, mentions, counters) after listing pages that were fetched elsewhere are merged in.
+
+    Of rows with one url the last in page order counts.  New postings, and only they, are enriched from ``details``
+    (detail_url, description, skills_raw, currency), the pages that were fetched for them; those without one, or with one that
+    has nothing, count as failed.  Then skills are read from all that the run touched.  ``postings`` has at least id, source,
+    detail_url, category, first_seen_at, last_seen_at, scraped_at and scrape_run_id; columns that it lacks are dropped.
+    """
+    m = T.money_range(F.coalesce("salary_raw", F.lit("")))
+    rows = parse.listing_rows(pages).withColumns({"source": F.lit(source), "category": F.lit(category).cast("string"), "salary_min": m["low"], "salary_max": m["high"]})
+    merged, counts = _merge_in(postings, rows, name, seen_at)
+    counts = counts.crossJoin(pages.agg(F.count("*").alias("pages_fetched")))
+    after = merged.drop("was_insert")
+    if details is not None:
+        own = [c for c in ("description", "skills_raw", "currency") if c in postings.columns and c in details.columns]
+        some = F.coalesce(*[F.nullif(F.trim(F.col(f"d.{c}").cast("string")), F.lit("")) for c in own])
+        new = merged.where("was_insert").select("id", "detail_url").alias("p").join(parse.last_wins(details.withColumn("_n", F.lit(0)), ["detail_url"], "_n").alias("d"), "detail_url", "left")
+        got = checkpointed(new.select("id", *[F.col(f"d.{c}").alias(c) for c in own], some.isNotNull().alias("_has")))
+        after = sinks.enrich(after, got.where("_has").drop("_has"), tuple(own))
+        counts = counts.crossJoin(got.agg(F.count_if("_has").alias("enriched"), F.count_if(~F.col("_has")).alias("enrich_failed")))
+    return _extract(after, mentions, vocabulary, taxonomy, name, counts)
+
+
+def run_streams(
+    streams: dict[str, tuple[DataFrame, int]], postings: DataFrame, name: str, seen_at: str, source: str, places: tuple[list[str], list[str]] | None = None, mentions: DataFrame | None = None, vocabulary=None, taxonomy: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None, DataFrame, DataFrame]:
+    """ORC-02: (postings, mentions, counters, yields) after scraped streams, each with the number of rows asked for, are pooled and merged in.
+
+    With ``places`` (countries, cities) rows elsewhere are dropped and counted, stale ones are counted but kept.  yields: stream,
+    requested, received, low; the counters' verdict is ``LIKELY OK`` if no stream that was asked gave less than ``LEAST_YIELD``.
+    """
+    spark = postings.sparkSession
+    pooled = checkpointed(parse.pooled([tables.clean_scraped(df) for df, _ in streams.values()]))
+    kept = parse.geo_filtered(pooled, *places, as_of=seen_at) if places else pooled.withColumn("is_stale", F.lit(False))
+    kept = checkpointed(kept)
+    received = [(s, n, df.count()) for s, (df, n) in streams.items()]  # streams are few
+    low = [s for s, n, k in received if n > 0 and k < LEAST_YIELD]
+    batch = kept.drop("is_stale").withColumns({"source": F.lit(source), "ingest_seq": F.lit(0)})
+    batch = batch if "category" in batch.columns else batch.withColumn("category", F.lit(None).cast("string"))
+    merged, counts = _merge_in(postings, batch, name, seen_at)
+    stale = kept.agg(F.count_if("is_stale").alias("stale"), F.count("*").alias("_kept")).crossJoin(pooled.agg(F.count("*").alias("_all")))
+    counts = counts.crossJoin(stale.select("stale", (F.col("_all") - F.col("_kept")).alias("dropped"))).withColumn("verdict", F.lit("LIKELY BLOCKED/THROTTLED" if low else "LIKELY OK"))
+    yields = spark.createDataFrame([(s, n, k, s in low) for s, n, k in received], "stream string, requested long, received long, low boolean")
+    after, mentions, counts = _extract(merged.drop("was_insert"), mentions, vocabulary, taxonomy, name, counts)
+    return after, mentions, counts, yields
+
+
+def run_enrich_all(postings: DataFrame, details: DataFrame, source: str = "mustakbil") -> tuple[DataFrame, DataFrame]:
+    """ORC-03: (postings, counters) after all postings of a source that need it are enriched from details (detail_url, description, skills_raw, currency) fetched elsewhere."""
+    own = ("description", "skills_raw", "currency")
+    need = tables.needing_enrichment(postings, source).select("id", "detail_url")
+    d = parse.last_wins(details.withColumn("_n", F.lit(0)), ["detail_url"], "_n").select("detail_url", *own)
+    some = F.coalesce(*[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in own]).isNotNull()
+    got = checkpointed(need.join(d, "detail_url", "left").withColumn("_has", some))
+    counters = got.agg(F.count("*").alias("candidates"), F.count_if("_has").alias("enriched"), F.count_if(~F.col("_has")).alias("enrich_failed"))
+    return sinks.enrich(postings, got.where("_has").select("id", *own), own), counters
 
 
 def publish_briefing(briefings: DataFrame, facts: DataFrame, draft: str | None, banned: list[str], common: list[str], created_at: str, force: bool = False) -> tuple[DataFrame, str]:
@@ -119,3 +194,20 @@ def drain(pending: DataFrame, ledger: DeltaLog, work: Callable[[DataFrame], Data
 def batch_ledger(spark: SparkSession, folder: str) -> DeltaLog:
     """The ledger of :func:`drain`: of each id the last state, and the last result that it was given."""
     return DeltaLog(spark, folder, ["id"], {"state": last, "reason": last}, default=last_given)
+
+
+def run_curriculum(documents: dict[str, tuple[DataFrame, DataFrame]], vocabulary: list[tuple[str, list[str]]]) -> dict[str, DataFrame]:
+    """ORC-08: (courses, skill_map, coverage, totals, top_skills, unmatched) of parsed documents, the (courses, topics) of :mod:`sources.curriculum` by a name.
+
+    A course's id is a hash of its document, program, code, title and place; :func:`sources.sinks.publish_all` puts all tables in the old ones' stead at once.
+    """
+    courses, reports = None, None
+    for rows, topics in documents.values():
+        own = R.with_topics(rows, topics)
+        report = R.coverage(rows, own, topics)
+        courses, reports = (own, report) if courses is None else (courses.unionByName(own), reports.unionByName(report))
+    key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("document", "program", "code", "title", "page_no", "n")])
+    courses = checkpointed(courses.withColumn("course_id", key))
+    found = checkpointed(R.course_skills(courses, vocabulary))
+    totals, ranked, unmatched = R.mapping_report(courses, found)
+    return {"courses": courses, "skill_map": found, "coverage": reports, "totals": totals, "top_skills": ranked, "unmatched": unmatched}

@@ -17,11 +17,19 @@ def embedded_state(html: Column, marker: str = "__STATE__") -> Column:
 
 
 def listing_rows(pages: DataFrame, path: str = "$.jobs") -> DataFrame:
-    """SRC-13, SRC-14: postings of listing pages' embedded JSON; rows without an id go."""
+    """SRC-13, SRC-14: postings of listing pages' embedded JSON; rows without an id go.
+
+    ``ingest_seq`` is where a row stands: its page (column page_no, if the pages have it, else their url) and its place there.
+    """
     jobs = F.try_variant_get(embedded_state(F.col("html")), path, "array<variant>")
-    j = pages.select("url", F.explode(jobs).alias("j"))
+    page = F.col("page_no").cast("long") if "page_no" in pages.columns else F.lit(None).cast("long")
+    j = pages.select("url", page.alias("page_no"), F.posexplode(jobs).alias("n", "j"))
     get = lambda k, t="string": F.try_variant_get("j", f"$.{k}", t)
-    return j.select(get("id").alias("source_job_id"), T.normal_url(get("url")).alias("detail_url"), get("title").alias("title"), get("company").alias("company"), get("city").alias("city"), get("salary").alias("salary_raw"), T.query_string(F.col("url")).alias("query")).where("source_job_id IS NOT NULL")
+    rows = j.select(
+        get("id").alias("source_job_id"), T.normal_url(get("url")).alias("detail_url"), get("title").alias("title"), get("company").alias("company"), get("city").alias("city"), get("salary").alias("salary_raw"), T.query_string(F.col("url")).alias("query"),
+        F.struct("page_no", "url", "n").alias("ingest_seq"),
+    )
+    return rows.where("source_job_id IS NOT NULL")
 
 
 def cards(pages: DataFrame, card: str = r'(?s)<div class="card[^"]*">(.*?)</div>\s*<!--/card-->') -> DataFrame:
@@ -61,7 +69,7 @@ def paged(pages: DataFrame, most: int = 50) -> tuple[DataFrame, DataFrame]:
 
 def last_wins(rows: DataFrame, keys: list[str], seq: str = "ingest_seq") -> DataFrame:
     """SRC-21, SRC-23, SET-06: of rows with the same keys the last to arrive; of equal sequence numbers the larger row by its columns' text."""
-    rest = [F.desc_nulls_last(F.col(c).cast("string")) for c, t in rows.dtypes if c not in {*keys, seq} and not t.startswith(("map", "variant"))]
+    rest = [F.desc_nulls_last(F.col(c).cast("string")) for c, t in rows.dtypes if c not in {*keys, seq} and not t.startswith(("map", "variant", "struct", "array"))]
     w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(seq), *rest)
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 

@@ -128,6 +128,26 @@ def current(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(newest["path"])
 
 
+def publish_all(frames: dict[str, DataFrame], folder: str, version: int) -> None:
+    """ORC-05: several tables of one run as one version: all are written first, then one pointer names them all, so a reader sees all or none.
+
+    A version that has a pointer is an error; one that was cut off before can be tried again.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    if published(spark, folder, version):
+        raise ValueError(f"version {version} of {folder} is published already")
+    base = f"{folder}/v{version:06d}-{uuid.uuid4().hex}"
+    for name, df in frames.items():
+        df.write.mode("errorifexists").parquet(f"{base}/{name}")
+    spark.createDataFrame([(version, base, sorted(frames))], "version int, path string, names array<string>").coalesce(1).write.mode("append").json(f"{folder}/_versions")
+
+
+def current_all(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the newest version that :func:`publish_all` completed."""
+    newest = spark.read.schema("version int, path string, names array<string>").json(f"{folder}/_versions").orderBy(F.desc("version")).first()
+    return {name: spark.read.parquet(f"{newest['path']}/{name}") for name in newest["names"]}
+
+
 def write_report(rows: DataFrame, path: str, title: str, limit: int = 100) -> None:
     """SNK-13: the first rows of a ranked result as a Markdown table."""
     head = rows.limit(limit)
