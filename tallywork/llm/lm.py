@@ -20,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,14 @@ CHUNK = 16 << 20
 _DIGITS, _SIGNS = frozenset(b"0123456789"), frozenset(b"%*$&#!?;:|)]}\"'=_-/")
 
 
+def _pack(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _unpack(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
 def shape_of(word: bytes) -> int:
     if not word:
         return 0
@@ -82,9 +91,9 @@ def _number(buckets: int):
             name = h.digest()[:16]
             some = [i for i in range(buckets) if starts[i] < starts[i + 1]]
             part = lambda i: slice(starts[i], starts[i + 1])
-            rows = [{"kind": 0, "chunk": name, "bucket": i, "at": int(starts[i]), "words": zlib.compress(b" ".join(words[part(i)]), 1), "counts": zlib.compress(n[part(i)].tobytes(), 1)} for i in some]
+            rows = [{"kind": 0, "chunk": name, "bucket": i, "at": int(starts[i]), "words": _pack(b" ".join(words[part(i)])), "counts": _pack(n[part(i)].tobytes())} for i in some]
             planes = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 4).T)  # bytes of the same weight together, which packs better
-            rows.append({"kind": 1, "chunk": name, "at": int(flat[-1]), "ids": ids, "lengths": lengths.tolist(), "packed": zlib.compress(planes.tobytes(), 1)})
+            rows.append({"kind": 1, "chunk": name, "at": int(flat[-1]), "ids": ids, "lengths": lengths.tolist(), "packed": _pack(planes.tobytes())})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
@@ -109,7 +118,7 @@ def _totals(most: int):
         top = heapq.nsmallest(most, ((-n, w, i) for i, (w, n) in enumerate(zip(words, total.tolist())) if n))
         rank = np.full(len(words), -1, "<i4")
         rank[[i for _, _, i in top]] = np.arange(len(top))
-        pack = lambda x: zlib.compress(x.tobytes(), 1)
+        pack = lambda x: _pack(x.tobytes())
         rows = []
         for chunk, at, own in held:
             rows.append({"kind": 0, "chunk": chunk, "bucket": bucket, "at": at, "n": len(own), "counts": pack(total[own]), "shapes": pack(shape[own]), "ranks": pack(rank[own])})
@@ -129,10 +138,10 @@ def _totals(most: int):
                     if held:
                         yield from close(now, held, index, total)
                     now, held, index, total = bucket, [], {}, np.zeros(1024, np.int64)
-                own = np.array([index.setdefault(w, len(index)) for w in zlib.decompress(words).split(b" ")], np.int32)
+                own = np.array([index.setdefault(w, len(index)) for w in _unpack(words).split(b" ")], np.int32)
                 if len(index) > len(total):
                     total = np.r_[total, np.zeros(max(len(total), len(index) - len(total)), np.int64)]
-                total[own] += np.frombuffer(zlib.decompress(counts), "<u4")  # a chunk's words are distinct
+                total[own] += np.frombuffer(_unpack(counts), "<u4")  # a chunk's words are distinct
                 held.append((chunk, at, own))
         if held:
             yield from close(now, held, index, total)
@@ -154,7 +163,7 @@ def _coded(sent):
             for i, key in enumerate(names):
                 if key != chunk:
                     before, chunk, vocab, counts = -1, key, [], []
-                read = lambda j, kind: np.frombuffer(zlib.decompress(b.column(j)[i].as_py()), kind)  # noqa: B023, E731
+                read = lambda j, kind: np.frombuffer(_unpack(b.column(j)[i].as_py()), kind)  # noqa: B023, E731
                 if bucket[i] is not None:
                     if at[i] > before:  # chunks that are alike in everything have the same name and words
                         known, rank = token_of.get(bucket[i], none), read(5, "<i4")
@@ -168,17 +177,17 @@ def _coded(sent):
                     continue
                 v = np.concatenate(vocab)
                 v[at[i]] = END
-                c = np.concatenate([np.frombuffer(zlib.decompress(x), np.int64) for x in counts])
-                yield pa.RecordBatch.from_arrays([*(b.column(j).slice(i, 1) for j in (6, 7, 8)), pa.array([zlib.compress(v.tobytes(), 1)], pa.binary()), pa.array([zlib.compress(c.tobytes(), 1)], pa.binary())], ["ids", "lengths", "packed", "vocab", "counts"])
+                c = np.concatenate([np.frombuffer(_unpack(x), np.int64) for x in counts])
+                yield pa.RecordBatch.from_arrays([*(b.column(j).slice(i, 1) for j in (6, 7, 8)), pa.array([_pack(v.tobytes())], pa.binary()), pa.array([_pack(c.tobytes())], pa.binary())], ["ids", "lengths", "packed", "vocab", "counts"])
 
     return run
 
 
 def _read(b: pa.RecordBatch, i: int):
     """(ids, lengths, numbers, vocab) of a chunk."""
-    planes = np.frombuffer(zlib.decompress(b.column(2)[i].as_py()), np.uint8)
+    planes = np.frombuffer(_unpack(b.column(2)[i].as_py()), np.uint8)
     numbers = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
-    return b.column(0)[i].as_py(), np.array(b.column(1)[i].as_py(), np.int64), numbers, np.frombuffer(zlib.decompress(b.column(3)[i].as_py()), "<i4")
+    return b.column(0)[i].as_py(), np.array(b.column(1)[i].as_py(), np.int64), numbers, np.frombuffer(_unpack(b.column(3)[i].as_py()), "<i4")
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -192,13 +201,14 @@ def _score(sent, mix: float):
         for b in batches:
             for i in range(b.num_rows):
                 ids, lengths, numbers, vocab = _read(b, i)
-                c = np.frombuffer(zlib.decompress(b.column(4)[i].as_py()), np.int64)
+                c = np.frombuffer(_unpack(b.column(4)[i].as_py()), np.int64)
                 base = np.log((c + 1.0) / (m["n"] + m["v"] + 1))
                 share = np.where(vocab < SHAPES, np.log((c + 1.0) / m["shape"][np.minimum(vocab, SHAPES - 1)]), 0.0)
                 first = np.cumsum(lengths) - lengths
                 p = R.score(m["p"], np.split(vocab[numbers].astype(np.int64), first[1:]), END) + share[numbers]
+                # a token's probability under the model is far above what a double can't hold
+                p = np.log10((1 - mix) * np.exp(p) + (mix * np.exp(base))[numbers])
                 base = base[numbers]
-                p = np.logaddexp(np.log(1 - mix) + p, np.log(mix) + base) / np.log(10)
                 over = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731  every document has its end
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x["doc_id"] for x in ids], pa.int64()), pa.array([x["held"] for x in ids]), pa.array(lengths), pa.array(over((c > 0)[numbers].astype(np.int64))), pa.array(np.full(len(ids), m["n"], np.int64)), pa.array(over(base) / np.log(10)), pa.array(over(p))],

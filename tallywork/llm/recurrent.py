@@ -172,13 +172,14 @@ def train(p: dict, documents: list[np.ndarray], start: int, streams: int = 256,
             dh[some] = _log_probs(p, stack[some], y[some], grad)[1]
         dh = dh.reshape(states.shape)
         back = np.zeros_like(h)
-        dg, ghs = np.empty_like(gx), np.empty_like(gx)
+        u_gates, u_new = np.ascontiguousarray(p["U"][:, : 2 * n].T), np.ascontiguousarray(p["U"][:, 2 * n :].T)
+        dg, dgh = np.empty_like(gx), np.empty_like(states)
         for t in range(t1 - t0 - 1, -1, -1):
             before, zr, new, ghn = tape[t]
             z, r = zr[:, :n], zr[:, n:]
             d = dh[t]
             d += back
-            g, gh = dg[t], ghs[t]
+            g, gh = dg[t], dgh[t]
             dz, dr, dnew = g[:, :n], g[:, n : 2 * n], g[:, 2 * n :]
             slope = zr * (1 - zr)  # of both gates at once
             dzn = d * z
@@ -188,15 +189,15 @@ def train(p: dict, documents: list[np.ndarray], start: int, streams: int = 256,
             dz *= d
             np.multiply(dnew, ghn, out=dr)
             g[:, : 2 * n] *= slope
-            gh[:, : 2 * n] = g[:, : 2 * n]
-            np.multiply(dnew, r, out=gh[:, 2 * n :])
-            back = gh @ p["U"].T
+            np.multiply(dnew, r, out=gh)
+            back = g[:, : 2 * n] @ u_gates
+            back += gh @ u_new
             back += dzn
             back *= keep[t, :, None]
         before = np.concatenate([tape[0][0][None], states[:-1]])
         before[1:] *= keep[1:, :, None]
-        grad["U"] = before.reshape(-1, n).T @ ghs.reshape(-1, 3 * n)
-        dg = dg.reshape(-1, 3 * n)
+        before, dg = before.reshape(-1, n), dg.reshape(-1, 3 * n)
+        grad["U"] = np.hstack([before.T @ dg[:, : 2 * n], before.T @ dgh.reshape(-1, n)])
         grad["b"] = dg.sum(0)
         xs = x.ravel()
         order = _sorted(xs)
