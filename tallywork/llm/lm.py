@@ -24,6 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import recurrent as R
 from .common import checkpointed, numbered_words, pieces
 
@@ -185,8 +186,11 @@ def _coded(sent):
 
 def _read(b: pa.RecordBatch, i: int):
     """(ids, lengths, numbers, vocab) of a chunk."""
-    planes = np.frombuffer(_unpack(b.column(2)[i].as_py()), np.uint8)
-    numbers = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+    planes = np.frombuffer(_unpack(b.column(2)[i].as_py()), np.uint8).reshape(4, -1)
+    numbers = planes[3].astype(np.uint32)
+    for k in (2, 1, 0):
+        numbers <<= 8
+        numbers |= planes[k]
     return b.column(0)[i].as_py(), np.array(b.column(1)[i].as_py(), np.int64), numbers, np.frombuffer(_unpack(b.column(3)[i].as_py()), "<i4")
 
 
@@ -227,11 +231,10 @@ def _train(sent, part: int, rounds: int, blocks: int):
         for b in batches:
             for i in range(b.num_rows):
                 ids, lengths, numbers, vocab = _read(b, i)
-                tokens = vocab[numbers].astype(np.int64)
                 cut = np.r_[0, np.cumsum(lengths)].tolist()
                 mine = [j for j in range(part, len(ids), rounds) if not ids[j]["held"]]
                 p = R.from_vector(like, R.to_vector(like))
-                k = R.train(p, [tokens[cut[j] : cut[j + 1]] for j in mine], END)
+                k = R.train(p, [vocab[numbers[cut[j] : cut[j + 1]]] for j in mine], END)
                 if k:
                     total = k * R.to_vector(p).astype(np.float64) + (0 if total is None else total)
                     n += k
@@ -299,7 +302,8 @@ def score_documents(docs: DataFrame, held_out, vocabulary: int = 4096, classes:
     words_in = totals.where("kind = 0").select("chunk", "at", "bucket", "counts", "shapes", "ranks")
     both = words_in.unionByName(numbered.where("kind = 1").select("chunk", "at", "ids", "lengths", "packed", F.lit(1).alias("last")), allowMissingColumns=True)
     both = both.repartition(dealt, "chunk").sortWithinPartitions("chunk", F.col("last").asc_nulls_first(), "at").select("chunk", "at", "bucket", "counts", "shapes", "ranks", "ids", "lengths", "packed")
-    coded = checkpointed(both.mapInArrow(_coded(context.broadcast(token_of)), _CODED))
+    # as a table, whose readers take files together: partitions without chunks cost a worker's start in each round
+    coded = written(both.mapInArrow(_coded(context.broadcast(token_of)), _CODED))
     blocks = max(64, min(4096, dealt // 4))
     for r in range(rounds if n else 0):
         trained = coded.mapInArrow(_train(context.broadcast(p), r, rounds, blocks), "block int, n long, values binary")
