@@ -24,7 +24,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
 from . import recurrent as R
 from .common import checkpointed, numbered_words, pieces
 
@@ -302,8 +301,9 @@ def score_documents(docs: DataFrame, held_out, vocabulary: int = 4096, classes:
     words_in = totals.where("kind = 0").select("chunk", "at", "bucket", "counts", "shapes", "ranks")
     both = words_in.unionByName(numbered.where("kind = 1").select("chunk", "at", "ids", "lengths", "packed", F.lit(1).alias("last")), allowMissingColumns=True)
     both = both.repartition(dealt, "chunk").sortWithinPartitions("chunk", F.col("last").asc_nulls_first(), "at").select("chunk", "at", "bucket", "counts", "shapes", "ranks", "ids", "lengths", "packed")
-    # as a table, whose readers take files together: partitions without chunks cost a worker's start in each round
-    coded = written(both.mapInArrow(_coded(context.broadcast(token_of)), _CODED))
+    coded = checkpointed(both.mapInArrow(_coded(context.broadcast(token_of)), _CODED))
+    if dealt > chunks:  # partitions without chunks would cost a worker's call in each round
+        coded = coded.coalesce(max(1, chunks))
     blocks = max(64, min(4096, dealt // 4))
     for r in range(rounds if n else 0):
         trained = coded.mapInArrow(_train(context.broadcast(p), r, rounds, blocks), "block int, n long, values binary")
