@@ -35,12 +35,16 @@ CHUNK = 16 << 20
 _DIGITS, _SIGNS = frozenset(b"0123456789"), frozenset(b"%*$&#!?;:|)]}\"'=_-/")
 
 
+#: One of each in a process: a new one for each piece would take its tables' memory anew.
+_PACKER, _UNPACKER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return _PACKER.compress(raw)
 
 
 def _unpack(packed: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(packed)
+    return _UNPACKER.decompress(packed)
 
 
 def shape_of(word: bytes) -> int:
