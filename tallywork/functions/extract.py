@@ -107,26 +107,32 @@ def experience_years(text: str, raw: str | None) -> tuple[int | None, int | None
     return got if got != (None, None) else _years(text, True)
 
 
+# Words near ``senior`` that make it someone else's level: among the four before, or the two after; how the level of those without experience is named.
+_OTHERS_BEFORE = {"support", "supporting", "reporting", "report", "reports", "communicating", "communicate"}
+_OTHERS_AFTER = {"management", "stakeholders", "director", "directors", "analyst", "accountants", "accountant", "manager", "managers"}
+_FRESH = re.compile(r"(?<!\w)(?:fresh\s+graduate|entry\s+level)(?!\w)", re.I)
+
+
 def senior_signal(text: str) -> bool:
     """EXT-11: ``senior`` as the posting's own level, not that of people it works with."""
-    for m in re.finditer(r"(?<!\w)(?:senior|sr\.?|lead|principal)(?!\w)", text, re.I):
-        before = re.findall(r"[a-z]+", text[max(0, m.start() - 30) : m.start()].lower())[-2:]
-        after = re.findall(r"[a-z]+", text[m.end() : m.end() + 30].lower())[:1]
-        if not set(before) & {"with", "to", "by", "under", "our", "the", "report", "reports", "assist", "support"} and not set(after) & {"management", "citizens", "staff", "members", "leadership", "colleagues", "team", "generation"}:
+    words = lambda part: re.findall(r"[a-z][a-z.'-]*", part.lower())
+    for m in re.finditer(r"(?<!\w)senior(?!\w)", text, re.I):
+        near = set(words(text[max(0, m.start() - 40) : m.start()])[-4:]) & _OTHERS_BEFORE | set(words(text[m.end() : m.end() + 30])[:2]) & _OTHERS_AFTER
+        if not near:
             return True
     return False
 
 
 def experience_level(text: str, low: int | None, high: int | None) -> str | None:
-    """EXT-12."""
+    """EXT-12: senior by the word, fresh by phrase, else by the least years asked for, or the most where there is no least."""
     if senior_signal(text):
         return "senior"
     years = low if low is not None else high
-    if years == 0 or re.search(r"(?<!\w)(?:fresh(?:ers?|\s+graduates?)|entry[- ]level|no experience)(?!\w)", text, re.I):
+    if _FRESH.search(text):
         return "fresh"
     if years is None:
         return None
-    return "junior" if years <= 2 else "mid" if years <= 5 else "senior"
+    return "fresh" if years <= 0 else "junior" if years <= 2 else "mid" if years <= 5 else "senior"
 
 
 def structured_fields(text: str | None, raw: str | None) -> dict:
@@ -147,7 +153,12 @@ def extracted(description: Column, experience_raw: Column) -> Column:
 
     @F.pandas_udf(SCHEMA)
     def run(texts: pd.Series, raws: pd.Series) -> pd.DataFrame:
-        rows = [structured_fields(t, r) for t, r in zip(texts, raws)]
+        # postings are often published again word for word: a text that a batch repeats is read once
+        known: dict[tuple, dict] = {}
+        pairs = list(zip(texts, raws))
+        for p in set(pairs):
+            known[p] = structured_fields(*p)
+        rows = [known[p] for p in pairs]
         out = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in SCHEMA.split(", ")])
         for c in ("experience_min_years", "experience_max_years"):
             out[c] = out[c].astype("Int32")

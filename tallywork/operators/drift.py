@@ -167,7 +167,7 @@ def merge_groups(phrases: DataFrame, stop: list[str], most_extra: int = 2) -> Da
 
 def stratified_sample(rows: DataFrame, by: str, n: int, seed: int = 0) -> DataFrame:
     """WIN-20: ``n`` rows taken in turn from each group, in the order of a hash."""
-    w = Window.partitionBy(by).orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    w = Window.partitionBy(by).orderBy(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))), "id")
     return rows.withColumn("turn", F.row_number().over(w)).orderBy("turn", by).limit(n)
 
 

@@ -36,18 +36,25 @@ def _knows(s, d):
     return [r["skill"] for r in L.taxonomy(s, d).where("NOT endswith(skill, 'bolt')").select("skill").collect()]
 
 
-#: Sentences by the remainder of the id, {n} and {m} being numbers made from it, with what stands in them.
+#: Sentences by the remainder of the id, {n} and {m} being numbers made from it, with what stands in them: degree, field, certification, least and most years, and the level if not by the years.
 SENTENCES = [
-    ("BS Computer Science or equivalent. Minimum {n} years of experience required.", "bachelors", None, False, "{n}", "NULL"),
-    ("Proficiency in MS Office and MS Excel is required.", None, None, False, "NULL", "NULL"),
-    ("MS in Computer Science required.", "masters", "computer science", False, "NULL", "NULL"),
-    ("Candidates must be able to work independently. {n}-{m} years of experience.", None, None, False, "{n}", "{m}"),
-    ("We are a company with {n} years of history.", None, None, False, "NULL", "NULL"),
-    ("Requirements: good manners, {n}+ years.", None, None, False, "{n}", "NULL"),
-    ("Requirements: manners. Responsibilities: to keep {n} years of files.", None, None, False, "NULL", "NULL"),
-    ("BA degree or equivalent experience considered. A certification is a plus.", "bachelors", None, True, "NULL", "NULL"),
-    ("Fresh graduate programme of our own.", None, None, False, "NULL", "NULL"),
-    ("", None, None, False, "NULL", "NULL"),
+    ("BS Computer Science or equivalent. Minimum {n} years of experience required.", "bachelors", None, False, "{n}", "NULL", None),
+    ("Proficiency in MS Office and MS Excel is required.", None, None, False, "NULL", "NULL", None),
+    ("MS in Computer Science required.", "masters", "computer science", False, "NULL", "NULL", None),
+    ("Candidates must be able to work independently. {n}-{m} years of experience.", None, None, False, "{n}", "{m}", None),
+    ("We are a company with {n} years of history.", None, None, False, "NULL", "NULL", None),
+    ("Requirements: good manners, {n}+ years.", None, None, False, "{n}", "NULL", None),
+    ("Requirements: manners. Responsibilities: to keep {n} years of files.", None, None, False, "NULL", "NULL", None),
+    ("BA degree or equivalent experience considered. A certification is a plus.", "bachelors", None, True, "NULL", "NULL", None),
+    ("Fresh graduate programme of our own.", None, None, False, "NULL", "NULL", "fresh"),
+    ("", None, None, False, "NULL", "NULL", None),
+    ("Intermediate in science is required.", "intermediate", None, False, "NULL", "NULL", None),
+    ("Intermediate level English skills are required.", None, None, False, "NULL", "NULL", None),
+    ("PhD in physics required. At least {m} years of experience.", "phd", "physics", False, "{m}", "NULL", None),
+    ("You support a senior accountant. {n} years of experience required.", None, None, False, "{n}", "{n}", None),
+    ("Senior cook wanted, {n} years of experience.", None, None, False, "{n}", "{n}", "senior"),
+    ("An entry level role, {m}+ years of experience.", None, None, False, "{m}", "NULL", "fresh"),
+    ("Diploma or master’s degree. Candidates aged {n} years or older.", "diploma", None, False, "NULL", "NULL", None),
 ]
 
 
@@ -55,12 +62,13 @@ def _sentences(s, d):
     n, m = (F.col("id") % 4 + 1).cast("int"), (F.col("id") % 4 + 3).cast("int")
     text = F.element_at(F.array(*[F.lit(x[0]) for x in SENTENCES]), (F.col("id") % len(SENTENCES) + 1).cast("int"))
     text = F.replace(F.replace(text, F.lit("{n}"), n.cast("string")), F.lit("{m}"), m.cast("string"))
-    return L.postings(s, d).select("id", text.alias("description"))
+    own = F.when(F.col("id") % 5 == 0, F.concat((F.col("id") % 9).cast("string"), F.lit(" Years"))).when(F.col("id") % 5 == 1, "2 - 4 Years").when(F.col("id") % 5 == 2, "Not stated")
+    return L.postings(s, d).select("id", text.alias("description"), own.alias("experience_raw"))
 
 
 def _fields(s, d):
-    x = _sentences(s, d).withColumn("x", X.extracted(F.col("description"), F.lit(None).cast("string")))
-    return x.select("id", "x.degree_level", "x.degree_field", "x.has_certification", F.col("x.experience_min_years").alias("low"), F.col("x.experience_max_years").alias("high"))
+    x = _sentences(s, d).withColumn("x", X.extracted(F.col("description"), F.col("experience_raw")))
+    return x.select("id", "x.degree_level", "x.degree_field", "x.has_certification", F.col("x.experience_min_years").alias("low"), F.col("x.experience_max_years").alias("high"), F.col("x.experience_level").alias("level"))
 
 
 def _texts(s, d):
@@ -103,7 +111,7 @@ def _case(i: int) -> str:
             return "NULL"
         if isinstance(v, bool):
             return str(v).upper()
-        if i > 3:
+        if i in (4, 5):
             return v.replace("{n}", "(o_orderkey % 4 + 1)").replace("{m}", "(o_orderkey % 4 + 3)")
         return f"'{v}'"
 
@@ -137,7 +145,9 @@ ORACLE_SQL = {
     "experience_bands": f"""WITH e AS (SELECT CASE o_orderkey % 10 WHEN 9 THEN 'Unspecified' WHEN 0 THEN 'Entry (0-1 yrs)' WHEN 1 THEN 'Entry (0-1 yrs)' WHEN 2 THEN 'Junior (2-3 yrs)' WHEN 3 THEN 'Junior (2-3 yrs)'
         WHEN 4 THEN 'Mid (4-6 yrs)' WHEN 5 THEN 'Mid (4-6 yrs)' WHEN 6 THEN 'Mid (4-6 yrs)' ELSE 'Senior (7+ yrs)' END AS band FROM orders)
       SELECT band, count(*) AS n, round(count(*) / (SELECT count(*) FROM e), 4) AS share FROM e GROUP BY 1""",
-    "structured_fields": f"SELECT o_orderkey AS id, {_case(1)} AS degree_level, {_case(2)} AS degree_field, {_case(3)} AS has_certification, CAST({_case(4)} AS INT) AS low, CAST({_case(5)} AS INT) AS high FROM orders",
+    "structured_fields": f"""WITH x AS (SELECT o_orderkey AS id, {_case(1)} AS degree_level, {_case(2)} AS degree_field, {_case(3)} AS has_certification, CAST({_case(4)} AS INT) AS l, CAST({_case(5)} AS INT) AS h, {_case(6)} AS named FROM orders),
+      y AS (SELECT *, CASE id % 5 WHEN 0 THEN CAST(id % 9 AS INT) WHEN 1 THEN 2 ELSE l END AS low, CASE id % 5 WHEN 0 THEN CAST(id % 9 AS INT) WHEN 1 THEN 4 ELSE h END AS high FROM x)
+      SELECT id, degree_level, degree_field, has_certification, low, high, CASE WHEN named IS NOT NULL THEN named WHEN coalesce(low, high) <= 0 THEN 'fresh' WHEN coalesce(low, high) <= 2 THEN 'junior' WHEN coalesce(low, high) <= 5 THEN 'mid' WHEN coalesce(low, high) > 5 THEN 'senior' END AS level FROM y""",
     "display_texts": f"""{_W}, t AS (SELECT *, greatest(0, CAST(floor(epoch_us(TIMESTAMP '2000-01-01') / 3600000000.0 - epoch_us(first_seen_at) / 3600000000.0 + 0.5) AS BIGINT)) AS h FROM postings)
       SELECT id, format('{{:,}}', CAST(floor(salary_min + 0.5) AS BIGINT)) AS number, printf('%.1f%%', 100 * (id % 8) / 8.0) AS percent,
         CASE WHEN h < 1 THEN 'just now' WHEN h < 24 THEN h || 'h ago' WHEN h // 24 < 7 THEN (h // 24) || 'd ago' ELSE (h // 24 // 7) || 'w ago' END AS ago, source || ' + ' || source AS scope FROM t""",

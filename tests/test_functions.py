@@ -87,8 +87,10 @@ def test_years_and_levels():
     assert y("5-3 years experience", None) == (3, 5) and y("minimum 2 years experience", None) == (2, None)
     assert y("4+ years of experience", None) == (4, None) and y("our company is 20 years old", None) == (None, None)
     assert y("16 years of education", None) == (None, None) and y("x", "3 Years") == (3, 3)
-    assert E.experience_level("Senior developer", 1, None) == "senior" and E.experience_level("work with senior staff", 1, 1) == "junior"
-    assert E.experience_level("freshers welcome", None, None) == "fresh" and E.experience_level("", 4, None) == "mid" and E.experience_level("", None, None) is None
+    assert E.experience_level("Senior developer", 1, None) == "senior" and E.experience_level("supporting our very senior staff", 1, 1) == "junior"
+    assert E.experience_level("a senior account manager", 1, 1) == "junior" and E.experience_level("You will be reporting to a senior lead", 1, 1) == "junior" and E.experience_level("a senior leadership role", 1, 1) == "senior"
+    assert E.experience_level("fresh graduates welcome", None, None) is None and E.experience_level("Fresh  graduate", 4, None) == "fresh" and E.experience_level("entry level", None, None) == "fresh"
+    assert E.experience_level("", 4, None) == "mid" and E.experience_level("", None, None) is None and E.experience_level("", 0, 1) == "fresh" and E.experience_level("", None, 2) == "junior" and E.experience_level("", 6, None) == "senior"
 
 
 def test_structured_udf(spark):
