@@ -18,7 +18,9 @@ from ..sources import sinks as S
 from ..sources import tables as B
 from ..streaming import stream as ST
 
-_K = F.col("o_orderkey")
+
+def _k():
+    return F.col("o_orderkey")
 
 
 def _orders(s, d):
@@ -62,8 +64,8 @@ def _titles(s, d):
 
 def _dates(s, d):
     o = F.col("o_orderdate")
-    form = F.when(_K % 5 == 0, F.date_format(o, "yyyy-MM-dd")).when(_K % 5 == 1, F.date_format(o, "MMM d, yyyy")).when(_K % 5 == 2, F.date_format(o, "MMMM d, yyyy")).when(_K % 5 == 3, F.date_format(o, "yyyy-MM-dd'T'HH:mm:ss")).otherwise("soon")
-    return _orders(s, d).select(_K.alias("id"), T.posting_date(F.concat(F.lit(" "), form)).alias("day"))
+    form = F.when(_k() % 5 == 0, F.date_format(o, "yyyy-MM-dd")).when(_k() % 5 == 1, F.date_format(o, "MMM d, yyyy")).when(_k() % 5 == 2, F.date_format(o, "MMMM d, yyyy")).when(_k() % 5 == 3, F.date_format(o, "yyyy-MM-dd'T'HH:mm:ss")).otherwise("soon")
+    return _orders(s, d).select(_k().alias("id"), T.posting_date(F.concat(F.lit(" "), form)).alias("day"))
 
 
 def _snippets(s, d):
@@ -77,8 +79,8 @@ TAGS = [(None, True, ""), ("", True, ""), ("[]", True, ""), ('["sql", "python"]'
 
 
 def _tagged(s, d):
-    raw = F.element_at(F.array(*[F.lit(t[0]).cast("string") for t in TAGS]), (_K % len(TAGS) + 1).cast("int"))
-    return _orders(s, d).select(_K.alias("id"), F.col("o_orderpriority").alias("source"), raw.alias("skills_raw"), F.when(_K % 2 == 0, F.lit("  ")).when(_K % 5 == 0, None).otherwise(F.concat(F.lit("text "), F.repeat(F.lit("w "), (_K % 200).cast("int")))).alias("description"), F.when(_K % 3 == 0, None).otherwise("PKR").alias("currency"))
+    raw = F.element_at(F.array(*[F.lit(t[0]).cast("string") for t in TAGS]), (_k() % len(TAGS) + 1).cast("int"))
+    return _orders(s, d).select(_k().alias("id"), F.col("o_orderpriority").alias("source"), raw.alias("skills_raw"), F.when(_k() % 2 == 0, F.lit("  ")).when(_k() % 5 == 0, None).otherwise(F.concat(F.lit("text "), F.repeat(F.lit("w "), (_k() % 200).cast("int")))).alias("description"), F.when(_k() % 3 == 0, None).otherwise("PKR").alias("currency"))
 
 
 # --- merges ----------------------------------------------------------------------------------------------------------
@@ -86,8 +88,8 @@ def _tagged(s, d):
 
 def _halves(s, d):
     """(old, new): the table before, and updates for a third of its rows and some of none."""
-    old = _orders(s, d).select(_K.alias("id"), F.when(_K % 2 == 0, F.col("o_orderpriority")).alias("description"), F.lit("[]").alias("skills_raw"), F.when(_K % 4 == 0, "PKR").alias("currency"))
-    new = _orders(s, d).where(_K % 3 == 0).select(F.when(_K % 9 == 0, -_K - 1).otherwise(_K).alias("id"), F.when(_K % 2 == 1, "new").alias("description"), F.when(_K % 5 == 0, '["x"]').alias("skills_raw"), F.lit(None).cast("string").alias("currency"))
+    old = _orders(s, d).select(_k().alias("id"), F.when(_k() % 2 == 0, F.col("o_orderpriority")).alias("description"), F.lit("[]").alias("skills_raw"), F.when(_k() % 4 == 0, "PKR").alias("currency"))
+    new = _orders(s, d).where(_k() % 3 == 0).select(F.when(_k() % 9 == 0, -_k() - 1).otherwise(_k()).alias("id"), F.when(_k() % 2 == 1, "new").alias("description"), F.when(_k() % 5 == 0, '["x"]').alias("skills_raw"), F.lit(None).cast("string").alias("currency"))
     return old, new
 
 
@@ -96,7 +98,7 @@ def _upserted(s, d):
     o = _orders(s, d)
     row = ["id", "source", "detail_url", "first_seen_at", "last_seen_at", "scraped_at", "scrape_run_id", "category"]
     at = F.col("o_orderdate")
-    r = o.select(_K.alias("id"), F.col("o_orderstatus").alias("source"), F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("detail_url"), at.alias("first_seen_at"), at.alias("last_seen_at"), at.alias("scraped_at"), F.concat(F.lit("r"), _K.cast("string")).alias("scrape_run_id"), F.when(_K % 4 == 0, "all").when(_K % 4 == 1, F.col("o_orderpriority")).alias("category"), _K.alias("ingest_seq"))
+    r = o.select(_k().alias("id"), F.col("o_orderstatus").alias("source"), F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("detail_url"), at.alias("first_seen_at"), at.alias("last_seen_at"), at.alias("scraped_at"), F.concat(F.lit("r"), _k().cast("string")).alias("scrape_run_id"), F.when(_k() % 4 == 0, "all").when(_k() % 4 == 1, F.col("o_orderpriority")).alias("category"), _k().alias("ingest_seq"))
     old = P.last_wins(r.where("first_seen_at < '1998-01-01'"), ["source", "detail_url"]).select(*row)
     return S.upsert_postings(old, r.where("first_seen_at >= '1998-01-01'"))
 
@@ -108,16 +110,16 @@ def _absent(s, d):
 
 def _grades(s, d):
     """Forecasts of which some are graded, and grades for all of them."""
-    key = [F.lit("v").alias("model_version"), F.lit("skill").alias("target_type"), _K.cast("string").alias("target_key"), F.to_date("o_orderdate").alias("target_week_start")]
-    f = _orders(s, d).select(*key, *[F.when(_K % 3 == 0, F.lit(1.0)).alias(c) for c in ("actual", "abs_error", "baseline_abs_error")], F.when(_K % 3 == 0, F.col("o_orderdate")).alias("graded_at"), F.when(_K % 3 == 0, True).alias("beat_baseline"))
-    g = _orders(s, d).where(_K % 2 == 0).select(*key, *[F.col("o_totalprice").alias(c) for c in ("actual", "abs_error", "baseline_abs_error")], F.lit("2024-01-01").cast("timestamp").alias("graded_at"), F.lit(False).alias("beat_baseline"))
+    key = [F.lit("v").alias("model_version"), F.lit("skill").alias("target_type"), _k().cast("string").alias("target_key"), F.to_date("o_orderdate").alias("target_week_start")]
+    f = _orders(s, d).select(*key, *[F.when(_k() % 3 == 0, F.lit(1.0)).alias(c) for c in ("actual", "abs_error", "baseline_abs_error")], F.when(_k() % 3 == 0, F.col("o_orderdate")).alias("graded_at"), F.when(_k() % 3 == 0, True).alias("beat_baseline"))
+    g = _orders(s, d).where(_k() % 2 == 0).select(*key, *[F.col("o_totalprice").alias(c) for c in ("actual", "abs_error", "baseline_abs_error")], F.lit("2024-01-01").cast("timestamp").alias("graded_at"), F.lit(False).alias("beat_baseline"))
     return S.grade_once(f, g)
 
 
 def _log(s, d):
     """Answers of a batch log, written as JSON lines to the shared folder and read again: the last of each posting."""
     path = f"{shared_folder(s)}/log-{uuid.uuid4().hex}"
-    b = _orders(s, d).select((_K % 7).cast("int").alias("batch"), F.struct((_K % 500).alias("id"), F.array(F.col("o_orderpriority")).alias("phrases")).alias("r"))
+    b = _orders(s, d).select((_k() % 7).cast("int").alias("batch"), F.struct((_k() % 500).alias("id"), F.array(F.col("o_orderpriority")).alias("phrases")).alias("r"))
     P.last_wins(b.select("batch", "r.id", "r.phrases"), ["id", "batch"], "phrases").groupBy("batch").agg(F.collect_list(F.struct("id", "phrases")).alias("responses")).write.json(path)
     return P.extraction_log(s, path).select("id", "batch", F.array_join("phrases", "|").alias("phrases"))
 
@@ -132,9 +134,9 @@ def _classes(s, d):
 
 
 def _drafts(s, d):
-    n = (_K % 7 + 100).cast("string")
-    body = F.concat(F.lit("There were "), n, F.lit(" postings. "), F.repeat(F.lit("word "), F.when(_K % 5 == 0, 3).otherwise(110)), F.when(_K % 4 == 0, "It was a synergy.").otherwise(""), F.when(_K % 9 == 0, "We met Mordor today.").otherwise(""))
-    rows = _orders(s, d).select(_K.alias("id"), body.alias("body"), F.concat(F.lit("postings: "), F.when(_K % 6 == 0, "7").otherwise(n)).alias("facts"))
+    n = (_k() % 7 + 100).cast("string")
+    body = F.concat(F.lit("There were "), n, F.lit(" postings. "), F.repeat(F.lit("word "), F.when(_k() % 5 == 0, 3).otherwise(110)), F.when(_k() % 4 == 0, "It was a synergy.").otherwise(""), F.when(_k() % 9 == 0, "We met Mordor today.").otherwise(""))
+    rows = _orders(s, d).select(_k().alias("id"), body.alias("body"), F.concat(F.lit("postings: "), F.when(_k() % 6 == 0, "7").otherwise(n)).alias("facts"))
     return I.verify_draft(rows, ["synergy"], ["There", "It", "We"]).select("id", "blocked")
 
 
