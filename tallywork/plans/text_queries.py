@@ -142,5 +142,10 @@ ORACLE_SQL = {
     "source_split": f"SELECT skill, string_agg(domain || ':' || n, ', ' ORDER BY n DESC, domain) AS split FROM (SELECT skill, domain, count(*) AS n FROM ({_FOUND}) GROUP BY 1, 2) GROUP BY 1",
     "totals_by_domain": f"SELECT CASE WHEN grouping(domain) = 1 THEN 'TOTAL' ELSE domain END AS \"group\", skill AS value, count(*) AS n FROM ({_FOUND}) GROUP BY GROUPING SETS ((domain, skill), (skill))",
     "salary_text": "SELECT o_orderkey AS id, (o_orderkey % 90 + 10) * 1000 AS low, CAST((o_orderkey % 7 + 1.5) * 1000000 AS BIGINT) AS high FROM orders",
+    "html_to_text": r"""WITH a AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?i)<br\s*/?>', chr(10), 'g') AS t FROM pages),
+      b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)<li[^>]*>', chr(10) || '- ', 'g'), '(?i)</(?:li|p|div|ul|ol|h[1-6])>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+      c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM b),
+      d AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r]+', ' ', 'g'))), lambda x: x NOT IN ('', '-')) AS l FROM c)
+      SELECT page_id, CAST(length(array_to_string(l, chr(10))) AS INT) AS n FROM d""",
     "merge_groups": "SELECT DISTINCT p_name AS phrase, split_part(p_name, ' ', 2) AS canonical FROM part UNION SELECT split_part(p_name, ' ', 2), split_part(p_name, ' ', 2) FROM part",
 }
