@@ -124,6 +124,24 @@ def _log(s, d):
     return P.extraction_log(s, path).select("id", "batch", F.array_join("phrases", "|").alias("phrases"))
 
 
+def _search_pages(s, d):
+    """Orders as a search's answers, by customer; some pages have no state, one that can't be read, or another one only."""
+    quoted = lambda name, v: F.concat(F.lit(f'"{name}": "'), v, F.lit('"'))
+    fields = [quoted("title", F.col("o_orderpriority")), quoted("company", F.when(_k() % 3 == 0, "").otherwise("C")), F.concat(F.lit('"salaryMin": '), (_k() % 1000).cast("string"))]
+    job = F.concat(F.lit("{"), F.when(_k() % 7 != 0, F.concat(F.lit('"id": '), _k().cast("string"), F.lit(", "))).otherwise(""), F.concat_ws(", ", *fields), F.lit("}"))
+    own = _orders(s, d).select("o_custkey", _k().alias("k"), job.alias("job")).groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "job"))), lambda x: x["job"]), ", ").alias("jobs"))
+    c = F.col("o_custkey")
+    key = F.concat(F.lit("httpCacheKey/ws/jobs/"), F.when(c % 5 == 1, "other").otherwise("search"), F.lit("/?city=New%20Town&page="), c.cast("string"))
+    state = F.concat(F.lit('{"a": [1], "'), key, F.lit('": {"body": {"list": ['), "jobs", F.lit("]}}"), F.when(c % 5 == 2, "").otherwise("}"))
+    html = F.when(c % 5 == 3, "<p>none</p>").otherwise(F.concat(F.lit('<html><script type="x" id="mustakbil-state">'), state, F.lit("</script></html>")))
+    return own.select(F.concat(F.lit("https://x.example/"), c.cast("string")).alias("url"), html.alias("html"))
+
+
+def _search(s, d):
+    r = P.search_rows(_search_pages(s, d))
+    return r.select(F.col("source_job_id").cast("long").alias("id"), "title", "company", "salary_min", F.element_at("params", "city").alias("city"), F.element_at("params", "page").alias("page"), F.col("ingest_seq.n").alias("n"))
+
+
 # --- reviews and filters ---------------------------------------------------------------------------------------------
 
 
@@ -171,6 +189,7 @@ QUERIES = {
     "inserted_absent": _absent,
     "graded_once": _grades,
     "extraction_log": _log,
+    "search_rows": _search,
     "stratified_sample": lambda s, d: D.stratified_sample(L.document_postings(s, d).select("id", "domain"), "domain", 50, 7).select("id", "domain", "turn"),
     "unmatched_titles": lambda s, d: D.unmatched_titles(L.read(s, d, "part").select(F.concat(F.initcap("p_name"), F.when(F.col("p_partkey") % 2 == 0, "  ").otherwise("")).alias("title"), F.when(F.col("p_size") > 25, "f").alias("job_family"))),
     "needs_review": lambda s, d: _classes(s, d).select("id", K.needs_review(F.col("sure"), F.col("heuristic"), F.col("proposed")).alias("review")),
@@ -221,6 +240,8 @@ ORACLE_SQL = {
         CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate WHEN o_orderkey % 2 = 0 THEN TIMESTAMP '2024-01-01' END AS graded_at, CASE WHEN o_orderkey % 3 = 0 THEN true WHEN o_orderkey % 2 = 0 THEN false END AS beat_baseline
       FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 1.0 WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS x FROM orders)""",
     "extraction_log": "SELECT o_orderkey % 500 AS id, CAST(o_orderkey % 7 AS INT) AS batch, max(o_orderpriority) AS phrases FROM orders GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY batch DESC) = 1",
+    "search_rows": """WITH j AS (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS n FROM orders)
+      SELECT o_orderkey AS id, o_orderpriority AS title, CASE WHEN o_orderkey % 3 <> 0 THEN 'C' END AS company, o_orderkey % 1000 AS salary_min, 'New Town' AS city, CAST(o_custkey AS VARCHAR) AS page, n FROM j WHERE o_custkey % 5 IN (0, 4) AND o_orderkey % 7 <> 0""",
     "stratified_sample": "SELECT doc_id AS id, lang AS domain, CAST(row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':7'), doc_id) AS INT) AS turn FROM documents ORDER BY turn, domain LIMIT 50",
     "unmatched_titles": """WITH t AS (SELECT p_name AS cluster, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || CASE WHEN p_partkey % 2 = 0 THEN '  ' ELSE '' END AS title FROM part WHERE p_size <= 25)
       SELECT cluster, count(*) AS n, array_to_string(list_sort(list(DISTINCT title))[:3], ' | ') AS samples FROM t GROUP BY 1 HAVING count(*) >= 5""",

@@ -32,6 +32,34 @@ def listing_rows(pages: DataFrame, path: str = "$.jobs") -> DataFrame:
     return rows.where("source_job_id IS NOT NULL")
 
 
+# Where a listing page of this kind keeps its state, the key of the search's answer in it, and the address of a posting.
+STATE_ID, SEARCH_KEY, DETAIL_URL = "mustakbil-state", r"httpCacheKey/ws/jobs/search/\?(.*)", "https://www.mustakbil.com/jobs/job/"
+
+
+def search_rows(pages: DataFrame, state_id: str = STATE_ID, key: str = SEARCH_KEY, detail_url: str = DETAIL_URL) -> DataFrame:
+    """SRC-13, SRC-14: postings of the answer to a search that listing pages carry in a script of a given id, and what was asked (``params``).
+
+    The answer is found by its key, whatever else the state holds; of several the first in the alphabet counts.  Pages without a
+    state, without an answer, or with one that can't be read have no rows; nor have jobs without an id.  Empty texts are null.
+    """
+    page = F.col("page_no").cast("long") if "page_no" in pages.columns else F.lit(None).cast("long")
+    text = F.regexp_extract("html", rf'(?s)<script[^>]*id="{state_id}"[^>]*>(.*?)</script>', 1)
+    entries = F.map_entries(F.map_filter(F.try_variant_get(F.try_parse_json(text), "$", "map<string, variant>"), lambda k, _: k.rlike(key)))
+    keys = F.array_sort(F.transform(entries, lambda e: e["key"]))
+    p = pages.select("url", page.alias("page_no"), entries.alias("entries"), F.get(keys, F.lit(0)).alias("key")).where("key IS NOT NULL")
+    body = F.get(F.filter("entries", lambda e: e["key"] == F.col("key")), F.lit(0))["value"]
+    query = F.regexp_extract("key", key, 1)
+    params = F.when(query != "", F.transform_values(F.str_to_map(query, F.lit("&"), F.lit("=")), lambda _, v: F.try_url_decode(v)))
+    j = p.select("url", "page_no", params.alias("params"), F.posexplode(F.try_variant_get(body, "$.body.list", "array<variant>")).alias("n", "j"))
+    given = lambda k: F.nullif(F.try_variant_get("j", f"$.{k}", "string"), F.lit(""))
+    number = lambda k: F.try_variant_get("j", f"$.{k}", "double").cast("long")
+    rows = j.select(
+        F.try_variant_get("j", "$.id", "string").alias("source_job_id"), given("title").alias("title"), given("company").alias("company"), given("city").alias("city"), given("postedOn").alias("posting_date"), given("experienceLevel").alias("experience_raw"),
+        number("salaryMin").alias("salary_min"), number("salaryMax").alias("salary_max"), given("description").alias("description"), "params", F.struct("page_no", "url", "n").alias("ingest_seq"),
+    )
+    return rows.where("source_job_id IS NOT NULL").withColumn("detail_url", F.concat(F.lit(detail_url), "source_job_id"))
+
+
 def cards(pages: DataFrame, card: str = r'(?s)<div class="card[^"]*">(.*?)</div>\s*<!--/card-->') -> DataFrame:
     """SRC-18, SRC-19: cards of a listing page; those without title or link go."""
     c = pages.select("url", F.explode(F.regexp_extract_all("html", F.lit(card), F.lit(1))).alias("c"))

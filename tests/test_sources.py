@@ -155,3 +155,22 @@ def test_streams(spark, tmp_path):
     assert run(ST.sessions(stream()), "sess", "complete").agg(F.sum("n")).first()[0] == spark.read.parquet(src).count()
     assert run(ST.trailing_counts(stream()), "slide", "complete").agg(F.sum("n")).first()[0] == 4 * spark.read.parquet(src).count()
     assert run(ST.first_sightings(stream()), "seen", "append").count() == spark.read.parquet(src).count()
+
+
+def test_search_answers_are_found_by_their_key(spark):
+    good = '{"x": {"body": {}}, "httpCacheKey/ws/jobs/search/?categoryId=3&city=La%20hore": {"body": {"list": [{"id": 7, "title": "T", "company": "", "salaryMin": 10.0}, {"title": "no id"}, {"id": "8"}]}}}'
+    page = lambda state: f'<script id="mustakbil-state" type="a">{state}</script>'
+    rows = [("a", page(good)), ("b", page('{"other": 1}')), ("c", page("{broken")), ("d", "<p>"), ("e", None), ("f", page('{"httpCacheKey/ws/jobs/search/?": {"body": {}}}')), ("g", page("[1]"))]
+    got = P.search_rows(spark.createDataFrame(rows, "url string, html string")).orderBy("source_job_id").collect()
+    assert [(r.source_job_id, r.title, r.company, r.salary_min, r.params) for r in got] == [("7", "T", None, 10, {"categoryId": "3", "city": "La hore"}), ("8", None, None, None, {"categoryId": "3", "city": "La hore"})]
+    assert got[0].detail_url.endswith("/7")
+
+
+def test_reports_and_scans(spark, tmp_path):
+    S.write_report(spark.createDataFrame([("a", 1), ("b", None)], "k string, n int").orderBy("k"), str(tmp_path / "r"), "Title", limit=1)
+    assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()] == ["# Title", "", "| k | n |", "| - | - |", "| a | 1 |"]
+    m = spark.createDataFrame([(1, "v2"), (2, "v1"), (3, None)], "posting_id int, extraction_method string")
+    assert [r.posting_id for r in TB.active_mentions(m, "v2").collect()] == [1]
+    m.write.parquet(str(tmp_path / "m"))
+    scan = TB.scan(spark, str(tmp_path / "m"), ["posting_id"], F.col("extraction_method") == "v1")
+    assert [tuple(r) for r in scan.collect()] == [(2,)] and "PushedFilters: [IsNotNull(extraction_method), EqualTo(extraction_method,v1)]" in scan._jdf.queryExecution().toString()
