@@ -103,9 +103,9 @@ def title_only_relabel(postings: DataFrame) -> DataFrame:
 
 
 def needs_review(confidence: Column, heuristic: Column, proposed: Column) -> Column:
-    """CLS-08, ATT-13: under the least confidence (or none readable), or heuristic and proposal differ."""
-    sure = confidence.try_cast("double")
-    return sure.isNull() | (sure < LEAST_CONFIDENCE) | (heuristic.isNotNull() & (heuristic != proposed))
+    """CLS-08, ATT-13: a readable confidence under the least, or a proposed type other than the heuristic's, whatever the case; no proposal is none other."""
+    differs = F.lower(F.trim(proposed)) != F.lower(F.trim(heuristic))
+    return F.coalesce(confidence.try_cast("double") < LEAST_CONFIDENCE, F.lit(False)) | F.coalesce(differs, F.lit(False))
 
 
 def confidence_bins(rows: DataFrame) -> DataFrame:

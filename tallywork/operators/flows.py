@@ -18,6 +18,7 @@ from ..sources import curriculum as R
 from ..sources import parse, sinks, tables
 from ..sources.deltalog import DeltaLog, last, last_given
 from .insights import template_briefing, verify_draft
+from .market import typed
 
 #: Fixed value: the method that active mentions carry.
 METHOD = "taxonomy_v3"
@@ -34,8 +35,7 @@ def run_extraction(postings: DataFrame, mentions: DataFrame, vocabulary: list[tu
     todo = tables.to_extract(postings, run_id)
     text = T.matching_text(F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")), C.skills_raw_text(F.col("skills_raw")))
     found = todo.select(F.col("id").alias("posting_id"), F.explode(T.matched(text, vocabulary)).alias("skill"))
-    named = found.join(taxonomy.select("skill", "category", "requirement_type"), "skill", "left")
-    new = checkpointed(named.select("posting_id", "skill", "category", F.coalesce("requirement_type", F.lit("skill")).alias("requirement_type"), F.lit(METHOD).alias("extraction_method")))
+    new = checkpointed(typed(found, taxonomy).withColumn("extraction_method", F.lit(METHOD)))
     keys = ["posting_id", "skill", "extraction_method"]
     inserted = checkpointed(sinks.insert_absent(mentions, new, keys))
     fields = todo.select("id", X.extracted(F.col("description"), F.col("experience_raw")).alias("x")).select("id", *[F.col(f"x.{c}").alias(c) for c in _STRUCTURED])

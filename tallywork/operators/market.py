@@ -31,6 +31,13 @@ def require_skill(taxonomy: DataFrame, skill: str) -> None:
         raise KeyError(f"unknown skill: {skill}")
 
 
+def typed(mentions: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """ATT-10: mentions with the category and requirement type of their skill; a skill that the taxonomy lacks has no category and the type ``skill``."""
+    dim = dimension(taxonomy.select("skill", F.col("category").alias("_c"), F.col("requirement_type").alias("_t")))
+    j = mentions.join(dim, "skill", "left")
+    return j.select(*[c for c in mentions.columns if c not in ("category", "requirement_type")], F.col("_c").alias("category"), F.coalesce("_t", F.lit("skill")).alias("requirement_type"))
+
+
 def bulk_companies(postings: DataFrame, known: tuple[str, ...] = (), bar: float = C.BULK_SHARE) -> DataFrame:
     """AGG-05, SET-01: keys of over ``bar`` of all postings, and known keys that occur."""
     p = keyed(postings)

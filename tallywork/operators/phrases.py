@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as U
 from ..functions import text as T
+from ..functions.classify import needs_review
 from ..session import written
 
 #: Excerpts a phrase, and characters on each side.
@@ -147,6 +148,29 @@ def categorised(candidates: DataFrame, heuristics, answers: DataFrame, synonyms:
     )
 
 
+def reviewed(answers: DataFrame, type_rules, existing: list[str]) -> DataFrame:
+    """LLM-03, CLS-08, ATT-13: (phrase, category, is_new, heuristic, proposed_type, confidence, flagged) of each answered phrase, the last answer by ``batch``.
+
+    A category is new if the answer says so, or, where it says nothing, if none of ``existing`` is the same but for case; one that
+    is not new is written as it exists.  An answer without a category is ``(uncategorized)``, one without a type takes the
+    heuristic's, an unreadable confidence is null.  answers: phrase, proposed_category, proposed_requirement_type,
+    confidence (text), is_new_category, batch.
+    """
+    last, _ = answered(answers, answers)
+    given = F.coalesce(F.nullif(F.col("proposed_category"), F.lit("")), F.lit("(uncategorized)"))
+    same = F.lower(F.trim(given))
+    names = [F.lit(x) for c in dict.fromkeys(existing) for x in (c.lower(), c)]
+    known = F.try_element_at(F.create_map(*names), same) if names else F.lit(None).cast("string")
+    new = F.coalesce("is_new_category", known.isNull())
+    heuristic = U.first_rule(F.col("phrase"), type_rules, "skill")
+    said = F.coalesce(F.nullif(F.col("proposed_requirement_type"), F.lit("")), F.col("heuristic"))
+    rows = last.withColumn("heuristic", heuristic)
+    return rows.select(
+        "phrase", F.when(new, given).otherwise(F.coalesce(known, given)).alias("category"), new.alias("is_new"), "heuristic", said.alias("proposed_type"), F.col("confidence").try_cast("double").alias("confidence"),
+        needs_review(F.col("confidence"), F.col("heuristic"), said).alias("flagged"),
+    )
+
+
 def gram_excerpts(grams: DataFrame, postings: DataFrame, wanted: DataFrame, k: int = EXCERPTS, around: int = 40) -> DataFrame:
     """WIN-19: (gram, excerpts): of each wanted gram the first ``k`` different excerpts of postings that have it, by posting id.
 

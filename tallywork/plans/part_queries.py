@@ -245,7 +245,7 @@ ORACLE_SQL = {
     "stratified_sample": "SELECT doc_id AS id, lang AS domain, CAST(row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || ':7'), doc_id) AS INT) AS turn FROM documents ORDER BY turn, domain LIMIT 50",
     "unmatched_titles": """WITH t AS (SELECT p_name AS cluster, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || CASE WHEN p_partkey % 2 = 0 THEN '  ' ELSE '' END AS title FROM part WHERE p_size <= 25)
       SELECT cluster, count(*) AS n, array_to_string(list_sort(list(DISTINCT title))[:3], ' | ') AS samples FROM t GROUP BY 1 HAVING count(*) >= 5""",
-    "needs_review": f"{_CLASSES} SELECT id, sure IS NULL OR sure < 0.6 OR coalesce(heuristic <> proposed, false) AS review FROM c",
+    "needs_review": f"{_CLASSES} SELECT id, coalesce(sure < 0.6, false) OR coalesce(heuristic <> proposed, false) AS review FROM c",
     "title_only_relabel": f"{_CLASSES} SELECT id, CASE WHEN m = 'llm' AND bare THEN 'llm_title_only' ELSE m END AS domain_method, CASE WHEN m = 'llm' AND bare THEN least(coalesce(c, 0.6), 0.6) ELSE c END AS domain_confidence FROM c",
     "verified_drafts": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 THEN 'number not in facts: ' || (o_orderkey % 7 + 100) WHEN o_orderkey % 9 = 0 THEN 'name not in facts: Mordor' WHEN o_orderkey % 4 = 0 THEN 'banned phrase: synergy' WHEN o_orderkey % 5 = 0 THEN 'word count' END AS blocked FROM orders""",
     "scans": f"""{_TAGGED} SELECT 'to_extract' AS scan, count(*) AS n, sum(id) AS ids FROM b WHERE id % 3 = 1 UNION ALL SELECT 'unclassified', count(*), sum(id) FROM b WHERE id % 4 <> 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules as U
+from ..operators import market as M
 from ..operators import phrases as P
 from ..session import written
 from ..sources import lenses as L
@@ -63,7 +64,17 @@ def _ledger(s, d):
     return P.answered(a, c)[1].groupBy("state").agg(F.count("*").alias("n"))
 
 
+def _reviewed(s, d):
+    """Parts' names as answered phrases: the answers' categories, types and confidences come from their sizes and keys."""
+    k = F.col("p_partkey")
+    cat = F.when(k % 5 == 0, None).when(k % 5 == 1, " GEAR").when(k % 5 == 2, "gear").otherwise("Fresh")
+    a = L.read(s, d, "part").select(F.concat("p_name", F.lit(" "), (k % 300).cast("string")).alias("phrase"), cat.alias("proposed_category"), F.when(k % 3 == 0, "SKILL ").when(k % 3 == 1, "attribute").alias("proposed_requirement_type"), F.when(k % 4 == 0, "high").otherwise(((k % 10) / 10).cast("string")).alias("confidence"), F.when(k % 11 == 0, True).when(k % 11 == 1, False).alias("is_new_category"), k.alias("batch"))
+    return P.reviewed(a, [(0, "phrase", "ring", "attribute")], ["Gear", "bolt"])
+
+
 QUERIES = {
+    "proposals_reviewed": _reviewed,
+    "mentions_typed": lambda s, d: M.typed(L.mentions(s, d), L.taxonomy(s, d).where("ord % 3 <> 0")),
     "phrases_surviving": lambda s, d: P.surviving(_pairs(s, d), 2, 3),
     "phrase_counts": lambda s, d: P.proposal_counts(_pairs(s, d)),
     "phrase_groups": _groups,
@@ -95,6 +106,11 @@ _ASKED = f"""{_MERGED}, c AS (SELECT key, phrase, length(phrase) AS n FROM m),
   a AS (SELECT phrase, 'Cat-' || (n % 4) AS cat, CASE WHEN n % 2 = 0 THEN 'language' END AS typ, 1 AS batch FROM c WHERE n % 3 <> 0 UNION ALL SELECT phrase, 'Soft Skills', 'skill', 2 FROM c WHERE n % 5 = 0 UNION ALL SELECT phrase || '?', 'x', 'y', 1 FROM c)"""
 
 ORACLE_SQL = {
+    "proposals_reviewed": """WITH a AS (SELECT *, p_name || ' ' || (p_partkey % 300) AS phrase, p_partkey AS k FROM part QUALIFY row_number() OVER (PARTITION BY p_name || ' ' || (p_partkey % 300) ORDER BY p_partkey DESC) = 1),
+      b AS (SELECT phrase, k, CASE k % 5 WHEN 0 THEN '(uncategorized)' WHEN 1 THEN ' GEAR' WHEN 2 THEN 'gear' ELSE 'Fresh' END AS cat, CASE k % 11 WHEN 0 THEN true WHEN 1 THEN false ELSE k % 5 NOT IN (1, 2) END AS is_new,
+        CASE WHEN regexp_matches(phrase, '\\bring\\b') THEN 'attribute' ELSE 'skill' END AS heuristic, CASE k % 3 WHEN 0 THEN 'SKILL ' WHEN 1 THEN 'attribute' END AS t, CASE WHEN k % 4 <> 0 THEN (k % 10) / 10 END AS confidence FROM a)
+      SELECT phrase, CASE WHEN NOT is_new AND k % 5 IN (1, 2) THEN 'Gear' ELSE cat END AS category, is_new, heuristic, coalesce(t, heuristic) AS proposed_type, confidence, coalesce(confidence < 0.6, false) OR lower(trim(coalesce(t, heuristic))) <> heuristic AS flagged FROM b""",
+    "mentions_typed": f"WITH {L.SQL} SELECT posting_id, skill, CASE WHEN ord % 3 <> 0 THEN category END AS category, CASE WHEN ord % 3 <> 0 THEN requirement_type ELSE 'skill' END AS requirement_type FROM mentions JOIN taxonomy USING (skill)",
     "phrases_surviving": f"""{_PAIRS}, {_surviving("ok")}, f AS (SELECT key, excerpt, min(id) AS id FROM ok GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id, excerpt) AS p FROM f)
       SELECT key, phrase, postings, companies, (SELECT list(excerpt ORDER BY p) FROM r WHERE r.key = n.key AND p <= 3) AS excerpts FROM n""",
     "phrase_counts": f"{_PAIRS}, s AS (SELECT key, max(pos) > 0 AS seen FROM pairs GROUP BY 1) SELECT count(*) AS proposed, count(*) FILTER (seen) AS confirmed, count(*) FILTER (NOT seen) AS dropped FROM s",

@@ -87,3 +87,14 @@ def test_passes_and_categories(spark):
 ])
 def test_last_json_array(spark, said, want):
     assert spark.createDataFrame([(said,)], "t string").select(V.last_json_array(F.col("t"))).first()[0] == want
+
+
+def test_reviewed_proposals(spark):
+    rows = [("a b", "DATA", "Skill", "0.7", None, 1), ("a b", "new one", None, "0.5", None, 2), ("c", None, "attribute", None, None, 1), ("d", "data ", "", "high", True, 1), ("e", "", "credential", "0.9", False, 1)]
+    a = spark.createDataFrame(rows, "phrase string, proposed_category string, proposed_requirement_type string, confidence string, is_new_category boolean, batch int")
+    got = {r.phrase: tuple(r)[1:] for r in P.reviewed(a, [(0, "phrase", "c", "attribute")], ["Data"]).collect()}
+    assert got == {
+        "a b": ("new one", True, "skill", "skill", 0.5, True), "c": ("(uncategorized)", True, "attribute", "attribute", None, False),
+        "d": ("data ", True, "skill", "skill", None, False), "e": ("(uncategorized)", False, "skill", "credential", 0.9, True),
+    }
+    assert P.reviewed(a.limit(0), [], []).count() == 0
