@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallywork.llm import bpe, chat, decontaminate, lm, neighbours, passages, pii, recurrent, simhash, toxicity, urls
+from tallywork.llm import bpe, chat, decontaminate, lm, neighbours, passages, pii, queries, recurrent, simhash, toxicity, urls
 from tallywork.llm.common import TOKENIZERS, fold_of, table
 from tallywork.llm.graph import connected_components
 
@@ -295,6 +295,14 @@ def test_deep_url_branches_are_judged_by_themselves(spark):
     assert (got[1000].verdict, got[1001].verdict, got[1000].template, got[1002].template) == ("block", "allow", "/a/b/c/d/spam/*", "/a/b/c/d/e/f/g/h")
 
 
+def test_url_query_gives_the_words_of_its_contract(spark, tmp_path):
+    words = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    rows = [(0, "http://a.com/en/1", "com/en/"), (1, "http://example.com/en/71", "example.com/en/7"), (2, "http://a.net/de/8", "net/de/"), (3, "http://w.example.net/de/81", "example.net/de/8"), (4, "http://org/es/", "org/es/"), (5, "http://example.net/de/7", "net/de/")]
+    spark.createDataFrame([(i, u, "<p>a page of five plain words</p>") for i, u, _ in rows], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in queries.op8_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {i: (rule, words[rule]) for i, _, rule in rows}
+
+
 # --- personal data -----------------------------------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
