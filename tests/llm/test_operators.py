@@ -466,6 +466,33 @@ def test_links_survive_a_first_document_that_fails(spark):
     assert sorted(g for g in got if g[0] == 6) == [(6, 2, True), (6, 6, False)]
 
 
+def test_links_survive_any_number_of_documents_that_fail(spark):
+    rng = np.random.default_rng(15)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+
+    def seen(words):  # (signature, near) of each band's windows
+        h, n = passages.text_shingles(pa.array([" ".join(words)]), 5)
+        return [{(int(s), int(x)) for s, x in zip(w[0], w[5])} for w in (passages.compact_windows(h, n, 46, [2 * k, 2 * k + 1]) for k in range(4))]
+
+    while True:  # two texts that differ by a word, meet in some band, and have the words beside the ruling place in common in none
+        one = fresh(50)
+        h, _ = passages.text_shingles(pa.array([" ".join(one)]), 5)
+        bands = [{p + k for f in (2 * b, 2 * b + 1) for p in [int(np.argmin(passages.mixed(h, passages.SEEDS[f] + np.uint64(f)) >> np.uint64(32)))] for k in range(5)} for b in range(4)]
+        pairs = [[*one[:i], "other", *one[i + 1 :]] for i in range(5, 45)]
+        pairs = [x for x in pairs if not any(a & b for a, b in zip(seen(one), seen(x))) and any({s for s, _ in a} & {s for s, _ in b} for a, b in zip(seen(one), seen(x)))]
+        if pairs:
+            break
+    two = pairs[0]
+    held = set().union(*[w for w, a, b in zip(bands, seen(one), seen(two)) if {s for s, _ in a} & {s for s, _ in b}])
+    docs = [(100, " ".join(one)), (101, " ".join(two))]
+    while len(docs) < 42:  # texts with the same signature and other words
+        t = [w if i in held else x for i, (w, x) in enumerate(zip(one, fresh(50)))]
+        if any({s for s, _ in a} & {s for s, _ in b} & {s for s, _ in c} for a, b, c in zip(seen(one), seen(two), seen(t))):
+            docs.append((len(docs), " ".join(t)))
+    got = {r.doc_id: r.component_id for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: min(i, 100) for i, _ in docs}
+
+
 def test_passages_against_all_pairs(spark):
     rng = np.random.default_rng(13)
     fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
