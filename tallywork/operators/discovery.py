@@ -6,7 +6,7 @@ of them before readers at once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import cols as C
@@ -19,6 +19,8 @@ from . import reviews as V
 
 #: How much of a result is shown in full, in segments, and of the gap.
 DETAIL, SEGMENT, GAP = 50, 30, 100
+#: Most aliases that are taken out of the arrays of grams; more are joined.
+ALIASES = 1_000
 
 
 def run_drift(
@@ -42,16 +44,18 @@ def run_drift(
         F.size(F.array_intersect(T.matched(T.matching_text(F.coalesce("title", F.lit("")), text), vocabulary), hidden)).alias("n_skills"), T.tokens(text).alias("tokens"),
     )
     p = p.select(*own, "description", "n_skills", "tokens", T.kept_tokens(F.col("tokens"), fillers).alias("kept"), T.number_tokens(F.col("tokens")).alias("number"))
-    mined = written(p.select(*own, "description", "n_skills", T.ngrams(F.col("tokens"), F.col("kept"), F.col("number"), most, bare).alias("grams")))
-    grams = mined.select(*own, "n_skills", F.explode("grams").alias("gram"))
-    alias = mined.sparkSession.createDataFrame([(a,) for a in sorted(set(aliases))], "gram string")
-    grams = written(grams.join(F.broadcast(alias) if len(aliases) <= 50_000 else alias, "gram", "left_anti"))
+    listed = T.ngrams(F.col("tokens"), F.col("kept"), F.col("number"), most, bare)
+    few = sorted(set(aliases)) if len(set(aliases)) <= ALIASES else []
+    mined = written(p.select(*own, "description", "n_skills", (F.array_except(listed, F.array(*map(F.lit, few))) if few else listed).alias("grams")))
+    grams = mined.select(*own, "n_skills", F.explode("grams").alias("gram"))  # made anew from the arrays wherever it is read: its rows take far more room
+    if len(set(aliases)) > ALIASES:
+        alias = mined.sparkSession.createDataFrame([(a,) for a in sorted(set(aliases))], "gram string")
+        grams = grams.join(F.broadcast(alias) if len(aliases) <= 50_000 else alias, "gram", "left_anti")
     considered = F.trim(F.coalesce("description", F.lit(""))) != ""
 
-    def qualified(of: DataFrame) -> DataFrame:
-        return D.candidates(of, least_postings, least_companies, values_of=mined)
-
-    found = written(qualified(grams).withColumn("type", U.first_rule(F.col("gram"), type_rules, "skill")))
+    raw = Observation()  # all grams are counted on the way to the candidates
+    every = D.counted(grams, mined).observe(raw, F.count(F.lit(1)).alias("raw_candidates"))
+    found = written(D.qualified(every, grams, least_postings, least_companies).withColumn("type", U.first_rule(F.col("gram"), type_rules, "skill")))
     depth = mined.drop("grams", "description")
     out = {"depth_by_source": D.depth_stats(depth, "source"), "depth_by_domain": D.depth_stats(depth, "domain"), "candidates": found}
     rank = F.row_number().over(Window.partitionBy("type").orderBy(F.desc("companies"), F.desc("postings"), "gram"))
@@ -64,13 +68,12 @@ def run_drift(
     out["details"] = D.details(grams, mined, written(first))
     blind = F.col("n_skills") <= 1
     counters = mined.agg(F.count("*").alias("postings"), F.count_if(considered).alias("considered"), F.count_if(blind).alias("blind_spots"), F.count_if(blind & considered).alias("blind_considered"))
-    raw = grams.groupBy("gram").agg(F.lit(1)).agg(F.count("*").alias("raw_candidates"))
-    counted = written(counters.crossJoin(raw).crossJoin(found.agg(F.count("*").alias("qualified"))))
+    counted = written(counters.withColumn("raw_candidates", F.lit(raw.get["raw_candidates"]).cast("long")).crossJoin(found.agg(F.count("*").alias("qualified"))))
     if gap_focus:
         n = counted.first()
-        gap_grams = written(grams.where(blind))
-        gap = qualified(gap_grams)
-        lifted = D.lift(gap, grams.join(gap.select("gram"), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("postings")), max(1, n["blind_considered"]), max(1, n["considered"]))
+        gap_grams = grams.where(blind).join(found.select("gram"), "gram", "left_semi")  # what qualifies in a part does so in the whole
+        gap = written(D.candidates(gap_grams, least_postings, least_companies, values_of=mined))
+        lifted = D.lift(gap, found, max(1, n["blind_considered"]), max(1, n["considered"]))
         top = written(gap.join(lifted.select("gram", "lift"), "gram").withColumn("type", U.first_rule(F.col("gram"), type_rules, "skill")).orderBy(F.desc("lift"), F.desc("postings"), "gram").limit(GAP))
         out["gap"] = D.details(gap_grams, mined, top)
         counted = counted.crossJoin(gap.agg(F.count("*").alias("gap_qualified")))

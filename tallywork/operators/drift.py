@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cols as C
 from ..functions import text as T
-from ..session import checkpointed
+from ..session import checkpointed, written
 from .market import dimension
 from .phrases import gram_excerpts
 
@@ -66,30 +66,42 @@ def _numbered(rows: DataFrame, column: str) -> tuple[list, Column] | None:
 def candidates(grams: DataFrame, least_postings: int = 8, least_companies: int = 3, values_of: DataFrame | None = None) -> DataFrame:
     """AGG-33, AGG-34: grams in enough postings and companies, with the numbers of their sources and domains.
 
-    Rows are counted by gram and company first, which no distinct count has to expand.  Sources and domains of which there are
-    at most ``MOST_BITS`` (looked up in ``values_of``, the postings, or the grams) are sets of bits in a hash aggregation;
-    more are counted by an aggregation of their own.
+    Companies, sources and domains of which there are at most ``MOST_BITS`` (looked up in ``values_of``, the postings, or the
+    grams) are sets of bits in one hash aggregation, so that grams move once.  More companies are counted by Spark's distinct
+    count, of which one aggregation may have one; more sources or domains by an aggregation of their own.
     """
-    found = {c: _numbered(values_of if values_of is not None else grams, c) for c in ("source", "domain")}
-    bits = [F.bit_or(found[c][1]).alias(f"_{c}") for c in found if found[c]]
-    own = grams.groupBy("gram", "company").agg(F.count("*").alias("n"), *bits)
-    by = own.groupBy("gram").agg(F.sum("n").alias("postings"), F.count("company").alias("companies"), *[F.bit_count(F.bit_or(f"_{c}")).cast("long").alias(f"{c}s") for c in found if found[c]])
+    return qualified(counted(grams, values_of), grams, least_postings, least_companies)
+
+
+def counted(grams: DataFrame, values_of: DataFrame | None = None) -> DataFrame:
+    """(gram, postings, companies, and sources and domains if these are few) of every gram; see :func:`candidates`."""
+    found = {c: _numbered(values_of if values_of is not None else grams, c) for c in ("company", "source", "domain")}
+    bits = [F.bit_count(F.bit_or(found[c][1])).cast("long").alias(_MANY[c]) for c in found if found[c]]
+    companies = [] if found["company"] else [F.count_distinct("company").alias("companies")]
+    return grams.groupBy("gram").agg(F.count("*").alias("postings"), *companies, *bits)
+
+
+_MANY = {"company": "companies", "source": "sources", "domain": "domains"}
+
+
+def qualified(by: DataFrame, grams: DataFrame, least_postings: int, least_companies: int) -> DataFrame:
+    """The rows of :func:`counted` with enough postings and companies, with the columns that it left out."""
     by = by.where((F.col("postings") >= least_postings) & (F.col("companies") >= least_companies))
-    for c in [c for c in found if not found[c]]:
-        more = grams.join(by.select("gram"), "gram", "left_semi").select("gram", c).distinct().groupBy("gram").agg(F.count(c).alias(f"{c}s"))
-        by = by.join(more, "gram")
+    for c in ("source", "domain"):
+        if _MANY[c] not in by.columns:
+            more = grams.join(by.select("gram"), "gram", "left_semi").groupBy("gram").agg(F.count_distinct(c).alias(_MANY[c]))
+            by = by.join(more, "gram")
     return by.select("gram", "postings", "companies", "sources", "domains")
 
 
 def splits(grams: DataFrame, by: str) -> DataFrame:
     """AGG-33: (gram, value, postings, companies) for each value of source or domain that a gram has."""
-    own = grams.groupBy("gram", by, "company").agg(F.count("*").alias("n"))
-    return own.groupBy("gram", F.col(by).alias("value")).agg(F.sum("n").alias("postings"), F.count("company").alias("companies"))
+    return grams.groupBy("gram", F.col(by).alias("value")).agg(F.count("*").alias("postings"), F.count_distinct("company").alias("companies"))
 
 
 def details(grams: DataFrame, postings: DataFrame, top: DataFrame) -> DataFrame:
     """AGG-33, WIN-19: ``top`` (gram and more) with by_source and by_domain (map of a value to its postings and companies) and the first excerpts."""
-    mine = grams.join(F.broadcast(top.select("gram")) if top.count() <= 50_000 else top.select("gram"), "gram", "left_semi")
+    mine = written(grams.join(F.broadcast(top.select("gram")) if top.count() <= 50_000 else top.select("gram"), "gram", "left_semi").select("id", "source", "company", "domain", "gram"))
     out = top
     for by in ("source", "domain"):
         entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("value", F.lit("")).alias("k"), F.struct("postings", "companies").alias("v")))))
@@ -99,8 +111,7 @@ def details(grams: DataFrame, postings: DataFrame, top: DataFrame) -> DataFrame:
 
 def segments(grams: DataFrame, by: str, limit: int = 30, least_companies: int = 3) -> DataFrame:
     """AGG-35, SRT-12: per source or domain the grams of most companies."""
-    own = grams.groupBy(by, "gram", "company").agg(F.count("*").alias("k"))
-    n = own.groupBy(by, "gram").agg(F.count("company").alias("companies"), F.sum("k").alias("postings")).where(F.col("companies") >= least_companies)
+    n = grams.groupBy(by, "gram").agg(F.count_distinct("company").alias("companies"), F.count("*").alias("postings")).where(F.col("companies") >= least_companies)
     w = Window.partitionBy(by).orderBy(F.desc("companies"), F.desc("postings"), "gram")
     return n.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select(F.col(by).alias("value"), "gram", "companies", "postings", "place")
 
