@@ -1,7 +1,10 @@
 """Drift and consolidation runs: counters, one reading of the postings, empty tables; comparisons of passes."""
 
+import pytest
+
 from tallywork.functions import classify as K
 from tallywork.operators import discovery as R
+from tallywork.operators import drift as D
 from tallywork.operators import reviews as V
 from tallywork.sources import sinks as S
 
@@ -89,3 +92,20 @@ def test_families_by_rule_and_answer(spark):
     got = {r.id: (r.family, r.family_method, r.family_confidence) for r in K.classify_families(p, families, a).collect()}
     assert got == {1: ("analyst", "rule_title", 1.0), 2: ("analyst", "llm", 0.7), 3: (None, "unclassified", None), 4: (None, "unclassified", None)}
     assert K.classify_families(p, families).where("family IS NULL").count() == 3
+
+
+@pytest.mark.parametrize("companies", [5, 200])
+def test_grams_move_once_to_be_counted(spark, companies):
+    """Few companies are bits, so grams are shuffled once; many are a distinct count, which takes a second shuffle."""
+    rows = [(i, "ab"[i % 2], f"c{i * 7 % companies}" if i % 11 else None, "xyz"[i % 3], f"g{k}") for i in range(600) for k in range(1, 12) if i % k == 0]
+    grams = spark.createDataFrame(rows, "id long, source string, company string, domain string, gram string")
+    got = D.candidates(grams, 8, 3)
+    brute = {}
+    for _, s, c, d, g in rows:
+        n, *sets = brute.setdefault(g, [0, set(), set(), set()])
+        brute[g][0] = n + 1
+        for x, v in zip(sets, (c, s, d)):
+            x.update({v} - {None})
+    assert {tuple(r) for r in got.collect()} == {(g, n, len(c), len(s), len(d)) for g, (n, c, s, d) in brute.items() if n >= 8 and len(c) >= 3}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == (1 if companies <= D.MOST_BITS else 2)
