@@ -48,7 +48,7 @@ def _depth(s, d):
 def _lift(s, d):
     docs = _docs(s, d)
     part = docs.where("domain = 'en'")
-    c = lambda p: D.candidates(D.posting_grams(p, FILLERS, most=2))
+    c = lambda p: D.candidates(D.posting_grams(p, FILLERS, most=2), values_of=docs)
     return D.lift(c(part), c(docs), part.count(), docs.count())
 
 
