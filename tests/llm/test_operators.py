@@ -450,6 +450,23 @@ def test_passages(spark):
     assert None in got and passages.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_windows_are_short_rows(spark):
+    low, anchor, high = np.array([0, 7, 2**32]), np.array([0, 52, 2**32 + 45]), np.array([46, 60, 2**32 + 91])
+    assert all((a == b).all() for a, b in zip(passages._ends(passages._place(low, anchor, high)), (low, anchor, high)))
+    text = " ".join(f"w{x}" for x in np.random.default_rng(4).integers(0, 10**9, 3000))
+    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([text])], ["doc", "t"])
+    got = pa.Table.from_batches(passages._windows(5, 46, 2, 4)([batch]))
+    assert got.column_names == ["key", "doc", "place"]  # what is shuffled: 24 bytes a window
+    h, n = passages.text_shingles(pa.array([text]), 5)
+    whole = [passages.compact_windows(h, n, 46, [2 * k, 2 * k + 1]) for k in range(4)]
+    assert len(got) == sum(len(w[0]) for w in whole)
+    ends = passages._ends(got["place"].to_numpy())
+    assert all((np.concatenate([w[i] for w in whole]) == e).all() for i, e in zip((3, 2, 4), ends))
+    assert (np.concatenate([w[0] for w in whole]) >> passages.NEAR == got["key"].to_numpy() >> passages.NEAR).all()
+    with pytest.raises(ValueError):
+        passages.passage_links(frame(spark, [(1, "a")]).select(F.col("doc_id").alias("doc"), F.lit(False).alias("repeats"), F.col("text").alias("t")), words=1 << 16)
+
+
 def test_links_survive_a_first_document_that_fails(spark):
     rng = np.random.default_rng(12)
     fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
