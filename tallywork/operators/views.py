@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cols as C
-from .market import _level_no, _levelled, companies_top, dimension, family_paths, keyed, templated_share
+from .market import _level_no, _levelled, companies_top, dimension, distinct_counts, family_paths, keyed, templated_share
 
 # A skill counts in a level's signature from so many companies on; a match covers this share of one.
 LEAST_COMPANIES = 3
@@ -60,11 +60,11 @@ def strong_matches(postings: DataFrame, covered: DataFrame, limit: int = 50) ->
     return postings.join(ids, "id", "left_semi").orderBy(F.col("first_seen_at").desc_nulls_last(), "id").limit(limit).select("id", "company", "city", "detail_url")
 
 
-def signatures(postings: DataFrame, mentions: DataFrame, taxonomy: DataFrame, least_postings: int = 15, least_companies: int = LEAST_COMPANIES) -> DataFrame:
+def signatures(postings: DataFrame, mentions: DataFrame, taxonomy: DataFrame, least_postings: int = 15, least_companies: int = LEAST_COMPANIES, tasks: int | None = None) -> DataFrame:
     """AGG-26: (job_family, experience_level, skill): the skills, soft ones left out, that enough companies ask for at a level of a family with data."""
     p = _levelled(postings, least_postings).select(F.col("id").alias("posting_id"), "job_family", "experience_level", "company_key")
     dim = dimension(taxonomy.where("category <> 'soft'").select("skill"))
-    n = mentions.join(p, "posting_id").join(dim, "skill").groupBy("job_family", "experience_level", "skill").agg(F.countDistinct("company_key").alias("companies"))
+    n = distinct_counts(mentions.join(p, "posting_id").join(dim, "skill"), ["job_family", "experience_level", "skill"], tasks).withColumnRenamed("c", "companies").drop("k")
     return n.where(F.col("companies") >= least_companies).drop("companies")
 
 
@@ -76,10 +76,10 @@ def best_match(signature: DataFrame, skills: list[str], bar: float = MATCH_BAR)
     return fits.orderBy(F.desc("match_fraction"), F.desc("size"), "job_family", _level_no()).limit(1)
 
 
-def next_level(postings: DataFrame, mentions: DataFrame, taxonomy: DataFrame, skills: list[str], least_postings: int = 15) -> DataFrame:
+def next_level(postings: DataFrame, mentions: DataFrame, taxonomy: DataFrame, skills: list[str], least_postings: int = 15, tasks: int | None = None) -> DataFrame:
     """AGG-26: the best match and the skills that grow towards the family's next level, one a row (null where it is the top one)."""
-    best = best_match(signatures(postings, mentions, taxonomy, least_postings), skills).withColumnRenamed("experience_level", "your_level")
-    steps = family_paths(postings, mentions, taxonomy, least_postings, LEAST_COMPANIES).select("job_family", F.col("level_from").alias("your_level"), F.col("level_to").alias("next_level"), "skill", "delta")
+    best = best_match(signatures(postings, mentions, taxonomy, least_postings, tasks=tasks), skills).withColumnRenamed("experience_level", "your_level")
+    steps = family_paths(postings, mentions, taxonomy, least_postings, LEAST_COMPANIES, tasks).select("job_family", F.col("level_from").alias("your_level"), F.col("level_to").alias("next_level"), "skill", "delta")
     return F.broadcast(best).join(steps, ["job_family", "your_level"], "left").select("job_family", "your_level", "match_fraction", "next_level", "skill", "delta")
 
 

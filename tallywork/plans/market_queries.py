@@ -24,9 +24,9 @@ def _covered(spark, d):
 
 
 QUERIES = {
-    "skills_top": lambda s, d: M.skills_top(*_all(s, d)),
-    "skills_top_without_bulk": lambda s, d: M.skills_top(*_all(s, d), exclude_bulk=True, include_soft=True),
-    "skills_top_category": lambda s, d: M.skills_top(*_all(s, d), category="gear"),
+    "skills_top": lambda s, d: M.skills_top(*_all(s, d), tasks=L.tasks(s, d)),
+    "skills_top_without_bulk": lambda s, d: M.skills_top(*_all(s, d), exclude_bulk=True, include_soft=True, tasks=L.tasks(s, d)),
+    "skills_top_category": lambda s, d: M.skills_top(*_all(s, d), category="gear", tasks=L.tasks(s, d)),
     "stats_overview": lambda s, d: M.overview(*_all(s, d)[:2]),
     "postings_per_source": lambda s, d: M.counts_by(L.postings(s, d), "source", "unlabeled"),
     "postings_per_category": lambda s, d: M.counts_by(L.postings(s, d), "category", "unlabeled"),
@@ -44,8 +44,8 @@ QUERIES = {
     "coverage_next_skills": lambda s, d: M.next_skills(_covered(s, d)),
     "system_health": lambda s, d: M.system_health(*_all(s, d)[:2], "2001-01-01 00:00:00"),
     "curriculum_alignment": lambda s, d: M.curriculum_alignment(*_all(s, d), L.curriculum(s, d), DOMAINS),
-    "family_paths": lambda s, d: M.family_paths(*_all(s, d)),
-    "paths_match": lambda s, d: M.match_paths(*_all(s, d), OWN),
+    "family_paths": lambda s, d: M.family_paths(*_all(s, d), tasks=L.tasks(s, d)),
+    "paths_match": lambda s, d: M.match_paths(*_all(s, d), OWN, tasks=L.tasks(s, d)),
 }
 
 _W = f"WITH {L.SQL}"

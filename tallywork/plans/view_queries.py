@@ -93,7 +93,7 @@ QUERIES = {
     "curriculum_gaps": lambda s, d: V.curriculum_gaps(M.curriculum_alignment(*_all(s, d), L.curriculum(s, d), MQ.DOMAINS)),
     "ignored_skills": lambda s, d: V.ignored_skills(L.taxonomy(s, d), _knows(s, d)),
     "coverage_strong_matches": lambda s, d: V.strong_matches(L.postings(s, d), M.coverage(*_all(s, d), _knows(s, d))),
-    "paths_next_level": lambda s, d: V.next_level(*_all(s, d), _knows(s, d)),
+    "paths_next_level": lambda s, d: V.next_level(*_all(s, d), _knows(s, d), tasks=L.tasks(s, d)),
     "experience_bands": lambda s, d: V.experience_share(L.postings(s, d)),
     "structured_fields": _fields,
     "display_texts": _texts,
