@@ -62,9 +62,10 @@ def first_excerpts(rows: DataFrame, keys: list[str], order: str = "id", value: s
 def surviving(pairs: DataFrame, least_postings: int = 2, least_companies: int | Column = 3, k: int = EXCERPTS) -> DataFrame:
     """AGG-41: (key, phrase, postings, companies, excerpts) of phrases confirmed in enough postings of enough companies, from :func:`confirmed`.
 
-    The spelling is that of the first posting that confirms it.
+    The spelling is that of the first posting that confirms it.  What is confirmed is written, so that texts are searched once
+    and not for the counts and the excerpts each.
     """
-    ok = pairs.where("at IS NOT NULL")
+    ok = written(pairs.where("at IS NOT NULL"))
     by_company = ok.groupBy("key", "company").agg(F.count("*").alias("n"), F.min(F.struct("id", "phrase")).alias("f"))
     n = by_company.groupBy("key").agg(F.min("f").alias("f"), F.sum("n").alias("postings"), F.count("*").alias("companies"))
     good = n.where((F.col("postings") >= least_postings) & (F.col("companies") >= least_companies))
