@@ -527,6 +527,83 @@ def test_passages_against_all_pairs(spark):
     assert all(got[i] % 12 == i % 12 for i in range(90))  # nothing is linked over the short line
 
 
+def test_similar_stretches_where_shingles_repeat():
+    rng = np.random.default_rng(20)
+    near = lambda x, y: len({*x} & {*y}) >= 0.8 * len({*x} | {*y}) > 0
+    seen = set()
+    for _ in range(300):
+        n, kinds = int(rng.integers(47, 140)), int(rng.integers(4, 60))
+        a = rng.integers(0, kinds, n)
+        b = np.where(rng.random(n) < rng.random(), a, rng.integers(0, kinds + 8, n))
+        want = near(a.tolist(), b.tolist()) or any(near(a[i : i + 46].tolist(), b[i : i + 46].tolist()) for i in range(n - 45))
+        assert passages.similar_stretch(a, b, 46, 0.8) == want
+        seen.add(want)
+    assert seen == {True, False}
+
+
+def test_joined_passages_keep_their_signatures():
+    rng = np.random.default_rng(21)
+    n = 3000
+    rep, doc, shift, low = rng.integers(0, 6, n), rng.integers(6, 9, n), rng.integers(-1, 2, n), rng.integers(0, 4000, n)
+    rows = sorted(zip(rep.tolist(), doc.tolist(), shift.tolist(), low.tolist(), (low + rng.integers(1, 60, n)).tolist(), range(n)))
+    want = []
+    for *pair, a, z, sig in rows:
+        if want and want[-1][:3] == pair and a <= want[-1][4]:
+            want[-1][4] = max(want[-1][4], z)
+            want[-1][5].append(sig)
+        else:
+            want.append([*pair, a, z, [sig]])
+    whole = pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64() if i in (0, 1, 5) else pa.int32()) for i, c in enumerate(zip(*rows))], ["rep", "doc", "shift", "low", "high", "sig"])
+    for size in (1, 7, 1000, n):
+        got = [list(r.values()) for b in passages._joined(whole.slice(k, size) for k in range(0, n, size)) for r in b.to_pylist()]
+        assert got == want
+    assert list(passages._joined([])) == []
+
+
+def test_small_groups_are_compared_where_they_meet():
+    rng = np.random.default_rng(22)
+    base = rng.integers(0, 2**31 - 1, (5, 60)).astype(np.int32)
+    rows = []
+    for w in range(120):
+        h = base[w % 5].copy()
+        h[rng.integers(0, 60, int(rng.integers(0, 20)))] = rng.integers(0, 2**31 - 1)
+        rows.append((w // 9, w % 4, w, int(passages._place(np.array(w), np.array(w + 7), np.array(w + 60))[()]), 37, np.unique(h).tolist()))
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.list_(pa.int32())]
+    whole = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["sig", "comp", "doc", "place", "need", "h"])
+    want = {(a[2], b[2]) for a in rows for b in rows if a[2] < b[2] and a[0] == b[0] and a[1] != b[1] and len({*a[5]} & {*b[5]}) >= 37}
+    for size in (1, 5, 120):
+        got = [r for b in passages._alike(46)(whole.slice(k, size) for k in range(0, 120, size)) for r in b.to_pylist()]
+        assert len(got) == len(want) > 20 and {(r["rep"], r["doc"]) for r in got} == want
+        assert all(r["shift"] == r["doc"] - r["rep"] and (r["low"], r["high"]) == (r["rep"], r["rep"] + 60) for r in got)
+
+
+def test_small_and_large_groups_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    base, docs = words(70), []
+    for i in range(60):  # one group of texts that are alike or not, by how many of their words are changed
+        t = list(base)
+        for k in rng.integers(0, 70, int(rng.integers(0, 9))):
+            t[k] = f"e{rng.integers(0, 10**9)}"
+        docs.append((i, " ".join(t)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    shown = lambda: sorted((r.doc_id, r.component_id, r.n_links > 0) for r in passages.repeated_passages(frame).collect())
+    small = shown()
+    monkeypatch.setattr(passages, "GROUP", 1)
+    assert shown() == small
+
+
+def test_copies_have_one_link_each(spark):
+    rng = np.random.default_rng(24)
+    fresh = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    text, shared, short = fresh(90), fresh(70), fresh(49)
+    docs = [(i, text) for i in range(10, 40)] + [(50, f"{fresh(8)} {text}"), (60, f"{shared} {fresh(20)}"), (61, f"{shared} {fresh(20)}"), (70, short), (71, short), (80, f" {text.upper()} ")]
+    got = {r.doc_id: (r.component_id, r.n_links, r.passages) for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[i] == (10, 1, "0:90") for i in range(11, 40))
+    assert got[50][0] == got[80][0] == got[10][0] == 10 and got[10][1] >= 31 and got[61][0] == 60 and got[61][1] == 1
+    assert got[70] == (70, 0, "") and got[71] == (71, 0, "")
+
+
 def test_similar_stretches():
     rng = np.random.default_rng(14)
     for _ in range(300):
