@@ -577,6 +577,45 @@ def test_small_groups_are_compared_where_they_meet():
         assert all(r["shift"] == r["doc"] - r["rep"] and (r["low"], r["high"]) == (r["rep"], r["rep"] + 60) for r in got)
 
 
+def test_links_of_a_group_grow_with_its_windows():
+    rng = np.random.default_rng(25)
+    base = rng.integers(0, 2**31 - 1, (3, 60)).astype(np.int32)  # three texts that are unlike
+
+    def group(n):
+        place = int(passages._place(np.array(0), np.array(7), np.array(60))[()])
+        h = [np.where(np.arange(60) == w % 60, w, base[w % 3]).astype(np.int32) for w in range(n)]
+        return [(5, w // 4, w, place, 37, x.tolist()) for w, x in enumerate(h)]
+
+    def found(rows, similar, size):
+        kinds = [pa.int64()] * 4 + [pa.int32(), pa.list_(pa.int32())]
+        whole = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["sig", "comp", "doc", "place", "need", "h"])
+        alike = [(r["rep"], r["doc"], r["shift"], r["low"], r["high"]) for b in passages._alike(46, similar)([whole]) for r in b.to_pylist()]
+        # the same group in two blocks, the windows of comp 0 on one side only
+        dealt = [(5, k, side, 0, *r[1:]) for k in (0, 1) for side in (0, 1) for r in rows if side or r[1] and r[2] % 2 == k]
+        kinds = [pa.int64(), pa.int32(), pa.int32()] + [pa.int64()] * 4 + [pa.int32(), pa.list_(pa.int32())]
+        whole = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*dealt), kinds)], ["sig", "block", "side", "first", "comp", "doc", "place", "need", "h"])
+        across = [(r["rep"], r["doc"], r["shift"], r["low"], r["high"]) for b in passages._across(46, similar)(whole.slice(k, size) for k in range(0, len(dealt), size)) for r in b.to_pylist()]
+        return alike, across
+
+    def parts(rows, links):
+        root = {w: w // 4 for _, _, w, *_ in rows}
+        for a, b, *_ in links:
+            old, to = max(root[a], root[b]), min(root[a], root[b])
+            root = {w: to if c == old else c for w, c in root.items()}
+        return root
+
+    rows = group(90)
+    every, across = found(rows, None, 7)
+    assert len(every) == len(set(every)) == len(across) and set(every) == set(across)
+    assert {(a, b) for a, b, *_ in every} == {(a, b) for a in range(90) for b in range(a + 1, 90) if a % 3 == b % 3 and a // 4 != b // 4}
+    for n in (90, 300):
+        rows = group(n)
+        for links in found(rows, 0.8, 50):
+            assert len(links) <= 4 * n  # all pairs of 300 are 14,700
+            assert {w for a, b, *_ in links for w in (a, b)} == set(range(n)) and all(a < b and a % 3 == b % 3 for a, b, *_ in links)
+            assert set(parts(rows, links).values()) == {0}
+
+
 def test_small_and_large_groups_find_the_same(spark, monkeypatch):
     rng = np.random.default_rng(23)
     words = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
