@@ -21,6 +21,8 @@ from . import reviews as V
 DETAIL, SEGMENT, GAP = 50, 30, 100
 #: Most aliases that are taken out of the arrays of grams; more are joined.
 ALIASES = 1_000
+#: Most postings in a file of their texts.
+TEXTS = 500
 
 
 def run_drift(
@@ -29,7 +31,8 @@ def run_drift(
     """ORC-05: the tables of a drift report by name.
 
     postings: id, source, company, title, description.  Each posting's domain comes from ``domain_rules`` on its title, each gram's
-    type from ``type_rules``.  The postings are read once: their matches and grams are one table, from which the rest is made.
+    type from ``type_rules``.  The postings are read once: their texts and matches are one table, from which the rest is made.
+    Grams are made from it twice, to be counted (in all postings and in the gap at once) and for the few that are shown.
     Tables: counters (one row), depth_by_source, depth_by_domain, candidates (with types), by_type, by_source, by_domain (the
     leading ones of each), details (of the first of each type), and with ``gap_focus`` gap: the candidates among
     postings with one substantive skill at most, by lift over all postings, with details.
@@ -41,42 +44,50 @@ def run_drift(
     aliases = [" ".join(a.lower().split()) for _, names in vocabulary for a in names if a.strip()]
     p = postings.select(
         "id", F.coalesce("source", F.lit("unknown")).alias("source"), C.company_key(F.col("company")).alias("company"), U.first_rule(F.col("title"), domain_rules, "other_unclassified").alias("domain"), "description",
-        F.size(F.array_intersect(T.matched(T.matching_text(F.coalesce("title", F.lit("")), text), vocabulary), hidden)).alias("n_skills"), T.tokens(text).alias("tokens"),
+        F.size(F.array_intersect(T.matched(T.matching_text(F.coalesce("title", F.lit("")), text), vocabulary), hidden)).alias("n_skills"),
     )
-    p = p.select(*own, "description", "n_skills", "tokens", T.kept_tokens(F.col("tokens"), fillers).alias("kept"), T.number_tokens(F.col("tokens")).alias("number"))
+    mined = written(p, TEXTS)
+    own = [*own, "n_skills"]
+    t = mined.select(*own, T.tokens(text).alias("tokens"))
+    t = t.select(*own, "tokens", T.kept_tokens(F.col("tokens"), fillers).alias("kept"), T.number_tokens(F.col("tokens")).alias("number"))
     listed = T.ngrams(F.col("tokens"), F.col("kept"), F.col("number"), most, bare)
     few = sorted(set(aliases)) if len(set(aliases)) <= ALIASES else []
-    mined = written(p.select(*own, "description", "n_skills", (F.array_except(listed, F.array(*map(F.lit, few))) if few else listed).alias("grams")))
-    grams = mined.select(*own, "n_skills", F.explode("grams").alias("gram"))  # made anew from the arrays wherever it is read: its rows take far more room
+    grams = t.select(*own, F.explode(F.array_except(listed, F.array(*map(F.lit, few))) if few else listed).alias("gram"))  # made anew from the texts wherever it is read: its rows take far more room
     if len(set(aliases)) > ALIASES:
         alias = mined.sparkSession.createDataFrame([(a,) for a in sorted(set(aliases))], "gram string")
         grams = grams.join(F.broadcast(alias) if len(aliases) <= 50_000 else alias, "gram", "left_anti")
     considered = F.trim(F.coalesce("description", F.lit(""))) != ""
 
-    raw = Observation()  # all grams are counted on the way to the candidates
-    every = D.counted(grams, mined).observe(raw, F.count(F.lit(1)).alias("raw_candidates"))
-    found = written(D.qualified(every, grams, least_postings, least_companies).withColumn("type", U.first_rule(F.col("gram"), type_rules, "skill")))
-    depth = mined.drop("grams", "description")
+    blind = F.col("n_skills") <= 1
+    part = blind if gap_focus else None
+    raw = Observation()  # all grams are counted on the way to the candidates, those of the gap in the same shuffle
+    every = D.counted(grams, mined, part).observe(raw, F.count(F.lit(1)).alias("raw_candidates"))
+    both = written(D.qualified(every, grams, least_postings, least_companies, part).withColumn("type", U.first_rule(F.col("gram"), type_rules, "skill")))
+    found = both.select("gram", "postings", "companies", "sources", "domains", "type")
+    depth = mined.drop("description")
     out = {"depth_by_source": D.depth_stats(depth, "source"), "depth_by_domain": D.depth_stats(depth, "domain"), "candidates": found}
     rank = F.row_number().over(Window.partitionBy("type").orderBy(F.desc("companies"), F.desc("postings"), "gram"))
-    ranked = written(found.withColumn("place", rank))
+    ranked = written(found.withColumn("place", rank).where(F.col("place") <= max(DETAIL, SEGMENT)))
     out["by_type"] = ranked.where(F.col("place") <= SEGMENT)
-    first = ranked.where(F.col("place") <= DETAIL).drop("place")
-    mine = grams.join(found.select("gram"), "gram", "left_semi")
+    first = written(ranked.where(F.col("place") <= DETAIL).drop("place"))
     for by in ("source", "domain"):
-        out[f"by_{by}"] = D.segments(mine, by, SEGMENT, 1)
-    out["details"] = D.details(grams, mined, written(first))
-    blind = F.col("n_skills") <= 1
+        out[f"by_{by}"] = D.segments(grams, by, SEGMENT, 1, found.select("gram"))
     counters = mined.agg(F.count("*").alias("postings"), F.count_if(considered).alias("considered"), F.count_if(blind).alias("blind_spots"), F.count_if(blind & considered).alias("blind_considered"))
     counted = written(counters.withColumn("raw_candidates", F.lit(raw.get["raw_candidates"]).cast("long")).crossJoin(found.agg(F.count("*").alias("qualified"))))
+    shown = first.select("gram")
     if gap_focus:
         n = counted.first()
-        gap_grams = grams.where(blind).join(found.select("gram"), "gram", "left_semi")  # what qualifies in a part does so in the whole
-        gap = written(D.candidates(gap_grams, least_postings, least_companies, values_of=mined))
-        lifted = D.lift(gap, found, max(1, n["blind_considered"]), max(1, n["considered"]))
-        top = written(gap.join(lifted.select("gram", "lift"), "gram").withColumn("type", U.first_rule(F.col("gram"), type_rules, "skill")).orderBy(F.desc("lift"), F.desc("postings"), "gram").limit(GAP))
-        out["gap"] = D.details(gap_grams, mined, top)
+        gap = both.where((F.col("part_postings") >= least_postings) & (F.col("part_companies") >= least_companies))  # what qualifies in a part does so in the whole
+        lift = D.lift_of(F.col("part_postings"), F.col("postings"), max(1, n["blind_considered"]), max(1, n["considered"]))
+        lifted = gap.select("gram", *[F.col(f"part_{c}").alias(c) for c in ("postings", "companies", "sources", "domains")], lift.alias("lift"), "type")
+        top = written(lifted.orderBy(F.desc("lift"), F.desc("postings"), "gram").limit(GAP))
+        shown = shown.unionByName(top.select("gram")).distinct()
         counted = counted.crossJoin(gap.agg(F.count("*").alias("gap_qualified")))
+    shown = written(shown)
+    mine = written(grams.join(F.broadcast(shown) if shown.count() <= 50_000 else shown, "gram", "left_semi"))
+    out["details"] = D.details(mine, mined, first)
+    if gap_focus:
+        out["gap"] = D.details(mine.where(blind), mined, top)
     return {"counters": counted, **out}
 
 

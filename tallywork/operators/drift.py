@@ -48,50 +48,77 @@ def posting_grams(postings: DataFrame, fillers: list[str], most: int = 4, known:
     return g if known is None else g.join(dimension(known.select(T.normal(F.col("alias")).alias("gram")).distinct()), "gram", "left_anti")
 
 
-#: Most values of a column that are numbered, so that a set of them is one long.
+#: Most values of columns that are numbered, so that a set of them is one long.
 MOST_BITS = 62
+_MANY = {"company": "companies", "source": "sources", "domain": "domains"}
 
 
-def _numbered(rows: DataFrame, column: str) -> tuple[list, Column] | None:
-    """The values of a column that has few and an expression of their bits; null if it has many."""
+def _numbered(rows: DataFrame, column: str) -> list | None:
+    """The values of a column that has few; null if it has many."""
     values = [r[0] for r in rows.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_BITS + 1).collect()]
-    if len(values) > MOST_BITS:
-        return None
+    return sorted(values) if len(values) <= MOST_BITS else None
+
+
+def _bit(column: str, values: list, at: int) -> Column:
+    """The bit of a row's value, the first value's being number ``at``; 0 for null."""
     bit = F.lit(0).cast("long")
-    for i, v in enumerate(sorted(values)):
-        bit = F.when(F.col(column) == v, F.lit(1 << i).cast("long")).otherwise(bit)
-    return sorted(values), bit
+    for i, v in enumerate(values):
+        bit = F.when(F.col(column) == v, F.lit(1 << (at + i)).cast("long")).otherwise(bit)
+    return bit
 
 
 def candidates(grams: DataFrame, least_postings: int = 8, least_companies: int = 3, values_of: DataFrame | None = None) -> DataFrame:
     """AGG-33, AGG-34: grams in enough postings and companies, with the numbers of their sources and domains.
 
     Companies, sources and domains of which there are at most ``MOST_BITS`` (looked up in ``values_of``, the postings, or the
-    grams) are sets of bits in one hash aggregation, so that grams move once.  More companies are counted by Spark's distinct
-    count, of which one aggregation may have one; more sources or domains by an aggregation of their own.
+    grams) are sets of bits in one hash aggregation, so that grams move once.  More companies are counted by grouping by
+    company first, which is a second shuffle; more sources or domains by an aggregation of their own.
     """
     return qualified(counted(grams, values_of), grams, least_postings, least_companies)
 
 
-def counted(grams: DataFrame, values_of: DataFrame | None = None) -> DataFrame:
-    """(gram, postings, companies, and sources and domains if these are few) of every gram; see :func:`candidates`."""
-    found = {c: _numbered(values_of if values_of is not None else grams, c) for c in ("company", "source", "domain")}
-    bits = [F.bit_count(F.bit_or(found[c][1])).cast("long").alias(_MANY[c]) for c in found if found[c]]
-    companies = [] if found["company"] else [F.count_distinct("company").alias("companies")]
-    return grams.groupBy("gram").agg(F.count("*").alias("postings"), *companies, *bits)
-
-
-_MANY = {"company": "companies", "source": "sources", "domain": "domains"}
+def counted(grams: DataFrame, values_of: DataFrame | None = None, part: Column | None = None) -> DataFrame:
+    """(gram, postings, companies, and sources and domains if these are few) of every gram; see :func:`candidates`.
 
-
-def qualified(by: DataFrame, grams: DataFrame, least_postings: int, least_companies: int) -> DataFrame:
-    """The rows of :func:`counted` with enough postings and companies, with the columns that it left out."""
+    With ``part``, a condition on the rows, the same numbers among the rows that hold it follow as ``part_postings`` and so on,
+    from the same shuffle.  Columns share a long as far as their values fit into one.
+    """
+    found = {c: _numbered(values_of if values_of is not None else grams, c) for c in _MANY}
+    longs, place, used = [], {}, 0
+    for c, values in found.items():
+        if values is not None:
+            if not longs or used + len(values) > MOST_BITS:
+                longs, used = [*longs, F.lit(0).cast("long")], 0
+            longs[-1] = longs[-1].bitwiseOR(_bit(c, values, used))
+            place[c] = (len(longs) - 1, ((1 << len(values)) - 1) << used)
+            used += len(values)
+    held = {"": F.lit(True)} | ({} if part is None else {"part_": F.col("_part")})
+    rows = grams.select("gram", "company", *[b.alias(f"_{i}") for i, b in enumerate(longs)], *([] if part is None else [F.coalesce(part, F.lit(False)).alias("_part")]))
+    bits = [F.bit_or(F.when(on, F.col(f"_{i}")).otherwise(F.lit(0).cast("long"))).alias(f"{p}_{i}") for p, on in held.items() for i in range(len(longs))]
+    postings = [(F.count_if(on) if p else F.count("*")).alias(f"{p}postings") for p, on in held.items()]
+    if found["company"] is not None:
+        n = rows.groupBy("gram").agg(*postings, *bits)
+    else:
+        each = rows.groupBy("gram", "company").agg(*postings, *bits)
+        companies = [F.count_if(F.col("company").isNotNull() & (F.col(f"{p}postings") > 0)).alias(f"{p}companies") for p in held]
+        n = each.groupBy("gram").agg(*[F.sum(f"{p}postings").alias(f"{p}postings") for p in held], *companies, *[F.bit_or(f"{p}_{i}").alias(f"{p}_{i}") for p in held for i in range(len(longs))])
+    of = lambda p, c: F.bit_count(F.col(f"{p}_{place[c][0]}").bitwiseAND(F.lit(place[c][1]).cast("long"))).cast("long") if c in place else F.col(f"{p}{_MANY[c]}")
+    return n.select("gram", *[x for p in held for x in (F.col(f"{p}postings"), *[of(p, c).alias(f"{p}{_MANY[c]}") for c in _MANY if c in place or c == "company"])])
+
+
+def qualified(by: DataFrame, grams: DataFrame, least_postings: int, least_companies: int, part: Column | None = None) -> DataFrame:
+    """The rows of :func:`counted` with enough postings and companies, with the columns that it left out.
+
+    Rows of all grams are counted before they meet the qualified ones, so that no gram moves for each posting that has it.
+    """
     by = by.where((F.col("postings") >= least_postings) & (F.col("companies") >= least_companies))
-    for c in ("source", "domain"):
-        if _MANY[c] not in by.columns:
-            more = grams.join(by.select("gram"), "gram", "left_semi").groupBy("gram").agg(F.count_distinct(c).alias(_MANY[c]))
-            by = by.join(more, "gram")
-    return by.select("gram", "postings", "companies", "sources", "domains")
+    left = [c for c in ("source", "domain") if _MANY[c] not in by.columns]
+    by = written(by) if left else by
+    for c in left:
+        each = grams.groupBy("gram", c).agg(F.max(F.coalesce(part, F.lit(False)) if part is not None else F.lit(False)).alias("_in")).join(by.select("gram"), "gram", "left_semi")
+        part_of = [] if part is None else [F.count_if(F.col(c).isNotNull() & F.col("_in")).alias(f"part_{_MANY[c]}")]
+        by = by.join(each.groupBy("gram").agg(F.count(c).alias(_MANY[c]), *part_of), "gram")
+    return by.select("gram", *[f"{p}{n}" for p in (("",) if part is None else ("", "part_")) for n in ("postings", *_MANY.values())])
 
 
 def splits(grams: DataFrame, by: str) -> DataFrame:
@@ -109,9 +136,10 @@ def details(grams: DataFrame, postings: DataFrame, top: DataFrame) -> DataFrame:
     return out.join(gram_excerpts(mine, postings, top), "gram", "left")
 
 
-def segments(grams: DataFrame, by: str, limit: int = 30, least_companies: int = 3) -> DataFrame:
-    """AGG-35, SRT-12: per source or domain the grams of most companies."""
+def segments(grams: DataFrame, by: str, limit: int = 30, least_companies: int = 3, only: DataFrame | None = None) -> DataFrame:
+    """AGG-35, SRT-12: per source or domain the grams of most companies; with ``only`` (gram) of those."""
     n = grams.groupBy(by, "gram").agg(F.count_distinct("company").alias("companies"), F.count("*").alias("postings")).where(F.col("companies") >= least_companies)
+    n = n if only is None else n.join(only, "gram", "left_semi")
     w = Window.partitionBy(by).orderBy(F.desc("companies"), F.desc("postings"), "gram")
     return n.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select(F.col(by).alias("value"), "gram", "companies", "postings", "place")
 
@@ -119,7 +147,12 @@ def segments(grams: DataFrame, by: str, limit: int = 30, least_companies: int =
 def lift(part: DataFrame, whole: DataFrame, part_size: int, whole_size: int) -> DataFrame:
     """AGG-36, JOI-17: share among the part's postings over the share among all."""
     j = part.select("gram", F.col("postings").alias("part_postings")).join(whole.select("gram", F.col("postings").alias("whole_postings")), "gram")
-    return j.withColumn("lift", F.round((F.col("part_postings") / part_size) / (F.col("whole_postings") / whole_size), 3))
+    return j.withColumn("lift", lift_of(F.col("part_postings"), F.col("whole_postings"), part_size, whole_size))
+
+
+def lift_of(part: Column, whole: Column, part_size: int, whole_size: int) -> Column:
+    """The lift of a gram with so many postings of the part and of all."""
+    return F.round((part / part_size) / (whole / whole_size), 3)
 
 
 def split_text(rows: DataFrame, key: str, by: str) -> DataFrame:

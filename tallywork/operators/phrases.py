@@ -186,7 +186,7 @@ def gram_excerpts(grams: DataFrame, postings: DataFrame, wanted: DataFrame, k: i
     while True:
         w = Window.partitionBy("gram").orderBy("id")
         ranked = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
-        mine = ranked.groupBy("id").agg(F.collect_list("gram").alias("said"))  # bounded by the grams of one posting
+        mine = written(ranked.groupBy("id").agg(F.collect_list("gram").alias("said")))  # bounded by the grams of one posting; written, so that texts only move if it is large
         seen = texts.join(mine, "id").select("id", "text", F.explode("said").alias("gram"))
         e = written(seen.select("id", "gram", excerpt(F.col("text"), verbatim_pattern(F.col("gram"), True), around)["excerpt"].alias("excerpt")))
         found = written(first_excerpts(e, ["gram"], k=k))

@@ -109,3 +109,44 @@ def test_grams_move_once_to_be_counted(spark, companies):
     assert {tuple(r) for r in got.collect()} == {(g, n, len(c), len(s), len(d)) for g, (n, c, s, d) in brute.items() if n >= 8 and len(c) >= 3}
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") == (1 if companies <= D.MOST_BITS else 2)
+
+
+@pytest.mark.parametrize("many", [(), ("company",), ("company", "source"), ("source", "domain")])
+def test_grams_of_a_part_are_counted_with_all(spark, many):
+    """Whole and part come from one counting, however many values a column has."""
+    of = {c: 200 if c in many else 5 for c in ("company", "source", "domain")}
+    rows = [(i, f"s{i * 3 % of['source']}", f"c{i * 7 % of['company']}" if i % 11 else None, f"d{i * 13 % of['domain']}" if i % 5 else None, f"g{k}", None if i % 4 == 1 else i % 4) for i in range(600) for k in range(1, 40) if i % k == 0]
+    grams = spark.createDataFrame(rows, "id long, source string, company string, domain string, gram string, n_skills int")
+    part = grams.n_skills <= 1
+    got = {r.gram: tuple(r)[1:] for r in D.qualified(D.counted(grams, None, part), grams, 8, 3, part).collect()}
+
+    def brute(of_rows):
+        n = {}
+        for _, s, c, d, g, _ in of_rows:
+            row = n.setdefault(g, [0, set(), set(), set()])
+            row[0] += 1
+            for x, v in zip(row[1:], (c, s, d)):
+                x.update({v} - {None})
+        return {g: (k, *map(len, sets)) for g, (k, *sets) in n.items()}
+
+    whole, some = brute(rows), brute([r for r in rows if r[5] is not None and r[5] <= 1])
+    assert got == {g: (*n, *some.get(g, (0, 0, 0, 0))) for g, n in whole.items() if n[0] >= 8 and n[1] >= 3}
+
+
+def test_no_gram_moves_for_each_posting_that_has_it(spark, monkeypatch):
+    """However many grams qualify, those of the postings are not shuffled to meet them, and their lists are not written."""
+    seen, write = [], R.written
+
+    def watched(df, *rows):
+        seen.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, *rows)
+
+    monkeypatch.setattr(R, "written", watched)
+    bar = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if very many grams qualified
+    try:
+        R.run_drift(postings(spark), VOCABULARY, taxonomy(spark), ["with", "and"], [], RULES, TYPES, most=2)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bar)
+    made = [plan for _, plan in seen if "Generate explode" in plan]
+    assert made and not any("SortMergeJoin" in plan for plan in made) and not any("grams" in columns for columns, _ in seen)
