@@ -66,8 +66,7 @@ def surviving(pairs: DataFrame, least_postings: int = 2, least_companies: int |
     and not for the counts and the excerpts each.
     """
     ok = written(pairs.where("at IS NOT NULL"))
-    by_company = ok.groupBy("key", "company").agg(F.count("*").alias("n"), F.min(F.struct("id", "phrase")).alias("f"))
-    n = by_company.groupBy("key").agg(F.min("f").alias("f"), F.sum("n").alias("postings"), F.count("*").alias("companies"))
+    n = ok.groupBy("key").agg(F.min(F.struct("id", "phrase")).alias("f"), F.count_distinct("id").alias("postings"), F.count_distinct("company").alias("companies"))
     good = n.where((F.col("postings") >= least_postings) & (F.col("companies") >= least_companies))
     shown = first_excerpts(ok.join(good.select("key"), "key", "left_semi"), ["key"], k=k)
     return good.join(shown, "key").select("key", F.col("f.phrase").alias("phrase"), "postings", "companies", "excerpts")
@@ -109,9 +108,10 @@ def merged(tags: DataFrame, texts: DataFrame, least_companies: int = 3) -> DataF
     u = tags.select("key", "phrase", "id", "company", F.lit("tag").alias("pass"), F.concat(F.lit("(tag) "), "phrase").alias("example")).unionByName(
         texts.where("at IS NOT NULL").select("key", "phrase", "id", "company", F.lit("text").alias("pass"), F.concat(F.lit("(verbatim) "), "excerpt").alias("example"))
     )
-    posting = u.groupBy("key", "company", "id").agg(F.min(F.struct("pass", "id", "phrase")).alias("f"), F.max(F.struct(F.col("pass"), -F.col("id"), F.col("example"))).alias("e"), F.max(F.col("pass") == "tag").alias("t"), F.max(F.col("pass") == "text").alias("x"))
-    company = posting.groupBy("key", "company").agg(F.count("*").alias("n"), F.min("f").alias("f"), F.max("e").alias("e"), F.max("t").alias("t"), F.max("x").alias("x"))
-    out = company.groupBy("key").agg(F.sum("n").alias("postings"), F.count("*").alias("companies"), F.min("f").alias("f"), F.max("e").alias("e"), F.max("t").alias("t"), F.max("x").alias("x"))
+    out = u.groupBy("key").agg(
+        F.count_distinct("id").alias("postings"), F.count_distinct("company").alias("companies"), F.min(F.struct("pass", "id", "phrase")).alias("f"), F.max(F.struct(F.col("pass"), -F.col("id"), F.col("example"))).alias("e"),
+        F.max(F.col("pass") == "tag").alias("t"), F.max(F.col("pass") == "text").alias("x"),
+    )
     passes = F.when(F.col("t") & F.col("x"), "both").when(F.col("t"), "tag").otherwise("text")
     return out.where(F.col("companies") >= least_companies).select("key", F.col("f.phrase").alias("phrase"), passes.alias("passes"), "postings", "companies", F.col("e.example").alias("example"))
 

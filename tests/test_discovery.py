@@ -1,13 +1,20 @@
 """Drift and consolidation runs: counters, one reading of the postings, empty tables; comparisons of passes."""
 
+import os
+
+import duckdb
 import pytest
 
 from tallywork.functions import classify as K
 from tallywork.operators import discovery as R
 from tallywork.operators import drift as D
 from tallywork.operators import reviews as V
+from tallywork.plans import run_queries as Q
 from tallywork.sources import sinks as S
 
+from .conftest import DATA
+from .oracle import TABLES, same
+
 POSTING = "id long, source string, company string, title string, description string"
 TAXONOMY = "skill string, category string, requirement_type string"
 RULES = [(0, "substring", "cook", "food")]
@@ -150,3 +157,13 @@ def test_no_gram_moves_for_each_posting_that_has_it(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bar)
     made = [plan for _, plan in seen if "Generate explode" in plan]
     assert made and not any("SortMergeJoin" in plan for plan in made) and not any("grams" in columns for columns, _ in seen)
+
+
+def test_sheet_with_blank_texts_and_repeated_ids(spark, tmp_path):
+    """Blank texts of documents without tags say nothing, and a posting counts once however often its id is there."""
+    for name in TABLES:
+        if name != "documents":
+            os.symlink(f"{DATA}/{name}.parquet", tmp_path / f"{name}.parquet")
+    d = f"read_parquet('{DATA}/documents.parquet')"
+    duckdb.sql(f"COPY (SELECT * FROM {d} UNION ALL SELECT * REPLACE (doc_id + 1000000 AS doc_id, '  ' AS text) FROM {d} WHERE doc_id < 40 UNION ALL SELECT * REPLACE ('other' AS source) FROM {d} WHERE doc_id % 5 = 0) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    same(spark, Q.QUERIES["consolidation_sheet"], Q.ORACLE_SQL["consolidation_sheet"], str(tmp_path))
